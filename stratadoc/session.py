@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,8 +14,19 @@ TABLES = (
 ).split()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context, so that their Python can import it."""
+    sc = spark.sparkContext
+    if "stratadoc.zip" not in {Path(f).name for f in sc._python_includes}:
+        top = Path(__file__).parent
+        to = Path(tempfile.mkdtemp(prefix="spark-")) / "stratadoc"
+        shutil.copytree(top, to / top.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(str(to), "zip", to, top.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark so that any store it knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
