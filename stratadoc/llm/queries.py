@@ -6,19 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontaminate, token_counts
+from stratadoc.llm import decontaminate, line_dedup, media, mixing, simhash, token_counts
 from stratadoc.session import table
 
 #: The tokenizer whose counts op10 returns.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_rows(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_rows(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_rows(
         decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     )
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,10 +43,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_benchmark_decontamination, op10_token_counts]
+    found = [
+        op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_source_mixing,
+        op10_token_counts,
+    ]
     return {f.__name__: f for f in found}
 
 
+OP1_SQL = r"""
+WITH split AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (
+  SELECT doc_id, coalesce('s' || source, '') AS site, i, ls[i] AS line,
+         trim(regexp_replace(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS k
+  FROM (SELECT doc_id, source, ls, unnest(range(1, len(ls) + 1)) AS i FROM split)
+), wide AS (
+  SELECT k, min({'d': doc_id, 'i': i}) AS first FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT site) >= 5
+), marked AS (
+  SELECT l.doc_id, l.i, l.line, w.k IS NOT NULL AND {'d': l.doc_id, 'i': l.i} <> w.first AS gone
+  FROM lines l LEFT JOIN wide w ON l.k = w.k
+), kept AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS text
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 OP4_SQL = r"""
 WITH lowered AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -60,4 +101,4 @@ FROM listed l LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
