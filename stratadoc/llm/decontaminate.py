@@ -8,7 +8,6 @@ documents is shuffled unless the benchmark needs more than one block.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratadoc.llm.automaton import SuffixAutomaton
 from stratadoc.llm.words import ALNUM_RE, TO_LOWER, ascii_lower
 
 #: Words of benchmark text that one broadcast automaton holds at most (a larger single item still gets a block).
@@ -23,102 +23,49 @@ BLOCK_WORDS = 200_000
 WINDOW = 10
 
 
-class ItemAutomaton:
+class ItemAutomaton(SuffixAutomaton):
     """Suffix automaton of several word sequences, with the items whose windows end in each state."""
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int) -> None:
+        super().__init__()
         self.window = window
-        self.step: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        ends: list[tuple[int, str, bool]] = []
-        for name, words in items:
-            state = 0
-            for at, word in enumerate(words, 1):
-                state = self._extend(state, word)
-                ends.append((state, name, at == len(words) and at < window))
-        # A window of an item is a suffix of length `window` at one of its ends, or a whole shorter item.
+        prefixes = [(name, len(words), self.add(words)) for name, words in items]
+        # A window of an item ends at one of its prefixes: the last `window` words, or all words of a shorter item.
         full: list[set[str]] = [set() for _ in self.link]
         short: list[dict[int, set[str]]] = [{} for _ in self.link]
-        for (state, name, is_short), n in zip(ends, (at for _, words in items for at in range(1, len(words) + 1))):
-            if is_short:
-                short[state].setdefault(n, set()).add(name)
-            elif n >= window:
+        for name, n_words, states in prefixes:
+            if n_words < window:
+                short[states[-1]].setdefault(n_words, set()).add(name)
+            for state in states[window - 1 :]:
                 full[state].add(name)
-        order = sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True)
-        for state in order:
-            full[self.link[state]] |= full[state] if self.length[self.link[state]] >= window else set()
-        for state in reversed(order):  # shorter suffixes first: what ends there ends here too
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        for state in by_length:  # what ends in a suffix ends here too
             for n, names in short[self.link[state]].items():
                 short[state].setdefault(n, set()).update(names)
+        for state in reversed(by_length):  # the window is a suffix of all that ends here
+            if self.length[self.link[state]] >= window:
+                full[self.link[state]] |= full[state]
         self.full = [frozenset(x) for x in full]
         self.short = [tuple((n, frozenset(v)) for n, v in sorted(x.items(), reverse=True)) for x in short]
-        self.has_short = any(self.short)
-
-    def _clone(self, state: int, above: int, word: str, to: int) -> int:
-        clone = len(self.link)
-        self.step.append(dict(self.step[to]))
-        self.link.append(self.link[to])
-        self.length.append(self.length[above] + 1)
-        self.link[to] = clone
-        while above >= 0 and self.step[above].get(word) == to:
-            self.step[above][word] = clone
-            above = self.link[above]
-        return clone
-
-    def _extend(self, last: int, word: str) -> int:
-        to = self.step[last].get(word)
-        if to is not None:
-            return to if self.length[to] == self.length[last] + 1 else self._clone(last, last, word, to)
-        new = len(self.link)
-        self.step.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        above = last
-        while above >= 0 and word not in self.step[above]:
-            self.step[above][word] = new
-            above = self.link[above]
-        if above >= 0:
-            to = self.step[above][word]
-            self.link[new] = to if self.length[to] == self.length[above] + 1 else self._clone(new, above, word, to)
-        return new
-
-    def stream(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+
+    def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
         """The hit spans of words (half-open, in order, merged) and the items whose windows occur."""
-        step, link, length, window, has_short = self.step, self.link, self.length, self.window, self.has_short
+        link, length, window, full, short = self.link, self.length, self.window, self.full, self.short
         spans: list[list[int]] = []
         items: set[str] = set()
-        state = matched = 0
-        root = step[0]
-        for at, word in enumerate(words, 1):
-            if not state:
-                state = root.get(word, 0)
-                if not state:
-                    matched = 0
-                    continue
-                matched = 1
-            else:
-                to = step[state].get(word)
-                while to is None and state:
-                    state = link[state]
-                    matched = length[state]
-                    to = step[state].get(word)
-                if to is None:
-                    matched = 0
-                    continue
-                state, matched = to, matched + 1
+        for at, state, matched in self.stream(words):
             longest = 0
             if matched >= window:
-                at_state = state
-                while length[link[at_state]] >= window:
-                    at_state = link[at_state]
-                if self.full[at_state]:
+                holder = state
+                while length[link[holder]] >= window:
+                    holder = link[holder]
+                if full[holder]:
                     longest = window
-                    items |= self.full[at_state]
-            if has_short:
-                for n, names in self.short[state]:
-                    if n <= matched:
-                        longest = max(longest, n)
-                        items |= names
+                    items |= full[holder]
+            for n, names in short[state]:
+                if n <= matched:
+                    longest = max(longest, n)
+                    items |= names
             if longest:
                 start = at - longest
                 while spans and spans[-1][0] >= start:
@@ -157,7 +104,7 @@ def _streamer(shared):
             for text in batch.column("text"):
                 words = ALNUM_RE.findall((text.as_py() or "").translate(TO_LOWER))
                 n_words.append(len(words))
-                found, names = automaton.stream(words)
+                found, names = automaton.hits(words)
                 spans.append([{"start": a, "end": b} for a, b in found])
                 items.append(sorted(names))
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontaminate, line_dedup, media, mixing, simhash, token_counts
+from stratadoc.llm import decontaminate, line_dedup, media, mixing, simhash, substring_dedup, token_counts
 from stratadoc.session import table
 
 #: The tokenizer whose counts op10 returns.
@@ -31,6 +31,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_rows(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op6_source_mixing,
+        op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
         op10_token_counts,
     ]
     return {f.__name__: f for f in found}
@@ -100,5 +104,25 @@ FROM listed l LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_
 """
 
 
+OP5_SQL = r"""
+WITH listed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM listed WHERE len(w) >= 20)
+), firsts AS (SELECT win, min({'d': doc_id, 'i': i}) AS first FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p
+  FROM windows JOIN firsts USING (win) WHERE first <> {'d': doc_id, 'i': i}
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM listed),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS text
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM listed l LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL}
