@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadoc.llm import decontaminate, line_dedup, media, mixing, simhash, substring_dedup, token_counts
+from stratadoc.llm import decontaminate, hmm_lm, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.session import table
 
 #: The tokenizer whose counts op10 returns.
@@ -40,6 +40,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
-        op10_token_counts,
+        op7_hmm_lm_scoring, op8_crf_toxicity, op10_token_counts,
     ]
     return {f.__name__: f for f in found}
 
