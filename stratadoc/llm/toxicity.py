@@ -25,8 +25,9 @@ WORD = re.compile(r"[^\W\d_]+")
 SAMPLE_ROWS = 24_000
 #: Features of a word beside the word: its beginnings of these lengths, when it is longer.
 BEGINNINGS = (4, 5, 6)
-#: A feature marks toxicity when it is in so many toxic documents and in this share of them, and this much likelier there.
-LEAST_DOCS, LEAST_SHARE, LEAST_EVIDENCE, MOST_FEATURES = 3, 0.01, 12.0, 4096
+#: A feature marks toxicity when it is in so many toxic documents and in this share of them, and this much likelier there
+#: (log-odds; evidence is log-odds times toxic documents).
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, LEAST_EVIDENCE, MOST_FEATURES = 3, 0.02, 2.0, 12.0, 4096
 ROUNDS = 12
 THRESHOLD = 0.7
 BATCH_TOKENS = 1 << 18
@@ -71,7 +72,7 @@ def marking_features(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str,
     )
     odds = F.log((F.col("a") / F.lit(float(max(1, n_toxic)))) / ((F.col("b") + 1) / F.lit(float(max(1, n_clean)))))
     chosen = counted.filter(F.col("a") >= least).withColumn("odds", odds).withColumn("evidence", F.col("a") * F.col("odds"))
-    rows = chosen.filter(F.col("evidence") >= LEAST_EVIDENCE).orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect()
+    rows = chosen.filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect()
     return {r["feature"]: r["odds"] for r in rows}
 
 
