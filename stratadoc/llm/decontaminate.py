@@ -115,16 +115,17 @@ def _streamer(shared):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id[, text], n_words, n_hit, spans (of word positions), items (sorted strings) for each row of docs.
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (of word positions), items (sorted strings) and the columns in carry for each row of docs.
 
     Null or empty text has no words and no hit; items with null ids or without words have no windows; repeated items
     count once for each id. Repeated rows of docs give a row each (with several blocks, rows equal in doc_id and text
     give one result, returned for each). Very long texts are streamed like others. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", "text")
-    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text string, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    base = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    given = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in base.columns)
+    schema = f"{given}, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
     parts = []
     for block in _blocks(benchmark, block_words) if benchmark is not None else []:
         parts.append(base.mapInArrow(_streamer(spark.sparkContext.broadcast(ItemAutomaton(block, window))), schema))
@@ -142,7 +143,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = Fals
         )
         out = base.withColumn("text_key", key).alias("d").join(
             merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key"))
-        ).select("d.doc_id", "d.text", "m.n_words", "m.spans", "m.items")
+        ).select(*(f"d.{c}" for c in base.columns), "m.n_words", "m.spans", "m.items")
     # Spans in order: each word counts once, also where spans of several blocks overlap.
     hit = F.aggregate(
         "spans",
@@ -153,7 +154,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = Fals
         ),
         lambda a: a["n"],
     )
-    return out.select("doc_id", *(["text"] if keep_text else []), "n_words", hit.alias("n_hit"), "spans", "items")
+    return out.select("doc_id", *carry, "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def _cutter():
@@ -177,15 +178,16 @@ def _cutter():
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8) -> DataFrame:
-    """doc_id and text without the spans of more than max_span hit words; documents covered beyond max_coverage go.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without the spans of more than max_span hit words, and the columns in carry.
 
-    The other columns of docs are for the caller to join; see benchmark_hits for nulls, ties and repeats.
+    Documents covered beyond max_coverage go. See benchmark_hits for nulls, ties and repeats.
     """
-    hits = benchmark_hits(docs, benchmark, keep_text=True)
+    hits = benchmark_hits(docs, benchmark, carry=("text", *carry))
     kept = hits.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
-    long_spans = kept.select("doc_id", "text", F.filter("spans", lambda s: s["end"] - s["start"] > max_span).alias("spans"))
-    return long_spans.mapInArrow(_cutter(), f"doc_id {hits.schema['doc_id'].dataType.simpleString()}, text string")
+    long_spans = kept.select("doc_id", "text", *carry, F.filter("spans", lambda s: s["end"] - s["start"] > max_span).alias("spans"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long_spans.schema if f.name != "spans")
+    return long_spans.mapInArrow(_cutter(), schema)
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     return far.unionByName(near.join(exact, keys).select(*keys, "first"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int = LOG_REGISTERS) -> DataFrame:
-    """doc_id, text (without the removed lines), n_lines, n_removed for each row of docs.
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int = LOG_REGISTERS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (without the removed lines), n_lines, n_removed and the columns in carry for each row of docs.
 
     A site is a source; a null source is one site. The first occurrence of a line, by doc_id (null first) and line
     number, stays; so does every blank line. Null text stays null, with 0 lines; empty text is one blank line. A
@@ -65,17 +65,17 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int =
     found = boilerplate(lines, min_sites, log_registers)
     is_first = F.col("first").eqNullSafe(F.struct("doc_id", "text_key", "line_no"))
     gone = lines.join(found, ["h1", "h2"]).filter(~is_first)
-    gone = gone.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_set("line_no").alias("gone"))
-    rows = docs.select("doc_id", "text")
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(rows["text"]) == gone["key"]), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
+    rows = docs.select("doc_id", "text", *carry)
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(rows["text"]) == gone["_key"]), "left")
     parts = F.split("text", "\n", -1)
     last = F.size(parts) - 1
-    kept = F.array_except(F.sequence(F.lit(0), last), F.col("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), last), F.col("_gone"))
     left = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
     return rows.select(
-        "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        "doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"), *carry,
     )
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratadoc.llm import decontaminate, hmm_lm, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+from stratadoc.llm import decontaminate, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.session import table
 
 #: The tokenizer whose counts op10 returns.
@@ -49,6 +50,14 @@ def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "spans")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, then ten thousands and hundreds of ids."""
+    docs, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(id_ / 10000).cast("string"), F.floor(id_ / 100).cast("string"), id_.cast("string"))
+    found = licenses.license_scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
-        op7_hmm_lm_scoring, op8_crf_toxicity, op10_token_counts,
+        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts,
     ]
     return {f.__name__: f for f in found}
 
@@ -133,5 +142,53 @@ FROM listed l LEFT JOIN kept k USING (doc_id)
 """
 
 
+OP9_SQL = rf"""
+WITH templates(template, license, text) AS (VALUES {", ".join("(%d, '%s', '%s')" % (i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES))}),
+files AS (
+  SELECT coalesce(source, 'none') || '/' || doc_id // 10000 || '/' || doc_id // 100 || '/' || doc_id AS path, text,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), template_terms AS (
+  SELECT template, license, term, count(*) AS tf
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '[a-z0-9]+'))) AS term FROM files)
+  WHERE term IN (SELECT term FROM template_terms) GROUP BY term
+), n AS (SELECT count(*) AS n FROM files),
+raw AS (
+  SELECT template, license, term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, tf * idf AS r
+  FROM template_terms LEFT JOIN df USING (term), n
+), weights AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY template)) AS w FROM raw),
+known AS (SELECT term, any_value(idf) AS idf FROM weights GROUP BY term),
+lines AS (
+  SELECT path, length(text) AS total, ls[i] AS line, i - 1 AS line_no
+  FROM (SELECT path, text, string_split(low, chr(10)) AS ls, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS i FROM files)
+  WHERE regexp_matches(ls[i], '{licenses.CUES}')
+), tf AS (
+  SELECT path, line_no, n_chars, total, term, count(*) AS tf
+  FROM (SELECT path, line_no, length(line) AS n_chars, total, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL
+), weighed AS (SELECT tf.*, tf * coalesce(idf, ln(n + 1) + 1) AS r FROM tf LEFT JOIN known USING (term), n),
+norms AS (SELECT path, line_no, sqrt(sum(r * r)) AS norm FROM weighed GROUP BY ALL),
+cosines AS (
+  SELECT path, line_no, n_chars, total, license, round(sum(d.r * w.w) / any_value(norm), 6) AS score
+  FROM weighed d JOIN weights w USING (term) JOIN norms USING (path, line_no) GROUP BY path, line_no, n_chars, total, template, license
+), best AS (
+  SELECT path, line_no, n_chars, total, min({{'o': -score, 'l': license}}) AS b FROM cosines WHERE score >= {licenses.MIN_COSINE}
+  GROUP BY path, line_no, n_chars, total
+), own AS (
+  SELECT path, min(b) AS own, count(DISTINCT line_no) AS n_notices, sum(n_chars) / max(total) AS share FROM best GROUP BY path
+), licensed AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, min(own) AS dir_own FROM own WHERE share >= {licenses.FILE_SHARE} GROUP BY ALL
+), near AS (
+  SELECT path, max({{'n': length(dir), 'd': dir, 'o': dir_own}}) AS near
+  FROM files JOIN licensed ON starts_with(path, dir || '/') GROUP BY path
+)
+SELECT CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id, f.path, coalesce(own.l, near.o.l) AS license,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       -coalesce(own.o, near.o.o) AS score, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices,
+       CASE WHEN own IS NULL THEN near.d END AS licensed_dir
+FROM files f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_license_scan": OP9_SQL}

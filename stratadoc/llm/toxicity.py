@@ -171,7 +171,7 @@ class _Scores(dict):
         return score
 
 
-def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray):
+def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray, keep_text: bool = False):
     """Texts -> the sum and the maximum of their words' marginals, and the spans of words likelier toxic than not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +197,7 @@ def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray):
                     x.clear()
 
             for text in batch.column("text"):
-                text = text.as_py()
+                text = text.as_py() or ""
                 lines = lines_of(text)
                 texts.append(text)
                 n_lines.append(len(lines))
@@ -208,7 +208,7 @@ def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray):
                     flush()
             flush()
             columns = [pa.array(total, pa.float64()), pa.array(most, pa.float64()), pa.array(spans, span_type)]
-            rest = [c for c in batch.schema.names if c != "text"]
+            rest = [c for c in batch.schema.names if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, "total", "most", "spans"])
 
     return run
@@ -229,8 +229,9 @@ def _calibrate(rows: list[tuple[float, float, int]]) -> np.ndarray:
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans for each row of docs. labels has doc_id and toxic.
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans for each row of docs. labels has doc_id and toxic. Also the columns that
+    carry names, the text among them if need be.
 
     Learns from the labels of training rows alone, from at most about sample_rows of them. Null and empty texts get the
     score of a text without words. Rows without a doc_id are scored; held_out is false for them. Labels that are null,
@@ -239,25 +240,28 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     Without labels of both kinds all scores are 0. Offsets are characters of the lower-cased text.
     """
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
+    kept = [c for c in rows.columns if c != "text" or "text" in carry]
+    result = [*kept, "held_out", "score", "predicted", "spans"]
     known = labels.filter(F.col("toxic").isNotNull() & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
     # The sample's bound is the bound of what is broadcast.
     picked = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
-    sample = saved(rows.join(F.broadcast(picked), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "toxic-sample")
+    sample = saved(rows.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["text"]), "toxic-sample")
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    held_out = (~training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()).alias("held_out")
+    rows_held_out = ~training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()
     if n_toxic in (0, n):
         no_spans = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-        return rows.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), no_spans.alias("spans"))
+        return rows.select(*kept, rows_held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), no_spans.alias("spans"))
     odds = marking_features(sample, n_toxic, n - n_toxic)
     lines = saved(sample.mapInArrow(_encode_lines({f: i for i, f in enumerate(odds)}), LINES_SCHEMA), "toxic-lines")
     found = fit_field(lines, list(odds.values()), rounds)
     trans = np.exp(np.array([[0.0, found[1]], [found[2], found[3]]]))
-    summarise = _summaries(dict(zip(odds, found[4:].tolist())), float(found[0]), trans)
-    fitted = sample.mapInArrow(summarise, f"toxic int, {SUMMARY_SCHEMA}").select("total", "most", "toxic").collect()
+    field = dict(zip(odds, found[4:].tolist())), float(found[0]), trans
+    fitted = sample.mapInArrow(_summaries(*field), f"toxic int, {SUMMARY_SCHEMA}").select("total", "most", "toxic").collect()
     bias, by_total, by_most = _calibrate([tuple(r) for r in fitted]).tolist()
-    scored = rows.mapInArrow(summarise, f"doc_id {kind}, {SUMMARY_SCHEMA}")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    scored = rows.mapInArrow(_summaries(*field, keep_text="text" in carry), f"{schema}, {SUMMARY_SCHEMA}")
     score = 1 / (1 + F.exp(-(F.lit(bias) + F.lit(by_total) * F.log1p("total") + F.lit(by_most) * F.col("most"))))
-    return scored.withColumn("score", score).select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    scored = scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.withColumn("held_out", rows_held_out).select(*result)
