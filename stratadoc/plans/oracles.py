@@ -87,9 +87,11 @@ PARTS: dict[str, tuple[list[str], str]] = {
   FROM answers w JOIN anchors a ON a.case_id = w.case_id"""),
     "marked": (["scored"], """
   SELECT answer_id, case_id, mode, group_no, contains(answer, anchor) AS st, contains(na, nn) AS sn,
-         contains(na, nn) OR (length(nn) >= 8 AND (
-           len(list_filter(range(1, length(nn) + 1), lambda p: contains(na, substr(nn, 1, p - 1) || substr(nn, p + 1)))) > 0
-           OR len(list_filter(range(1, length(na) - length(nn) + 2), lambda s: len(list_filter(range(0, length(nn)), lambda p: substr(na, s + p, 1) <> substr(nn, p + 1, 1))) <= 1)) > 0)) AS sf,
+         CASE WHEN contains(na, nn) THEN true
+           WHEN length(nn) >= 8 AND (contains(na, substr(nn, 1, length(nn) // 2)) OR contains(na, substr(nn, length(nn) // 2 + 1))) THEN
+             len(list_filter(range(1, length(nn) + 1), lambda p: contains(na, substr(nn, 1, p - 1) || substr(nn, p + 1)))) > 0
+             OR len(list_filter(range(1, length(na) - length(nn) + 2), lambda s: len(list_filter(range(0, length(nn)), lambda p: substr(na, s + p, 1) <> substr(nn, p + 1, 1))) <= 1)) > 0
+           ELSE false END AS sf,
          len(ids) AS i_all, len(list_filter(ids, lambda t: contains(answer, t) OR contains(na, t))) AS i_hit,
          len(gs) AS g_all, len(list_filter(gs, lambda g: contains(na, g))) AS g_hit
   FROM scored"""),
@@ -135,7 +137,7 @@ PARTS: dict[str, tuple[list[str], str]] = {
   SELECT h.doc_id, h."offset", string_agg(x.title, ' > ' ORDER BY x.level) AS path FROM hd h JOIN hd x ON x.doc_id = h.doc_id AND x."offset" <= h."offset"
   WHERE NOT EXISTS (SELECT 1 FROM hd y WHERE y.doc_id = h.doc_id AND y."offset" > x."offset" AND y."offset" <= h."offset" AND y.level <= x.level) GROUP BY h.doc_id, h."offset" """),
     "secs": (["ln", "hd", "paths"], f"""
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS section, coalesce(path, '') AS heading, body FROM (
+  SELECT b.doc_id, row_number() OVER (PARTITION BY b.doc_id ORDER BY s) - 1 AS section, coalesce(path, '') AS heading, body FROM (
     SELECT l.doc_id, s, trim(string_agg(line, {NL} ORDER BY l.n), {NL}) AS body, max(o) AS o FROM (
       SELECT l.doc_id, l.n, line, count(h.n) OVER (PARTITION BY l.doc_id ORDER BY l.n) AS s, h."offset" AS o FROM ln l LEFT JOIN hd h ON h.doc_id = l.doc_id AND h.n = l.n) l GROUP BY l.doc_id, s) b
   LEFT JOIN paths p ON p.doc_id = b.doc_id AND p."offset" = b.o WHERE trim(body) <> ''"""),
