@@ -89,16 +89,15 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _slots(spark, quotas: DataFrame) -> DataFrame:
-    """slot, source_no, rank: the schedule, in which every source has at least its quota of slots."""
-    due, n_sources = quotas.agg(F.sum("quota"), F.count("*")).first()
-    due = due or 0
-    # Any interval's count of golden-ratio points is off its share by less than this many.
-    spare = 8 + 3 * math.ceil(math.log2(due + n_sources + 2))
-    n = due + spare * n_sources if due else 0
+    """slot, source_no, rank: the schedule, in which every source has its quota of slots.
+
+    An interval's count of golden-ratio points is off its share by a few; what a source has too much is left out, what
+    it lacks comes last.
+    """
+    n, n_sources = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
     cells = max(1024, 4 * n_sources)
     upto = Window.partitionBy(F.lit(0)).orderBy("source_no")
-    wide = (F.col("quota") + spare) / F.lit(float(max(n, 1)))
-    held = quotas.filter("quota > 0").withColumn("hi", F.sum(wide).over(upto)).withColumn("lo", F.col("hi") - wide)
+    held = quotas.filter("quota > 0").withColumn("hi", F.sum("quota").over(upto) / F.lit(float(max(n, 1)))).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
     held = held.select(
         "source_no", "quota", "lo", "hi",
         F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells)))).alias("cell"),
@@ -110,7 +109,10 @@ def _slots(spark, quotas: DataFrame) -> DataFrame:
     dealt = points.join(held, (points["cell"] == held["cell"]) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     dealt = dealt.select(F.col("id").alias("slot"), "source_no", "quota", F.floor(F.col("id") / chunk).alias("chunk"))
     ranked = _two_level(dealt, "source_no", "chunk", [F.col("slot")], F.lit(1), "rank")
-    return ranked.filter(F.col("rank") < F.col("quota")).select("slot", "source_no", "rank")
+    got = quotas.join(dealt.groupBy("source_no").agg(F.count("*").alias("got")), "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    lacking = got.filter(F.col("got") < F.col("quota")).select("source_no", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("rank"))
+    lacking = lacking.select((F.col("rank") + F.lit(n)).alias("slot"), "source_no", "rank")
+    return ranked.filter(F.col("rank") < F.col("quota")).select("slot", "source_no", "rank").unionByName(lacking)
 
 
 def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
