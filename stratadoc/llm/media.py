@@ -135,19 +135,18 @@ def _store(root: str):
     return run
 
 
-def store_media(docs: DataFrame, root: str) -> DataFrame:
-    """Stores each row's payload under root; doc_id, n_bytes, payload_bytes, digest, shard, offset, length for each row.
+def store_media(docs: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """Stores each row's payload under root; doc_id, n_bytes, payload_bytes, digest for each row, and the payloads' places.
 
-    A task stores equal payloads once. Where several tasks met a payload, all rows point to the place first in order;
-    the other copies are not referred to. Null text counts as empty, whose payload is one row of filling.
+    The places are digest, shard, offset, length, a row for each payload. A task stores equal payloads once; where several
+    tasks met one, its place is the first in order and the other copies are not referred to. Null text counts as empty,
+    whose payload is one row of filling.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
     written = saved(rows.mapInArrow(_store(root), INDEX_SCHEMA.format(kind)), "media-index")
     place = written.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place"))
-    return written.drop("shard", "offset", "length").join(place, "digest").select(
-        "doc_id", "n_bytes", "payload_bytes", "digest", "place.shard", "place.offset", "place.length"
-    )
+    return written.drop("shard", "offset", "length"), place.select("digest", "place.shard", "place.offset", "place.length")
 
 
 def _headers(root: str):
@@ -166,10 +165,10 @@ def _headers(root: str):
     return run
 
 
-def header_columns(index: DataFrame, root: str) -> DataFrame:
+def header_columns(places: DataFrame, root: str) -> DataFrame:
     """digest, width, height, bit_depth, colour_type of the stored payloads, from range reads of their headers."""
-    places = index.select("digest", "shard", "offset").distinct().repartition("shard").sortWithinPartitions("shard", "offset")
-    return places.mapInArrow(_headers(root), "digest string, width int, height int, bit_depth int, colour_type int")
+    dealt = places.select("digest", "shard", "offset").repartition("shard").sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(_headers(root), "digest string, width int, height int, bit_depth int, colour_type int")
 
 
 def _spans(shards: list[str], offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -195,21 +194,20 @@ def _features(root: str):
                 for i in range(a, b):
                     stored = held[offsets[i] - offsets[a] : offsets[i] - offsets[a] + lengths[i]]
                     payload = decode_png(stored)
-                    found.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(stored).hexdigest(), block_hash(payload), *read_header(stored[:HEADER_BYTES])))
+                    found.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(stored).hexdigest(), block_hash(payload), *read_header(source.read_at(HEADER_BYTES, offsets[i]))))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             columns = [pa.array(x, t) for x, t in zip(zip(*found), kinds)] or [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *columns], FEATURE_NAMES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FEATURE_NAMES[:4]), *columns], FEATURE_NAMES)
 
     return run
 
 
-FEATURE_NAMES = ["digest", "payload_sha256", "tail_crc32", "media_sha256", "feature", "width", "height", "bit_depth", "colour_type"]
-FEATURE_SCHEMA = "digest string, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, width int, height int, bit_depth int, colour_type int"
+FEATURE_NAMES = ["digest", "shard", "offset", "length", "payload_sha256", "tail_crc32", "media_sha256", "feature", "width", "height", "bit_depth", "colour_type"]
+FEATURE_SCHEMA = "digest string, shard string, offset long, length long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, width int, height int, bit_depth int, colour_type int"
 
 
-def media_features(index: DataFrame, root: str) -> DataFrame:
-    """A row for each stored payload: what its stored bytes, read back and decoded, give."""
-    places = index.groupBy("digest").agg(F.first("shard").alias("shard"), F.first("offset").alias("offset"), F.first("length").alias("length"))
+def media_features(places: DataFrame, root: str) -> DataFrame:
+    """A row for each stored payload: its place, and what its stored bytes, read back and decoded, give."""
     return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(_features(root), FEATURE_SCHEMA)
 
 
@@ -223,9 +221,10 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     root = root or new_path(spark, "media")
     root = root if "://" in root else "file://" + root.removeprefix("file:")
-    index = store_media(docs, root)
-    features = media_features(index, root)
-    return index.join(features, "digest").select(
+    rows, places = store_media(docs, root)
+    # A table of its own, so that the join can be split where a third of all rows have one payload.
+    features = saved(media_features(places, root), "media-features")
+    return rows.join(features, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256",
         "feature", "width", "height", "bit_depth", "colour_type", "shard", "offset",
     )

@@ -227,7 +227,8 @@ def near_duplicates(docs: DataFrame, limit: int = MAX_DIFFERENCES) -> DataFrame:
     linked = components(near_edges(firsts.select("fp"), limit))
     rooted = firsts.join(linked, firsts["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # A table of its own, so that the join can be split where a third of all rows have one fingerprint.
+    named = saved(rooted.join(least, "root").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadoc.session import new_path
+from stratadoc.session import new_path, saved
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 #: Bytes of text that one call to the tokenizer gets at most (a single longer text goes alone).
@@ -91,10 +91,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     found = misses.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens long")
     found.select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 
-    # Two runs that append at once may both store a content: one row of each digest is taken.
-    known = (
+    # Two runs that append at once may both store a content: one row of each digest is taken. As a table of its own, so
+    # that the join below can be split where a third of all rows have one digest.
+    known = saved(
         spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == name)
-        .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")),
+        "known-counts",
     )
     return (
         rows.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), "digest")

@@ -85,9 +85,10 @@ def test_media_equal_texts_have_one_place(docs):
 def test_media_shards_are_tar_files(docs, spark, tmp_path):
     import tarfile
 
-    index = media.store_media(docs, f"file://{tmp_path}").collect()
-    heads = {r["digest"]: r for r in media.header_columns(media.store_media(docs, f"file://{tmp_path}/b"), f"file://{tmp_path}/b").collect()}
-    assert {r["digest"] for r in index} == set(heads)
+    _, places = media.store_media(docs, f"file://{tmp_path}")
+    index = places.collect()
+    heads = {r["digest"]: r for r in media.header_columns(places, f"file://{tmp_path}").collect()}
+    assert {r["digest"] for r in index} == set(heads) and {r["width"] for r in heads.values()} == {576}
     for r in index[:20]:
         with tarfile.open(tmp_path / r["shard"]) as tar:
             member = tar.getmember(f"{r['digest']}.png")
