@@ -36,6 +36,8 @@ ROUNDS = 6
 #: Training cuts texts into pieces of this many words; scoring never does.
 PIECE = 512
 BATCH_TOKENS = 1 << 18
+#: Distinct words that a task counts before it passes the counts on; rows that it encodes at once.
+COUNTED, ENCODED = 1 << 18, 1024
 SMOOTHING = 0.5
 #: The class of a text's end is 0; classes of single words follow, then shared ones.
 END = 0
@@ -52,13 +54,20 @@ def shared_class(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[bytes] = Counter()
+
+    def passed_on() -> pa.RecordBatch:
+        words = list(counts)
+        columns = [pa.array(words, pa.binary()), pa.array([shared_class(w) for w in words], pa.int32()), pa.array(counts.values(), pa.int64())]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["word", "shared", "c"])
+
     for batch in batches:
-        counts: Counter[bytes] = Counter()
         for content in batch.column("content"):
             counts.update(content.as_py().translate(BYTES_TO_LOWER).split())
-        words = list(counts)
-        columns = [pa.array(words, pa.binary()), pa.array([shared_class(w) for w in words], pa.int32()), pa.array(counts.values(), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["word", "shared", "c"])
+            if len(counts) >= COUNTED:
+                yield passed_on()
+    yield passed_on()
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -125,7 +134,7 @@ def _encode(shared):
         known = {w: (k, logs[c], 0.0 if k < first_shared else logs[c] - shared_total[k - first_shared]) for w, (k, c) in frequent.items()}
         end_log = math.log10(end_count + SMOOTHING)
         row_id = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in (b.slice(i, ENCODED) for b in batches for i in range(0, b.num_rows, ENCODED)):
             out = []
             for content in batch.column("content"):
                 codes, rare, base, within = [], [], [end_log], []
