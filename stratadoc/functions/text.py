@@ -15,6 +15,8 @@ REFUSAL_CHARS = 40
 CODE_SEGMENT = r"`[^`]+`|[^`]+|`"
 CODE_SPLIT = r"[^A-Za-z0-9_]+"
 WORD = r"[A-Za-z_][A-Za-z0-9_]*(?::[A-Za-z0-9_]+)+|[\p{L}\p{N}_&&[^\p{IsHan}]]+|\p{IsHan}+"
+PLAIN_WORD = r"[A-Za-z_][A-Za-z0-9_]*(?::[A-Za-z0-9_]+)+|[\p{L}\p{N}_]*[\p{L}\p{N}][\p{L}\p{N}_]*"
+NOT_PLAIN = r"[`\p{IsHan}]|_:"
 ANCHOR_CHARS = 60
 FUZZY_CHARS = 8
 GRAM = 3
@@ -77,7 +79,10 @@ def tokenize(text: Column) -> Column:
     prose = lambda s: F.flatten(F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), _bigrams))
     is_code = lambda s: F.startswith(s, F.lit("`")) & (F.length(s) > 2)
     terms = F.flatten(F.transform(segments, lambda s: F.when(is_code(s), F.split(s, CODE_SPLIT)).otherwise(prose(s))))
-    return F.filter(F.transform(terms, F.lower), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    marked = F.filter(F.transform(terms, F.lower), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    # Most texts hold neither code nor Han: one pass finds their terms.
+    plain = F.transform(F.regexp_extract_all(text, F.lit(PLAIN_WORD), F.lit(0)), F.lower)
+    return F.when(text.rlike(NOT_PLAIN), marked).otherwise(plain)
 
 
 def fuzzy_in(needle: Column, hay: Column, mode: str = "compat") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.functions.text import tokenize
+from stratadoc.session import saved
 
 #: The ranking function's parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -22,12 +23,17 @@ class LexicalIndex:
 
 
 def lexical_index(blocks: DataFrame) -> LexicalIndex:
-    """From blocks (i, content). Terms in more than half of the blocks get a share of the mean idf in place of a negative one."""
-    terms = blocks.select("i", tokenize(F.col("content")).alias("terms"))
-    lengths = terms.select("i", F.size("terms").cast("long").alias("dl"))
-    postings = terms.select("i", F.explode("terms").alias("term")).groupBy("term", "i").agg(F.count("*").alias("tf"))
+    """From blocks (i, content). Terms in more than half of the blocks get a share of the mean idf in place of a negative one.
+
+    Postings are written once, to the shared folder; all else comes from them.
+    """
+    terms = blocks.select("i", F.explode(tokenize(F.col("content"))).alias("term"))
+    postings = saved(terms.groupBy("term", "i").agg(F.count("*").alias("tf")), "postings")
+    lengths = saved(
+        blocks.select("i").join(postings.groupBy("i").agg(F.sum("tf").alias("dl")), "i", "left").select("i", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"
+    )
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
