@@ -30,9 +30,9 @@ BEGINNINGS = (4, 5, 6)
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, LEAST_EVIDENCE, MOST_FEATURES = 3, 0.02, 2.0, 12.0, 4096
 ROUNDS = 12
 THRESHOLD = 0.7
-BATCH_TOKENS = 1 << 18
+BATCH_TOKENS = 1 << 17
 #: Words whose scores a task remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def training_row(doc_id: Column, folds: int = 3, held_out: int = 1) -> Column:
