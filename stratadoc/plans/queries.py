@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from stratadoc.functions import text as T
 from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve
 from stratadoc.operators.index import LexicalIndex, lexical_index
-from stratadoc.session import table
+from stratadoc.session import spread, table
 from stratadoc.sources import corpus as sources
 
 K = 4
@@ -46,7 +46,7 @@ def _r(c: str | Column, digits: int = 6) -> Column:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,7 @@ def evaluated(spark: SparkSession, d: str, ks: tuple[int, ...] = (K,)) -> tuple[
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "conversations").filter("role = 'assistant'")
+    turns = spread(table(spark, d, "conversations")).filter("role = 'assistant'")
     n = table(spark, d, "benchmark").agg(F.count("*").alias("n_cases"))
     arm = F.element_at(F.array(*map(F.lit, ARM_NAMES)), (F.floor(F.col("turn") / 2) % 4 + 1).cast("int"))
     rows = turns.crossJoin(F.broadcast(n)).select(
