@@ -2,7 +2,8 @@
 
     toxicity     documents that the toxicity operator rejects go
     line_dedup   lines on many sources go, all but their first occurrence; every document stays
-    simhash      of each group of near duplicates the document with the smallest id stays
+    simhash      of each group of near duplicates the document with the smallest id stays; near are documents whose sets of
+                 five-word shingles have a Jaccard similarity of 0.8 or more, not op3's three bits of 64
     decontaminate  benchmark passages go; documents that consist of them nearly throughout go whole
     mixing       documents of the mix, with the words that the mix takes of each
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from stratadoc.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
 from stratadoc.session import saved, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,7 +45,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = simhash.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs)
     return _kept(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

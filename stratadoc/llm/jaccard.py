@@ -1,0 +1,129 @@
+"""Near-dedup by the Jaccard similarity of word shingles, every link verified on the whole sets.
+
+Equal sets are taken once. Sets with a band of equal minima in common are candidates: at BANDS x ROWS minima a pair of
+similarity 0.8 has none in common with probability (1 - 0.8^4)^32, about 5 in 10^8, and a more similar pair less. A
+bucket of candidates is first compared with one of its members, again with others while that joins many, and then
+all pairs of its members that are not yet in one component are compared. No pair of a bucket is
+left out that could change a component; so dissimilar members of a large bucket still cost pairs with its square.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratadoc.llm.components import components
+from stratadoc.llm.simhash import shingle_hashes
+from stratadoc.session import saved
+
+WIDTH = 5
+SIMILARITY = 0.8
+BANDS = 32
+ROWS = 4
+#: Shingles whose minima are taken at once; rows of a batch of sets.
+TAKEN = 2048
+LOT = 256
+#: Pairs for each row of a bucket up to which all open pairs are compared at once.
+OPEN = 8
+
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
+
+
+def bands_of(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima, signed; nothing without hashes."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(hashes), TAKEN):
+        mixed = (hashes[None, i : i + TAKEN] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+        np.minimum(least, mixed.min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sid, size, bands = [], [], []
+        for x in batch.column("content"):
+            hashes = np.unique(shingle_hashes(x.as_py(), width))
+            sid.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            size.append(len(hashes))
+            bands.append(bands_of(hashes))
+        made = [pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, batch.column("content")], ["doc_id", "sid", "size", "bands", "content"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, LOT):
+            batch = whole.slice(i, LOT)
+            sets = [np.unique(shingle_hashes(x.as_py(), width)).view(np.int64) for x in batch.column("content")]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], ["sid", "hashes"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(one, "a").join(two, "b").filter(both / (F.size("x") + F.size("y") - both) >= similarity).select("a", "b")
+
+
+def _edges(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members (band, sid, size) -> edges (a, b) that connect what the similar pairs of each band connect."""
+    close = F.least("size", "other_size") >= F.greatest("size", "other_size") * F.lit(similarity - 1e-9)
+    placed, edges, before = members.withColumn("root", F.col("sid")), None, None
+    for turn in count():
+        pick = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("order"), "sid", "size", "root"))
+        picked = placed.groupBy("band").agg(pick.alias("p")).select("band", F.col("p.sid").alias("other"), F.col("p.size").alias("other_size"), F.col("p.root").alias("other_root"))
+        pairs = placed.join(picked, "band").filter((F.col("root") != F.col("other_root")) & close).select(F.col("sid").alias("a"), F.col("other").alias("b"))
+        found = saved(_similar(pairs, sets, similarity), "similar-pairs")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = components(edges)
+        placed = saved(members.join(roots, members["sid"] == roots["node"], "left").select("band", "sid", "size", F.coalesce("root", "sid").alias("root")), "placed")
+        parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+        open_ = parts.groupBy("band").agg(F.sum("n").alias("m"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("parts"))
+        # A bucket of two is settled by its one pair.
+        open_ = saved(open_.filter("parts > 1 and m > 2").select("band", "m", F.col("most.n").alias("n"), F.col("most.root").alias("most")), "open-buckets")
+        rows, work = open_.agg(F.sum("m"), F.sum(F.col("m") * (F.col("m") - F.col("n")))).first()
+        if not rows:
+            return edges
+        if work <= OPEN * rows or (before is not None and work > before / 2):
+            break
+        before = work
+    left = placed.join(open_.select("band", "most"), "band").filter("root <> most")
+    right = placed.select("band", F.col("sid").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+    apart = (F.col("root") != F.col("other_root")) & ((F.col("other_root") == F.col("most")) | (F.col("sid") < F.col("other"))) & close
+    pairs = left.join(right, "band").filter(apart).select(F.col("sid").alias("a"), F.col("other").alias("b"))
+    return edges.unionByName(saved(_similar(pairs, sets, similarity), "similar-pairs"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable by links of similarity or more) for each row of docs.
+
+    Shingles are runs of width words, the whole text where it has fewer; texts without words are equal to each other.
+    Rows without a doc_id count for the links but not for the smallest doc_id (null where a component has none).
+    Repeated rows give a row each; other columns are not looked at.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
+    prints = saved(rows.mapInArrow(lambda b: _sketch(b, width), f"doc_id {kind}, sid long, size long, bands array<long>, content binary"), "shingle-sketches")
+    firsts = saved(prints.groupBy("sid").agg(F.min("doc_id").alias("first")), "distinct-sets")
+    banded = prints.select("sid", "size", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).filter("low < high")
+    members = saved(banded.join(shared, "band", "left_semi").distinct(), "buckets")
+    needed = members.select("sid").distinct().join(firsts, "sid").withColumnRenamed("sid", "set_id")
+    held = prints.join(needed, (F.col("sid") == F.col("set_id")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("sid", "content").dropDuplicates(["sid"])
+    sets = saved(held.mapInArrow(lambda b: _sets(b, width), "sid long, hashes array<long>"), "shingle-sets")
+    linked = components(_edges(members, sets, similarity))
+    rooted = firsts.join(linked, firsts["sid"] == linked["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = saved(rooted.join(least, "root").select("sid", "component_id"), "components")
+    return prints.join(named, "sid").select("doc_id", "component_id")

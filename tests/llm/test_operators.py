@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stratadoc.llm import chains, components, decontaminate, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+import corpus_pipeline
+from stratadoc.llm import chains, components, decontaminate, hmm_lm, jaccard, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.llm.automaton import SuffixAutomaton
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -171,6 +172,57 @@ def test_simhash_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_sets(texts, width=5):
+    words = [tuple((t or "").translate(LOWER).split()) for t in texts]
+    return [frozenset(w[i : i + width] for i in range(max(1, len(w) - width + 1)) if w) for w in words]
+
+
+def similar_by_hand(rows, similarity=0.8):
+    sets = shingle_sets([t for _, t, *_ in rows])
+    root = list(range(len(rows)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) / len(a | b) >= similarity:
+                root[up(i)] = up(j)
+    ids = defaultdict(list)
+    for i, (doc_id, *_) in enumerate(rows):
+        ids[up(i)].append(doc_id)
+    return sorted(((d, min((x for x in ids[up(i)] if x is not None), default=None)) for i, (d, *_) in enumerate(rows)), key=order)
+
+
+def test_jaccard_near_duplicates(docs, rows):
+    assert result(jaccard.near_duplicates(docs), "doc_id", "component_id") == similar_by_hand(rows)
+
+
+def test_jaccard_of_edited_copies(spark):
+    """Copies with some words changed: many in one bucket, some similar and some not; far beyond three bits of 64."""
+    r = np.random.default_rng(3)
+    base = [f"w{x}" for x in r.integers(0, 500, 150)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in r.integers(0, 150, r.integers(0, 8)):
+            words[at] = f"x{r.integers(0, 500)}"
+        texts.append(" ".join(words[r.integers(0, 30) :]))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by_hand = similar_by_hand(rows)
+    assert 1 < len({c for _, c in by_hand}) < len(rows)
+    assert result(jaccard.near_duplicates(df), "doc_id", "component_id") == by_hand
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert result(kept, "doc_id") == sorted({(c,) for _, c in by_hand})
+
+
+def test_jaccard_of_nothing(empty):
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
 # -------------------------------------------------------------------------------- 4
 
 
