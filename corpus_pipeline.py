@@ -2,12 +2,18 @@
 
     toxicity     documents that the toxicity operator rejects go
     line_dedup   lines on many sources go, all but their first occurrence; every document stays
-    simhash      of each group of near duplicates the document with the smallest id stays; near are documents whose sets of
-                 five-word shingles have a Jaccard similarity of 0.8 or more, not op3's three bits of 64
+    simhash      of each group of near duplicates one document stays, that with the smallest id; near are documents whose sets
+                 of five-word shingles have a Jaccard similarity of 0.8 or more, found by wide SimHash fingerprints in the
+                 Gray-order index (op3's own query has a contract of its own: three words, 3 of 64 bits)
     decontaminate  benchmark passages go; documents that consist of them nearly throughout go whole
-    mixing       documents of the mix, with the words that the mix takes of each
+    mixing       documents of the mix, with the words (spans, by slot) that the mix takes of each
 
 Stages but the last return the columns of documents, n_chars for the text as it has become.
+
+Rows are told apart by themselves, never by doc_id: rows with a null or a repeated doc_id, equal rows among them, each go
+through every stage as a row. A null text is clean, has no lines, words or passages, is a near duplicate of every other
+text without words, and has nothing for the mix to take. Null sources are one source, null lang and n_chars pass through.
+An empty table gives an empty result at every stage; columns beside those of documents are left out.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm import decontaminate, jaccard, line_dedup, mixing, toxicity
+from stratadoc.llm import decontaminate, line_dedup, mixing, near_texts, toxicity
 from stratadoc.session import saved, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +34,6 @@ def _as_documents(changed: DataFrame) -> DataFrame:
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=("text", *CARRY, "n_chars"))
@@ -45,8 +47,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = jaccard.near_duplicates(docs)
-    return _kept(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return near_texts.near_texts(docs.select(*COLUMNS)).filter("kept").select("doc.*")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    mix = mixing.mixture(docs).filter("taken > 0")
-    mix = mix.select(F.col("doc_id").alias("mix_id"), "size", "source_size", "target", "taken")
-    return docs.select(*COLUMNS).join(mix, F.col("doc_id").eqNullSafe(F.col("mix_id"))).drop("mix_id")
+    return mixing.mixture(docs, carry=tuple(COLUMNS)).filter("taken > 0")
 
 
 STAGES = [

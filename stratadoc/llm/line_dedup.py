@@ -66,7 +66,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int =
     is_first = F.col("first").eqNullSafe(F.struct("doc_id", "text_key", "line_no"))
     gone = lines.join(found, ["h1", "h2"]).filter(~is_first)
     gone = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.select("doc_id", "text", *carry)
+    rows = docs.select("doc_id", "text", F.struct("doc_id", *carry).alias("carried"))
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(rows["text"]) == gone["_key"]), "left")
     parts = F.split("text", "\n", -1)
     last = F.size(parts) - 1
@@ -75,7 +75,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, log_registers: int =
     return rows.select(
         "doc_id", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"), *carry,
+        F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"), *(F.col("carried")[c].alias(c) for c in carry),
     )
 
 

@@ -68,12 +68,13 @@ def _two_level(df: DataFrame, group: str, bucket: str, order: list[Column], amou
     )
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
-    """A row without its text for each document, with the place that the shuffle gives it."""
+def _sized(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document, with a number of its own, the place that the shuffle gives it and the columns in carry."""
+    given = [F.struct(*carry).alias("carried")] if carry else []
     return saved(
         docs.select(
-            "doc_id", F.xxhash64("text").alias("text_key"), "source", word_count(F.col("text")).alias("size"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("shuffled"),
+            F.monotonically_increasing_id().alias("row_id"), "doc_id", F.xxhash64("text").alias("text_key"), "source", word_count(F.col("text")).alias("size"),
+            F.xxhash64(F.lit(seed), "doc_id", "text").alias("shuffled"), *given,
         ),
         "mix-sizes",
     )
@@ -83,9 +84,9 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """sized with source_no and start: the words of its source that lie before it."""
     # As many buckets of a source as documents in a bucket, more or less.
     bits = max(1, math.ceil(math.log2(4 * math.sqrt(max(1, sized.count())))))
-    numbered = sized.join(sources.alias("s"), sized["source"].eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
+    numbered = sized.drop("carried").join(sources.alias("s"), sized["source"].eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
     numbered = numbered.withColumn("bucket", F.shiftrightunsigned("shuffled", 64 - bits))
-    return _two_level(numbered, "source_no", "bucket", [F.col("shuffled"), F.col("doc_id"), F.col("text_key")], F.col("size"), "start").drop("bucket")
+    return _two_level(numbered, "source_no", "bucket", [F.col("shuffled"), F.col("doc_id"), F.col("text_key"), F.col("row_id")], F.col("size"), "start").drop("bucket")
 
 
 def _slots(spark, quotas: DataFrame) -> DataFrame:
@@ -115,9 +116,8 @@ def _slots(spark, quotas: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") < F.col("quota")).select("slot", "source_no", "rank").unionByName(lacking)
 
 
-def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark = docs.sparkSession
-    sized = _sized(docs, seed)
+def _mix(sized: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark = sized.sparkSession
     sources = saved(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "mix-sources")
     placed = saved(_placed(sized, sources), "mix-placed")
     n_blocks = F.ceil(F.col("source_size") / block_words)
@@ -152,22 +152,34 @@ def _mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataF
 
 def mixed_spans(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
     """The mix itself: slot, source, round, doc_id, from_word, n_words. Read in order of slot, from_word of a slot's documents."""
-    _, sources, spans = _mix(docs, block_words, seed)
+    _, sources, spans = _mix(_sized(docs, seed), block_words)
     return spans.join(sources.select("source_no", "source"), "source_no").select("slot", "source", "round", "doc_id", "from_word", "n_words")
 
 
-def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0) -> DataFrame:
-    """doc_id, text_key, source, size, source_size, target, taken for each row of docs.
+def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot, n_slots, spans for each row of docs; also, ahead of
+    them, the columns of docs that carry names.
 
-    Null and empty texts have size 0 and nothing taken; a null source is a source of its own, last in order. Repeated
-    rows are laid side by side and share their source's words as others do. Equal shuffle places are told apart by
-    doc_id and text. An empty table gives an empty result. Only doc_id, text and source are looked at.
+    spans are the words that the mix takes of the row: slot, from_word, n_words, by slot and place; at most twice the row's
+    blocks of them. Null and empty texts have size 0 and nothing taken (no spans, null first_slot); a null source is a
+    source of its own, last in order. Repeated rows are laid side by side and share their source's words as others do.
+    Equal shuffle places are told apart by doc_id and text. An empty table gives an empty result. Only doc_id, text,
+    source and what carry names are looked at.
     """
-    placed, _, spans = _mix(docs, block_words, seed)
+    sized = _sized(docs, seed, carry)
+    placed, _, spans = _mix(sized, block_words)
     # Among documents with words, source and start name one.
-    taken = spans.groupBy(F.col("source_no").alias("s"), F.col("start").alias("at")).agg(F.sum("n_words").alias("taken"))
+    own = F.array_sort(F.collect_list(F.struct("slot", "from_word", "n_words")))
+    taken = spans.groupBy(F.col("source_no").alias("s"), F.col("start").alias("at")).agg(F.sum("n_words").alias("taken"), own.alias("spans"))
     at = F.when(F.col("size") > 0, F.col("start"))
     joined = placed.join(taken, (placed["source_no"] == taken["s"]) & (at == taken["at"]), "left")
-    return joined.select(
-        "doc_id", "text_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    none = F.expr("cast(array() as array<struct<slot: bigint, from_word: bigint, n_words: bigint>>)")
+    joined = joined.select(
+        "row_id", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.get("spans", F.lit(0))["slot"].alias("first_slot"),
+        F.coalesce(F.size(F.array_distinct(F.transform("spans", lambda x: x["slot"]))), F.lit(0)).cast("long").alias("n_slots"), F.coalesce("spans", none).alias("spans"),
     )
+    if not carry:
+        return joined.drop("row_id")
+    rest = [c for c in joined.columns if c not in ("row_id", *carry)]
+    return sized.select("row_id", "carried").join(joined, "row_id").select("carried.*", *rest)

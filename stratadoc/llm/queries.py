@@ -38,7 +38,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots", "spans")
 
 
 def op7_hmm_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ SHINGLE = 3
 FAN = 16
 GROUP = 4096
 FRONTIER = 1 << 21
+#: Places of a group that are compared with all of it before the search.
+PIVOTS = 4
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -104,15 +106,22 @@ def build_levels(fp: np.ndarray, sizes: np.ndarray) -> list[_Level]:
     return levels
 
 
-def search(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of pairs (i, j), i < j, of the same group whose fingerprints differ in limit bits at most."""
+def search(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of pairs (i, j) of the same group whose fingerprints differ in limit bits at most.
+
+    All pairs i < j; or, where asked gives some places, those of each of them with every other place.
+    """
+    every = asked is None
+    asked = np.arange(len(fp)) if every else asked
+    if not len(asked):
+        return
     levels = build_levels(fp, sizes)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    work = np.cumsum(np.repeat(sizes, sizes))
+    work = np.cumsum(sizes[owner[asked]])
     cuts = np.searchsorted(work, np.arange(FRONTIER, work[-1] + FRONTIER, FRONTIER), side="left") + 1
     begin = 0
-    for stop in np.minimum(cuts, len(fp)):
-        q = np.arange(begin, stop)
+    for stop in np.minimum(cuts, len(asked)):
+        q = asked[begin:stop]
         begin = stop
         if not len(q):
             continue
@@ -121,7 +130,7 @@ def search(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES) -> I
         apart = np.bitwise_count((fp[q] ^ top.bits[node]) & top.agree[node]).astype(np.int16)
         for depth in range(len(levels) - 1, 0, -1):
             here, below = levels[depth], levels[depth - 1]
-            keep = (apart <= limit) & (here.end[node] > q + 1)
+            keep = (apart <= limit) & (here.end[node] > q + 1) if every else apart <= limit
             q, node, apart = q[keep], node[keep], apart[keep]
             count = here.count[node]
             row = np.repeat(np.arange(len(q)), count)
@@ -130,15 +139,23 @@ def search(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES) -> I
             q = q[row]
             apart = apart[row] + np.bitwise_count((fp[q] ^ below.bits[child]) & held)
             node = child
-        keep = (apart <= limit) & (node > q)
+        keep = (apart <= limit) & (node > q if every else node != q)
         yield q[keep], node[keep]
 
 
-def spanning_stars(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES) -> tuple[np.ndarray, np.ndarray]:
-    """Places (member, root) that connect what search() connects; the root has the least fingerprint (signed)."""
-    n = len(fp)
+def spanning_stars(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENCES, name: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Names (member, root) that connect what search() connects; the root has the least name. Without names the
+    fingerprints (signed) are the names.
+
+    A few places of each group are compared with all of it first. What that leaves in a group's largest component needs
+    no search among itself, so a group of fingerprints that all lie close costs no pairs.
+    """
+    n, name = len(fp), fp.view(np.int64) if name is None else name
     root = np.arange(n)
-    for a, b in search(fp, sizes, limit):
+    begin = np.cumsum(sizes) - sizes
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
         while len(a):
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -146,37 +163,55 @@ def spanning_stars(fp: np.ndarray, sizes: np.ndarray, limit: int = MAX_DIFFERENC
             np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
             while (root != (up := root[root])).any():
                 root = up
+
+    for k in range(PIVOTS):
+        pivot = np.repeat(begin + sizes * k // PIVOTS, sizes)
+        close = np.flatnonzero(np.bitwise_count(fp ^ fp[pivot]) <= limit)
+        join(close, pivot[close])
+    held = np.bincount(root, minlength=n)
+    largest = np.repeat(np.maximum.reduceat(held, begin), sizes)
+    first = np.full(n, n)
+    at = np.flatnonzero(held == largest)  # roots of a largest component
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    np.minimum.at(first, group[at], at)
+    for a, b in search(fp, sizes, limit, np.flatnonzero(root != first[group])):
+        join(a, b)
     least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, root, fp.view(np.int64))
-    member = np.flatnonzero(fp.view(np.int64) != least[root])
-    return fp.view(np.int64)[member], least[root][member]
+    np.minimum.at(least, root, name)
+    member = np.flatnonzero(name != least[root])
+    return name[member], least[root][member]
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mask, value, fp, sorted by mask and value -> edges (a, b). Groups lie whole in a partition."""
-
-    def solve(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))))
-        sizes = np.diff(np.append(new, len(fp)))
-        order = np.lexsort((gray_rank(fp.view(np.uint64)), np.repeat(np.arange(len(sizes)), sizes)))
-        a, b = spanning_stars(fp.view(np.uint64)[order], sizes)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], keys: int) -> Iterator[np.ndarray]:
+    """Rows (columns x rows) of batches sorted by the first keys columns, in lots that hold whole groups."""
     held: list[np.ndarray] = []
     n = 0
     for batch in batches:
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "value", "fp")]))
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]))
         n += batch.num_rows
         if n < 1 << 16:
             continue
         rows = np.concatenate(held, axis=1)
-        last = np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))
+        last = np.flatnonzero((rows[:keys] != rows[:keys, -1:]).any(axis=0))
         cut = last[-1] + 1 if len(last) else 0  # the last group may go on
         if cut:
-            yield solve(*np.ascontiguousarray(rows[:, :cut]))
+            yield np.ascontiguousarray(rows[:, :cut])
         held, n = [rows[:, cut:]], rows.shape[1] - cut
     if n:
-        yield solve(*np.ascontiguousarray(np.concatenate(held, axis=1)))
+        yield np.ascontiguousarray(np.concatenate(held, axis=1))
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mask, value, fp, sorted by mask and value -> edges (a, b). Groups lie whole in a partition."""
+
+    def solve(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate(([True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))))
+        sizes = np.diff(np.append(new, len(fp)))
+        order = np.lexsort((gray_rank(fp.view(np.uint64)), np.repeat(np.arange(len(sizes)), sizes)))
+        a, b = spanning_stars(fp.view(np.uint64)[order], sizes)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    yield from (solve(*rows) for rows in whole_groups(batches, ("mask", "value", "fp"), 2))
 
 
 def _split_bits(mask: int, parts: int) -> list[int]:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 from stratadoc.llm.chains import Packed, vector_sum
 from stratadoc.session import saved
@@ -26,8 +27,9 @@ SAMPLE_ROWS = 24_000
 #: Features of a word beside the word: its beginnings of these lengths, when it is longer.
 BEGINNINGS = (4, 5, 6)
 #: A feature marks toxicity when it is in so many toxic documents and in this share of them, and this much likelier there
-#: (log-odds; evidence is log-odds times toxic documents).
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, LEAST_EVIDENCE, MOST_FEATURES = 3, 0.02, 2.0, 12.0, 4096
+#: (log-odds; evidence is log-odds times toxic documents). As a share of the toxic documents is asked for, these features
+#: are at most 1 / LEAST_SHARE times those of a toxic document, on average.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, LEAST_EVIDENCE = 3, 0.02, 2.0, 12.0
 ROUNDS = 12
 THRESHOLD = 0.7
 BATCH_TOKENS = 1 << 17
@@ -46,7 +48,8 @@ def features_of(word: str) -> list[str]:
 
 
 def lines_of(text: str) -> list[list[str]]:
-    return [words for line in text.lower().split("\n") if (words := WORD.findall(line))]
+    """The words of each line as they stand, without lines that have none."""
+    return [words for line in text.split("\n") if (words := WORD.findall(line))]
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +58,7 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             into = counts[int(toxic)]
-            for f in {f for w in set(WORD.findall(text.lower())) for f in features_of(w)}:
+            for f in {f for w in {w.lower() for w in set(WORD.findall(text))} for f in features_of(w)}:
                 into[f] = into.get(f, 0) + 1
         for toxic in (0, 1):
             yield pa.RecordBatch.from_arrays(
@@ -72,7 +75,7 @@ def marking_features(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str,
     )
     odds = F.log((F.col("a") / F.lit(float(max(1, n_toxic)))) / ((F.col("b") + 1) / F.lit(float(max(1, n_clean)))))
     chosen = counted.filter(F.col("a") >= least).withColumn("odds", odds).withColumn("evidence", F.col("a") * F.col("odds"))
-    rows = chosen.filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("evidence"), "feature").limit(MOST_FEATURES).collect()
+    rows = chosen.filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("evidence"), "feature").collect()
     return {r["feature"]: r["odds"] for r in rows}
 
 
@@ -87,7 +90,7 @@ def _encode_lines(feature_no: dict[str, int]):
             out = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for words in lines_of(text):
-                    found = [(i, feature_no[f]) for i, w in enumerate(words) for f in features_of(w) if f in feature_no]
+                    found = [(i, feature_no[f]) for i, w in enumerate(words) for f in features_of(w.lower()) if f in feature_no]
                     out.append((len(words), [i for i, _ in found], [f for _, f in found], toxic))
             kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
             if out:
@@ -150,7 +153,8 @@ def fit_field(lines: DataFrame, odds: list[float], rounds: int = ROUNDS) -> np.n
     weights = np.concatenate(([-5.0, 0.0, 0.0, 0.0], np.asarray(odds, float)))
     step, before = np.full(len(weights), 0.3), np.zeros(len(weights))
     for _ in range(rounds if odds else 0):
-        slope = vector_sum(lines, _gradient(weights, len(odds)), len(weights)) - 0.1 * weights
+        # Rounded, so that the order in which partitions are summed can't turn a sign.
+        slope = np.round(vector_sum(lines, _gradient(weights, len(odds)), len(weights)) - 0.1 * weights, 6)
         turned = np.sign(slope * before)
         step = np.where(turned > 0, np.minimum(1.0, step * 1.2), np.where(turned < 0, step * 0.5, step))
         weights = weights + np.sign(slope) * step
@@ -167,11 +171,11 @@ class _Scores(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = score = self.bias + sum(self.weights.get(f, 0.0) for f in features_of(word))
+        self[word] = score = self.bias + sum(self.weights.get(f, 0.0) for f in features_of(word.lower()))
         return score
 
 
-def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray, keep_text: bool = False):
+def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray):
     """Texts -> the sum and the maximum of their words' marginals, and the spans of words likelier toxic than not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +194,12 @@ def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray, keep_t
                     total.append(float(own.sum()))
                     most.append(float(own.max(initial=0.0)))
                     found = np.flatnonzero(own > 0.5)
-                    # Lower-casing may lengthen a text; offsets are those of the text as the words were found in it.
-                    bounds = [m.span() for m in WORD.finditer(text.lower())] if len(found) else []
+                    bounds = [m.span() for m in WORD.finditer(text)] if len(found) else []
                     spans.append([{"start": bounds[i][0], "end": bounds[i][1]} for i in found])
                 for x in (texts, scores, lengths, n_lines):
                     x.clear()
 
-            for text in batch.column("text"):
+            for text in batch.column("text") if "text" in batch.schema.names else batch.column("doc").field("text"):
                 text = text.as_py() or ""
                 lines = lines_of(text)
                 texts.append(text)
@@ -208,17 +211,19 @@ def _summaries(weights: dict[str, float], bias: float, trans: np.ndarray, keep_t
                     flush()
             flush()
             columns = [pa.array(total, pa.float64()), pa.array(most, pa.float64()), pa.array(spans, span_type)]
-            rest = [c for c in batch.schema.names if keep_text or c != "text"]
+            rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *columns], [*rest, "total", "most", "spans"])
 
     return run
 
 
-SUMMARY_SCHEMA = "total double, most double, spans array<struct<start:bigint,end:bigint>>"
+SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
+SUMMARY = StructType().add("total", DoubleType()).add("most", DoubleType()).add("spans", SPANS)
 
 
 def _calibrate(rows: list[tuple[float, float, int]]) -> np.ndarray:
     """Logistic regression of the label on (1, log(1 + total), most), with a small penalty, by Newton steps."""
+    rows = sorted(rows)
     x = np.array([(1.0, math.log1p(a), b) for a, b, _ in rows]).reshape(-1, 3)
     y = np.array([label for _, _, label in rows], float)
     w = np.zeros(3)
@@ -236,32 +241,34 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     Learns from the labels of training rows alone, from at most about sample_rows of them. Null and empty texts get the
     score of a text without words. Rows without a doc_id are scored; held_out is false for them. Labels that are null,
     or whose document is missing, teach nothing; a document with several labels is toxic if one says so. Equal texts
-    among the sample count once. Repeated rows give a row each; columns beside doc_id and text are not looked at.
-    Without labels of both kinds all scores are 0. Offsets are characters of the lower-cased text.
+    among the sample count once, toxic if one of them is. Repeated rows give a row each; columns beside doc_id and text are not looked at.
+    Without labels of both kinds all scores are 0. Offsets are characters of the text.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
-    kept = [c for c in rows.columns if c != "text" or "text" in carry]
-    result = [*kept, "held_out", "score", "predicted", "spans"]
+    kept = ["doc_id", *carry]
+    rows = docs.select("doc_id", "text", F.struct(*kept).alias("doc"))
+    to_score = rows.select("doc") if "text" in carry else rows.select("doc", "text")
+    result = ["doc.*", "held_out", "score", "predicted", "spans"]
     known = labels.filter(F.col("toxic").isNotNull() & training_row(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
     # The sample's bound is the bound of what is broadcast.
     picked = known.filter(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
-    sample = saved(rows.join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").dropDuplicates(["text"]), "toxic-sample")
+    sample = rows.join(F.broadcast(picked), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
+    sample = saved(sample, "toxic-sample")
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     rows_held_out = ~training_row(F.col("doc_id")) & F.col("doc_id").isNotNull()
     if n_toxic in (0, n):
         no_spans = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-        return rows.select(*kept, rows_held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), no_spans.alias("spans"))
+        return rows.select("doc.*", rows_held_out.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), no_spans.alias("spans"))
     odds = marking_features(sample, n_toxic, n - n_toxic)
     lines = saved(sample.mapInArrow(_encode_lines({f: i for i, f in enumerate(odds)}), LINES_SCHEMA), "toxic-lines")
     found = fit_field(lines, list(odds.values()), rounds)
     trans = np.exp(np.array([[0.0, found[1]], [found[2], found[3]]]))
     field = dict(zip(odds, found[4:].tolist())), float(found[0]), trans
-    fitted = sample.mapInArrow(_summaries(*field), f"toxic int, {SUMMARY_SCHEMA}").select("total", "most", "toxic").collect()
+    fitted = sample.mapInArrow(_summaries(*field), StructType([sample.schema["toxic"], *SUMMARY])).select("total", "most", "toxic").collect()
     bias, by_total, by_most = _calibrate([tuple(r) for r in fitted]).tolist()
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    scored = rows.mapInArrow(_summaries(*field, keep_text="text" in carry), f"{schema}, {SUMMARY_SCHEMA}")
-    score = 1 / (1 + F.exp(-(F.lit(bias) + F.lit(by_total) * F.log1p("total") + F.lit(by_most) * F.col("most"))))
+    schema = StructType([rows.schema["doc"], *SUMMARY])
+    scored = to_score.mapInArrow(_summaries(*field), schema)
+    score = F.round(1 / (1 + F.exp(-(F.lit(bias) + F.lit(by_total) * F.log1p("total") + F.lit(by_most) * F.col("most")))), 9)
     scored = scored.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-    return scored.withColumn("held_out", rows_held_out).select(*result)
+    held_out = ~training_row(F.col("doc.doc_id")) & F.col("doc.doc_id").isNotNull()
+    return scored.withColumn("held_out", held_out).select(*result)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns beside the documents' own, named like the operators' inner ones.
-CLASHING = ["key", "digest", "hash", "term", "i", "size", "words", "text_key", "route", "content", "start", "n", "fp", "total", "gone", "_gone", "place", "shard"]
+CLASHING = ["key", "digest", "hash", "term", "i", "size", "words", "text_key", "route", "content", "start", "n", "fp", "total", "gone", "_gone", "_key", "place", "shard", "doc", "sid", "row_id", "most", "spans", "carried"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratadoc.llm import chains, components, decontaminate, hmm_lm, jaccard, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+from stratadoc.llm import chains, components, decontaminate, hmm_lm, licenses, line_dedup, media, mixing, near_texts, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.llm.automaton import SuffixAutomaton
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -56,7 +56,7 @@ def lines_by_hand(rows, min_sites):
 
 @pytest.mark.parametrize("min_sites", [2, 3, 5])
 def test_line_dedup(docs, rows, min_sites):
-    found = line_dedup.line_dedup(docs, min_sites, carry=("lang",))
+    found = line_dedup.line_dedup(docs, min_sites, carry=("lang", "_gone", "_key")).drop("_gone", "_key")
     assert result(found, "doc_id", "text", "n_lines", "n_removed") == lines_by_hand(rows, min_sites)
 
 
@@ -196,31 +196,80 @@ def similar_by_hand(rows, similarity=0.8):
     return sorted(((d, min((x for x in ids[up(i)] if x is not None), default=None)) for i, (d, *_) in enumerate(rows)), key=order)
 
 
-def test_jaccard_near_duplicates(docs, rows):
-    assert result(jaccard.near_duplicates(docs), "doc_id", "component_id") == similar_by_hand(rows)
+def test_near_texts(docs, rows):
+    found = near_texts.near_texts(docs).select("doc.doc_id", "component_id")
+    assert result(found, "doc_id", "component_id") == similar_by_hand(rows)
+    kept = near_texts.near_texts(docs).filter("kept").select("doc.*")
+    assert kept.columns == docs.columns and kept.count() == len({c for _, c in similar_by_hand(rows)})
 
 
-def test_jaccard_of_edited_copies(spark):
-    """Copies with some words changed: many in one bucket, some similar and some not; far beyond three bits of 64."""
+def edited_copies(n=150):
+    """Copies with some words changed: many in one cluster, some similar and some not; far beyond three bits of 64."""
     r = np.random.default_rng(3)
     base = [f"w{x}" for x in r.integers(0, 500, 150)]
     texts = []
-    for _ in range(150):
+    for _ in range(n):
         words = list(base)
         for at in r.integers(0, 150, r.integers(0, 8)):
             words[at] = f"x{r.integers(0, 500)}"
         texts.append(" ".join(words[r.integers(0, 30) :]))
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    return [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+
+
+def test_near_texts_of_edited_copies(spark):
+    rows = edited_copies()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     by_hand = similar_by_hand(rows)
     assert 1 < len({c for _, c in by_hand}) < len(rows)
-    assert result(jaccard.near_duplicates(df), "doc_id", "component_id") == by_hand
+    # The index may miss a link; every other way from one end to the other being missed too is a matter of chance.
+    assert result(near_texts.near_texts(df, reach=1 - 1e-9).select("doc.doc_id", "component_id"), "doc_id", "component_id") == by_hand
     kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert result(kept, "doc_id") == sorted({(c,) for _, c in by_hand})
 
 
-def test_jaccard_of_nothing(empty):
-    assert jaccard.near_duplicates(empty).count() == 0
+def test_rows_of_one_id_and_of_none(spark):
+    """Equal rows of one id, other texts of the same id, and rows without an id: one row of each group is kept."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, a), (5, b), (None, b), (None, c), (None, c), (None, None), (None, ""), (7, "  "), (None, "lone words"), (8, "lone words"), (None, "lone")]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert result(kept, "doc_id", "text") == sorted([(5, a), (5, b), (None, c), (7, "  "), (8, "lone words"), (None, "lone")], key=order)
+
+
+def test_index_reach(spark):
+    """Of the pairs at the limit, more or less, nine in ten meet, whatever the number of sets the keys are made for."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        own = r.integers(0, 1 << 62, 200)
+        other = np.concatenate((own[: 200 - 22], r.integers(0, 1 << 62, 22)))  # similarity 0.80
+        rows += [(2 * i, *near_texts.wide_fingerprint(own.astype(np.uint64))), (2 * i + 1, *near_texts.wide_fingerprint(other.astype(np.uint64)))]
+    sets = spark.createDataFrame(rows, "sid long, w0 long, w1 long, w2 long, w3 long")
+    for n_sets in (600, 1 << 24):
+        found = {x["sid"]: x["cluster"] for x in near_texts.candidate_clusters(sets, n_sets).collect()}
+        assert sum(2 * i in found and found[2 * i] == found.get(2 * i + 1) for i in range(300)) >= 270
+
+
+def test_stars_equal_all_pairs():
+    r = np.random.default_rng(4)
+    fp = np.concatenate([r.integers(0, 1 << 63, 40).astype(np.uint64) for _ in range(3)])
+    fp[5:30] = fp[5] ^ (np.uint64(1) << r.integers(0, 60, 25).astype(np.uint64))
+    sizes = np.array([40, 1, 60, 19])
+    fp = np.concatenate([g[np.argsort(simhash.gray_rank(g))] for g in np.split(fp, np.cumsum(sizes)[:-1])])
+    name = np.arange(len(fp)) + 7
+    root = {int(n): int(n) for n in name}
+    for k, g in enumerate(np.split(np.arange(len(fp)), np.cumsum(sizes)[:-1])):
+        for i in g:
+            for j in g:
+                if int(fp[i] ^ fp[j]).bit_count() <= 24:
+                    low, high = sorted((root[int(name[i])], root[int(name[j])]))
+                    root = {n: low if x == high else x for n, x in root.items()}
+    a, b = simhash.spanning_stars(fp, sizes, 24, name)
+    assert {n: x for n, x in root.items() if n != x} == dict(zip(a.tolist(), b.tolist()))
+
+
+def test_near_texts_of_nothing(empty):
+    assert near_texts.near_texts(empty).count() == 0
 
 
 # -------------------------------------------------------------------------------- 4
@@ -424,6 +473,48 @@ def test_language_model_without_training_rows(empty, spark):
 # -------------------------------------------------------------------------------- 8
 
 
+def test_toxicity_gradient_equals_enumeration(spark):
+    """The slope of the log-likelihood, by going through all labellings of a line."""
+    import itertools
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    lines = [(4, [0, 2], [1, 0], 1), (1, [], [], 0), (3, [0, 0, 1], [0, 2, 1], 0), (5, [4, 1], [2, 2], 1)]
+    weights = r.normal(size=4 + 3)
+
+    def likelihood(w):
+        total = 0.0
+        for n, at, feature, toxic in lines:
+            scores, label = np.full(n, w[0]), np.zeros(n, int)
+            for i, f in zip(at, feature):
+                scores[i] += w[4 + f]
+                label[i] = toxic
+            trans = np.array([[0.0, w[1]], [w[2], w[3]]])
+            value = lambda y: sum(scores[i] * y[i] for i in range(n)) + sum(trans[a, b] for a, b in zip(y, y[1:]))
+            total += value(label) - math.log(sum(math.exp(value(y)) for y in itertools.product((0, 1), repeat=n)))
+        return total
+
+    kinds = (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*lines), kinds)], ["n", "at", "feature", "toxic"])
+    slope = toxicity._gradient(weights, 3)(iter([batch]))
+    for k in range(len(weights)):
+        step = np.eye(len(weights))[k] * 1e-5
+        assert slope[k] == pytest.approx((likelihood(weights + step) - likelihood(weights - step)) / 2e-5, abs=1e-6)
+
+
+def test_toxicity_is_the_same_in_any_partitioning(spark):
+    """Equal texts with different labels among them."""
+    from tests.llm.test_queries import DATA
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet")
+    again = docs.join(labels, "doc_id").select((F.col("doc_id") + 100_000).alias("doc_id"), "text")
+    docs = docs.unionByName(again)
+    labels = labels.select("doc_id", "toxic").unionByName(labels.select((F.col("doc_id") + 100_000).alias("doc_id"), (1 - F.col("toxic")).alias("toxic")))
+    each = [result(toxicity.toxicity(docs.repartition(n, F.xxhash64("doc_id", F.lit(n))), labels, carry=("text",)), "doc_id", "text", "score", "predicted") for n in (1, 3, 7)]
+    assert each[0] == each[1] == each[2] and len({x[2] for x in each[0]}) > 1
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out")
