@@ -47,7 +47,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_texts.near_texts(docs.select(*COLUMNS)).filter("kept").select("doc.*")
+    return near_texts.first_of_each(docs.select(*COLUMNS))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

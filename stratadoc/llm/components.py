@@ -16,13 +16,17 @@ def _to_smallest(arcs: DataFrame, larger_only: bool) -> DataFrame:
     return links.filter("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stars: bool = False) -> DataFrame:
     """edges (a, b) -> node, root: the least node that each node of an edge can reach. Self links don't count.
 
+    Where edges are already stars, many to a node, stars says so and a node's other centres are linked to its least first.
+
     Every step writes its edges to the shared folder, so that lineage stays short; the steps end when the edges are stars
     around the least nodes, after a number of steps that grows with the logarithm of the longest path.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    if stars:
+        now = saved(_to_smallest(now.select(F.col("a").alias("u"), F.col("b").alias("v")), larger_only=False), "edges")
     size = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

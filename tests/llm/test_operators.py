@@ -197,9 +197,8 @@ def similar_by_hand(rows, similarity=0.8):
 
 
 def test_near_texts(docs, rows):
-    found = near_texts.near_texts(docs).select("doc.doc_id", "component_id")
-    assert result(found, "doc_id", "component_id") == similar_by_hand(rows)
-    kept = near_texts.near_texts(docs).filter("kept").select("doc.*")
+    assert result(near_texts.near_texts(docs), "doc_id", "component_id") == similar_by_hand(rows)
+    kept = near_texts.first_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in similar_by_hand(rows)})
 
 
@@ -222,7 +221,7 @@ def test_near_texts_of_edited_copies(spark):
     by_hand = similar_by_hand(rows)
     assert 1 < len({c for _, c in by_hand}) < len(rows)
     # The index may miss a link; every other way from one end to the other being missed too is a matter of chance.
-    assert result(near_texts.near_texts(df, reach=1 - 1e-9).select("doc.doc_id", "component_id"), "doc_id", "component_id") == by_hand
+    assert result(near_texts.near_texts(df, reach=1 - 1e-9), "doc_id", "component_id") == by_hand
     kept = corpus_pipeline.drop_near_duplicates(spark, df, "")
     assert result(kept, "doc_id") == sorted({(c,) for _, c in by_hand})
 
@@ -269,7 +268,7 @@ def test_stars_equal_all_pairs():
 
 
 def test_near_texts_of_nothing(empty):
-    assert near_texts.near_texts(empty).count() == 0
+    assert near_texts.near_texts(empty).count() == near_texts.first_of_each(empty).count() == 0
 
 
 # -------------------------------------------------------------------------------- 4
@@ -546,6 +545,29 @@ def test_toxic_spans_are_words_of_the_text(spark):
 # -------------------------------------------------------------------------------- 9
 
 
+def test_wrapped_notices_and_licence_files(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    lgpl = licenses.TEMPLATES[[i for i, (name, t) in enumerate(licenses.TEMPLATES) if name == "LGPL-3.0"][-1]][1]
+    wrapped = "\n".join(" ".join(lgpl.split()[k : k + 8]) for k in range(0, len(lgpl.split()), 8))
+    body = "\n".join(f"some words of code {i} that say nothing at all" for i in range(60))
+    files = [("a/x.c", f"{mpl}\n{body}"), ("b/y.c", f"{wrapped}\n\n{body}"), ("c/LICENSE", wrapped), ("c/d/z.c", body), (None, None), ("e/w.c", ""), ("e/w.c", ""), ("a/x.c", f"{mpl}\n{body}")]
+    found = licenses.license_scan(spark.createDataFrame(files, "path string, text string"))
+    assert result(found, "path", "license", "origin") == sorted(
+        [("a/x.c", "MPL-2.0", "own"), ("b/y.c", "LGPL-3.0", "own"), ("c/LICENSE", "LGPL-3.0", "own"), ("c/d/z.c", "LGPL-3.0", "inherited"), (None, None, "none"), ("e/w.c", None, "none")], key=order
+    )
+
+
+def test_license_query_of_odd_rows(spark, docs, rows, tmp_path):
+    """A row for each row of documents, without ids and repeated among them."""
+    from stratadoc.llm import queries
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars", "key", "gone").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op9_license_scan(spark, str(tmp_path))
+    assert result(found, "doc_id") == sorted([(r[0],) for r in rows], key=order)
+    notice = {r[0] for r in rows if r[1] and "Apache License" in r[1]}
+    assert {r["doc_id"] for r in found.filter("origin = 'own'").collect()} == notice
+
+
 def test_license_inheritance(spark, empty):
     files = [
         ("a/LICENSE", "The licence of this folder.\nReleased under the MIT License."),
