@@ -1,21 +1,27 @@
 """Licence scans: cosine of notices to templates in a sparse TF-IDF space, and inheritance down the directories.
 
-A notice is a line with a licensing word. It goes to the template with the largest cosine, if that is large enough. A
-file mostly made of notices, or named as licence files are, licenses its directory; files without a notice of their own
-take the licence of the nearest directory above them that has one.
+What is compared is every line with a licensing word, the same line with the lines before and after it (a wrapped notice),
+the paragraph that a file begins with if it has such a word, and the whole of a file that is named as licence files are.
+Each goes to the template with the largest cosine, if that is large enough. A file mostly made of notices, or named so,
+licenses its directory; files without a notice of their own take the licence of the nearest directory above them that has
+one. The texts are read once; all that follows works on what that pass has found.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratadoc.llm.words import ascii_lower
+from stratadoc.session import saved
 
 #: Public licence notices by identifier.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -24,10 +30,13 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 #: The words that make a line a notice, and the names of licence files.
 CUES = r"licen[cs]e|copyright|redistribut|permission is hereby|spdx"
@@ -47,40 +56,63 @@ def _templates(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFra
     return rows.select("template", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def _weights(files: DataFrame, template_terms: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, license, term, weight (of a vector of length one), idf: a table as small as the templates.
+#: What a unit of comparison is, in the order of its size.
+LINE, NEIGHBOURS, HEADER, FILE = "line", "neighbours", "header", "file"
 
-    How many files hold a term is counted over all of files.
-    """
-    import re
 
+def _scanned(files: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """path, text_key, total_chars, held (template terms that the text has) and units, from one pass over the texts."""
     vocabulary = sorted({t for _, text in templates for t in re.findall("[a-z0-9]+", text.lower())})
-    held = files.select(F.explode(F.array_intersect(terms(F.col("text")), F.array(*map(F.lit, vocabulary)))).alias("term"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    n = files.agg(F.count("*").alias("n"))
+    low = files.select("path", F.xxhash64("text").alias("text_key"), F.length("text").alias("total_chars"), ascii_lower(F.col("text")).alias("low"))
+    listed = low.withColumn("lines", F.when(F.col("low").rlike(CUES), F.split("low", "\n", -1)))
+    line = lambda i: F.get("lines", i)
+    unit = lambda kind, i, text, own: F.struct(F.lit(kind).alias("kind"), i.alias("line_no"), F.length(own).alias("n_chars"), text.alias("text"))
+    cued = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: line(i).rlike(CUES))
+    near = lambda i: F.array_join(F.slice("lines", F.greatest(i, F.lit(1)), F.least(i + 2, F.size("lines")) - F.greatest(i - 1, F.lit(0))), " ")
+    each = F.flatten(F.transform(cued, lambda i: F.array(unit(LINE, i, line(i), line(i)), unit(NEIGHBOURS, i, near(i), line(i)))))
+    header = F.substring_index("low", "\n\n", 1)
+    of_header = F.when(header.rlike(CUES) & (header != F.col("low")), F.array(unit(HEADER, F.lit(0), header, header)))
+    of_file = F.when(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_FILES), F.array(unit(FILE, F.lit(0), F.col("low"), F.col("low"))))
+    none = F.expr("cast(array() as array<struct<kind: string, line_no: int, n_chars: int, text: string>>)")
+    units = F.concat(F.coalesce(each, none), F.coalesce(of_header, none), F.coalesce(of_file, none))
+    held = F.array_intersect(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)), F.array(*map(F.lit, vocabulary)))
+    return saved(listed.select("path", "text_key", "total_chars", F.coalesce(held, F.array().cast("array<string>")).alias("held"), units.alias("units")), "license-scan")
+
+
+def _weights(scanned: DataFrame, template_terms: DataFrame) -> DataFrame:
+    """template, license, term, weight (of a vector of length one), idf: a table as small as the templates.
+
+    How many files hold a term is counted over all of them.
+    """
+    df = scanned.select(F.explode("held").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = scanned.agg(F.count("*").alias("n"))
     idf = F.log((F.col("n") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     raw = template_terms.join(df, "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", idf).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("template")))
-    return raw.select("template", "license", "term", (F.col("raw") / norm).alias("weight"), "idf", (F.log(F.col("n") + 1) + 1).alias("unseen"))
+    return saved(raw.select("template", "license", "term", (F.col("raw") / norm).alias("weight"), "idf", (F.log(F.col("n") + 1) + 1).alias("unseen")), "template-weights")
+
 
+UNIT = ["path", "text_key", "kind", "line_no", "n_chars", "total_chars"]
 
-def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """path, line_no, n_chars (of the line), total_chars (of the file), license, score for each notice with a licence."""
-    spark = files.sparkSession
-    weights = _weights(files, _templates(spark, templates), templates).cache()
-    lines = files.select("path", F.length("text").alias("total_chars"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = lines.filter(ascii_lower(F.col("line")).rlike(CUES))
-    key = ["path", "line_no", "n_chars", "total_chars"]
-    tf = lines.select("path", "line_no", F.length("line").alias("n_chars"), "total_chars", F.explode(terms(F.col("line"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+
+def notices(scanned: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
+    """path, text_key, kind, line_no, n_chars (of the line, paragraph or file), total_chars (of the file), license, score for
+    each unit with a licence."""
+    weights = _weights(scanned, _templates(scanned.sparkSession, templates))
+    # Rows equal in path and text are one file, so their units are taken once.
+    units = scanned.select("path", "text_key", "total_chars", F.explode("units").alias("u")).select("path", "text_key", "u.kind", "u.line_no", "u.n_chars", "total_chars", "u.text").distinct()
+    tf = units.select(*UNIT, F.explode(terms(F.col("text"))).alias("term")).groupBy(*UNIT, "term").agg(F.count("*").alias("tf"))
     # Both tables have a row for each term of a template at most, whatever the corpus.
     known = weights.groupBy("term").agg(F.first("idf").alias("idf"))
     unseen = weights.agg(F.max("unseen").alias("unseen"))
     weighed = tf.join(F.broadcast(known), "term", "left").crossJoin(F.broadcast(unseen)).withColumn("raw", F.col("tf") * F.coalesce("idf", "unseen"))
-    norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    dots = weighed.join(F.broadcast(weights.select("template", "license", "term", "weight")), "term").groupBy(*key, "template", "license").agg(F.sum(F.col("raw") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= min_cosine)
+    weighed = weighed.groupBy(*UNIT).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "raw"))).alias("known"))
+    # A unit's terms that templates have are at most as many as the templates' terms.
+    dots = weighed.select(*UNIT, "norm", F.explode("known").alias("k")).join(F.broadcast(weights.select("template", "license", F.col("term").alias("of"), "weight")), F.col("k.term") == F.col("of"))
+    dots = dots.groupBy(*UNIT, "norm", "template", "license").agg(F.sum(F.col("k.raw") * F.col("weight")).alias("dot"))
+    cosines = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= min_cosine)
     best = F.min(F.struct((-F.col("score")).alias("order"), "license"))
-    return cosines.groupBy(*key).agg(best.alias("best")).select(*key, F.col("best.license").alias("license"), (-F.col("best.order")).alias("score"))
+    return cosines.groupBy(*UNIT).agg(best.alias("best")).select(*UNIT, F.col("best.license").alias("license"), (-F.col("best.order")).alias("score"))
 
 
 def _parent(path: Column) -> Column:
@@ -91,18 +123,25 @@ def license_scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """path, license, origin (own, inherited or none), score, n_notices, licensed_dir for each path of files (path, text).
 
     Of a file's notices the one with the largest score counts (then the first licence by name), so of a directory's
-    licence files. Null and empty texts have no notice; null paths have no directory and inherit nothing. Repeated
-    paths are one file whose lines are those of all its rows. An empty table gives an empty result.
+    licence files. n_notices is the number of its lines with a licensing word that, alone or with their neighbours, come
+    out as a licence. Null and empty texts have no notice; rows without a path are no file and get a row without a licence. Rows of one
+    path are one file: its notices are those of all its rows (rows equal in text count once), and it licenses its
+    directory if one of its texts does. An empty table gives an empty result. Other columns are not looked at.
     """
-    found = notices(files.select("path", "text"), templates, min_cosine).cache()
+    scanned = _scanned(files.select("path", "text"), templates)
+    found = saved(notices(scanned, templates, min_cosine), "notices")
     best = F.min(F.struct((-F.col("score")).alias("order"), "license"))
-    own = found.groupBy("path").agg(
-        best.alias("own"), F.count_distinct("line_no").alias("n_notices"), (F.sum("n_chars") / F.max("total_chars")).alias("share")
-    )
+    line = found.filter(F.col("kind").isin(LINE, NEIGHBOURS)).select("path", "text_key", "line_no", "n_chars").distinct()
+    by_line = line.groupBy("path", "text_key").agg(F.count("*").alias("lines"), F.sum("n_chars").alias("chars"))
+    whole = F.max(F.when(~F.col("kind").isin(LINE, NEIGHBOURS), F.col("n_chars")))
+    of_text = found.groupBy("path", "text_key").agg(best.alias("own"), whole.alias("whole"), F.max("total_chars").alias("total_chars"))
+    of_text = of_text.alias("t").join(by_line.alias("l"), (F.col("t.path") == F.col("l.path")) & (F.col("t.text_key") == F.col("l.text_key")), "left")
+    share = F.greatest(F.coalesce("chars", F.lit(0)), F.coalesce("whole", F.lit(0))) / F.col("total_chars")
+    own = of_text.groupBy("t.path").agg(F.min("own").alias("own"), F.sum(F.coalesce("lines", F.lit(0))).alias("n_notices"), F.max(share).alias("share"))
     is_file = (F.col("share") >= file_share) | F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_FILES)
     licensed = own.filter(is_file & F.col("path").isNotNull()).groupBy(_parent(F.col("path")).alias("licensed_dir")).agg(F.min("own").alias("dir_own"))
 
-    paths = files.select("path").distinct().withColumn("dir", _parent(F.col("path")))
+    paths = scanned.select("path").distinct().withColumn("dir", _parent(F.col("path")))
     # Nearest licensed ancestor, once for each directory that holds files.
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.llm import decontaminate, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
-from stratadoc.session import table
+from stratadoc.session import saved, table
 
 #: The tokenizer whose counts op10 returns.
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,11 +51,12 @@ def op8_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree: source, then ten thousands and hundreds of ids."""
+    """Documents as files of a tree: source, then ten thousands and hundreds of ids; a row for each document."""
     docs, id_ = table(spark, sf_dir, "documents"), F.col("doc_id")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(id_ / 10000).cast("string"), F.floor(id_ / 100).cast("string"), id_.cast("string"))
-    found = licenses.license_scan(docs.select(path.alias("path"), "text"))
-    return found.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).cast("long"))
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    path = F.concat_ws("/", part(F.col("source")), part(F.floor(id_ / 10000)), part(F.floor(id_ / 100)), part(id_))
+    found = saved(licenses.license_scan(docs.select(path.alias("path"), "text")), "licenses")
+    return docs.select("doc_id", path.alias("path")).join(found, "path").select("doc_id", *found.columns)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +146,8 @@ FROM listed l LEFT JOIN kept k USING (doc_id)
 OP9_SQL = rf"""
 WITH templates(template, license, text) AS (VALUES {", ".join("(%d, '%s', '%s')" % (i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES))}),
 files AS (
-  SELECT coalesce(source, 'none') || '/' || doc_id // 10000 || '/' || doc_id // 100 || '/' || doc_id AS path, text,
+  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(CAST(doc_id // 10000 AS VARCHAR), 'none') || '/'
+         || coalesce(CAST(doc_id // 100 AS VARCHAR), 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') AS path, text,
          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
 ), template_terms AS (
   SELECT template, license, term, count(*) AS tf
@@ -158,31 +160,42 @@ raw AS (
   SELECT template, license, term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, tf * idf AS r
   FROM template_terms LEFT JOIN df USING (term), n
 ), weights AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY template)) AS w FROM raw),
-known AS (SELECT term, any_value(idf) AS idf FROM weights GROUP BY term),
-lines AS (
-  SELECT path, length(text) AS total, ls[i] AS line, i - 1 AS line_no
-  FROM (SELECT path, text, string_split(low, chr(10)) AS ls, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS i FROM files)
-  WHERE regexp_matches(ls[i], '{licenses.CUES}')
+known AS (SELECT term, any_value(idf) AS idf FROM weights GROUP BY term), split AS (SELECT path, hash(text) AS key, length(text) AS total, string_split(low, chr(10)) AS ls FROM files WHERE low IS NOT NULL),
+cued AS (
+  SELECT DISTINCT path, key, total, i - 1 AS line_no, ls[i] AS line, ls[greatest(i - 1, 1):i + 1] AS near
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM split) WHERE regexp_matches(ls[i], '{licenses.CUES}')
+), headers AS (
+  SELECT DISTINCT path, hash(text) AS key, length(text) AS total, string_split(low, chr(10) || chr(10))[1] AS header FROM files
+  WHERE contains(low, chr(10) || chr(10)) AND regexp_matches(string_split(low, chr(10) || chr(10))[1], '{licenses.CUES}')
+), units AS (
+  SELECT path, key, 'line' AS kind, line_no, length(line) AS n_chars, total, line AS txt FROM cued
+  UNION ALL SELECT path, key, 'neighbours', line_no, length(line), total, array_to_string(near, ' ') FROM cued
+  UNION ALL SELECT path, key, 'header', 0, length(header), total, header FROM headers
 ), tf AS (
-  SELECT path, line_no, n_chars, total, term, count(*) AS tf
-  FROM (SELECT path, line_no, length(line) AS n_chars, total, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL
-), weighed AS (SELECT tf.*, tf * coalesce(idf, ln(n + 1) + 1) AS r FROM tf LEFT JOIN known USING (term), n),
-norms AS (SELECT path, line_no, sqrt(sum(r * r)) AS norm FROM weighed GROUP BY ALL),
+  SELECT path, key, kind, line_no, n_chars, total, term, count(*) AS tf
+  FROM (SELECT * EXCLUDE txt, unnest(regexp_extract_all(txt, '[a-z0-9]+')) AS term FROM units) GROUP BY ALL
+), weighed AS (SELECT tf.*, idf, tf * coalesce(idf, ln(n + 1) + 1) AS r FROM tf LEFT JOIN known USING (term), n),
+norms AS (SELECT path, key, kind, line_no, sqrt(sum(r * r)) AS norm FROM weighed GROUP BY ALL),
 cosines AS (
-  SELECT path, line_no, n_chars, total, license, round(sum(d.r * w.w) / any_value(norm), 6) AS score
-  FROM weighed d JOIN weights w USING (term) JOIN norms USING (path, line_no) GROUP BY path, line_no, n_chars, total, template, license
+  SELECT path, key, kind, line_no, n_chars, total, license, round(sum(d.r * w.w) / any_value(norm), 6) AS score
+  FROM weighed d JOIN weights w USING (term) JOIN norms USING (path, key, kind, line_no) GROUP BY path, key, kind, line_no, n_chars, total, template, license
 ), best AS (
-  SELECT path, line_no, n_chars, total, min({{'o': -score, 'l': license}}) AS b FROM cosines WHERE score >= {licenses.MIN_COSINE}
-  GROUP BY path, line_no, n_chars, total
+  SELECT path, key, kind, line_no, n_chars, total, min({{'o': -score, 'l': license}}) AS b FROM cosines WHERE score >= {licenses.MIN_COSINE}
+  GROUP BY path, key, kind, line_no, n_chars, total
+), by_line AS (
+  SELECT path, key, count(*) AS n_lines, sum(n_chars) AS chars FROM (SELECT DISTINCT path, key, line_no, n_chars FROM best WHERE kind <> 'header') GROUP BY ALL
+), of_text AS (
+  SELECT path, key, min(b) AS own, max(CASE WHEN kind = 'header' THEN n_chars END) AS whole, max(total) AS total FROM best GROUP BY ALL
 ), own AS (
-  SELECT path, min(b) AS own, count(DISTINCT line_no) AS n_notices, sum(n_chars) / max(total) AS share FROM best GROUP BY path
+  SELECT path, min(own) AS own, sum(coalesce(n_lines, 0)) AS n_notices, max(greatest(coalesce(chars, 0), coalesce(whole, 0)) / total) AS share
+  FROM of_text LEFT JOIN by_line USING (path, key) GROUP BY path
 ), licensed AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, min(own) AS dir_own FROM own WHERE share >= {licenses.FILE_SHARE} GROUP BY ALL
 ), near AS (
   SELECT path, max({{'n': length(dir), 'd': dir, 'o': dir_own}}) AS near
   FROM files JOIN licensed ON starts_with(path, dir || '/') GROUP BY path
 )
-SELECT CAST(string_split(f.path, '/')[-1] AS BIGINT) AS doc_id, f.path, coalesce(own.l, near.o.l) AS license,
+SELECT f.doc_id, f.path, coalesce(own.l, near.o.l) AS license,
        CASE WHEN own IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        -coalesce(own.o, near.o.o) AS score, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices,
        CASE WHEN own IS NULL THEN near.d END AS licensed_dir
