@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ SHARED_CLASSES = 512
 #: Frequent words whose counts are broadcast, at most.
 FREQUENT = 1 << 17
 ROUNDS = 6
-#: Training cuts texts into pieces of this many words; scoring never does.
-PIECE = 512
-BATCH_TOKENS = 1 << 18
+#: Tokens of texts that go through the recursions together, and of texts that a task holds so as to take like lengths together
+#: (a longer text is taken alone). Texts are never cut.
+BATCH_TOKENS, HELD_TOKENS = 1 << 18, 1 << 22
 #: Distinct words that a task counts before it passes the counts on; rows that it encodes at once.
 COUNTED, ENCODED = 1 << 18, 1024
 SMOOTHING = 0.5
@@ -128,30 +129,27 @@ def _encode(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, shared_total, end_count = shared.value
-        first_shared = 1 + OWN_CLASSES
-        logs = {c: math.log10(c + SMOOTHING) for c in {c for _, c in frequent.values()}}
-        # word -> class, its term in the base score, its term within its class
-        known = {w: (k, logs[c], 0.0 if k < first_shared else logs[c] - shared_total[k - first_shared]) for w, (k, c) in frequent.items()}
+        first_shared, shared_total = 1 + OWN_CLASSES, np.array(shared_total)
+        number = {w: i for i, w in enumerate(frequent)}
+        kind, c = np.array(list(frequent.values()), np.int64).reshape(-1, 2).T
+        # Of each frequent word: its term in the base score, its term within its class.
+        base_of = np.log10(c + SMOOTHING)
+        within_of = np.where(kind < first_shared, 0.0, base_of - shared_total[np.maximum(kind - first_shared, 0)])
         end_log = math.log10(end_count + SMOOTHING)
         row_id = TaskContext.get().partitionId() << 40
         for batch in (b.slice(i, ENCODED) for b in batches for i in range(0, b.num_rows, ENCODED)):
             out = []
             for content in batch.column("content"):
-                codes, rare, base, within = [], [], [end_log], []
-                for word in content.as_py().translate(BYTES_TO_LOWER).split():
-                    found = known.get(word)
-                    if found is None:
-                        kind = shared_class(word)
-                        codes.append(first_shared + kind)
-                        within.append(-shared_total[kind])
-                        rare.append(word)
-                    else:
-                        codes.append(found[0])
-                        base.append(found[1])
-                        within.append(found[2])
-                codes.append(END)
-                n_known = len(codes) - len(rare) - (end_count == 0)
-                out.append((row_id, len(codes), n_known, math.fsum(base), math.fsum(within), np.array(codes, "<u2").tobytes(), rare))
+                words = content.as_py().translate(BYTES_TO_LOWER).split()
+                at = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+                known, others = at[at >= 0], np.flatnonzero(at < 0).tolist()
+                rare = [words[i] for i in others]
+                shared_kinds = np.fromiter(map(shared_class, rare), np.int64, len(rare))
+                codes = np.zeros(len(words) + 1, "<u2")  # END comes last
+                codes[:-1][at >= 0] = kind[known]
+                codes[others] = first_shared + shared_kinds
+                base, within = end_log + base_of[known].sum(), within_of[known].sum() - shared_total[shared_kinds].sum()
+                out.append((row_id, len(codes), len(codes) - len(rare) - (end_count == 0), float(base), float(within), codes.tobytes(), rare))
                 row_id += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
             if out:
@@ -161,19 +159,31 @@ def _encode(shared):
     return run
 
 
-def _batches(arrays: Iterator[pa.Array], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Codes of several texts, one after the other, their lengths, and the number of texts before, a bounded lot at a time."""
-    held, n, first = [], 0, 0
-    for array in arrays:
-        for x in array:
-            held.append(np.frombuffer(x.as_buffer(), "<u2"))
-            n += len(held[-1])
-            if n >= most:
-                yield np.concatenate(held).astype(np.int64), np.array([len(h) for h in held]), first
-                first += len(held)
-                held, n = [], 0
-    if held:
-        yield np.concatenate(held).astype(np.int64), np.array([len(h) for h in held]), first
+def _by_length(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, codes (one text after the other) and lengths of texts, those of like lengths together, a bounded lot at a time."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(lengths, kind="stable")
+    work = np.cumsum(lengths[order])
+    cuts = np.unique(np.searchsorted(work, np.arange(BATCH_TOKENS, work[-1] + BATCH_TOKENS, BATCH_TOKENS)).clip(max=len(texts) - 1) + 1) if len(texts) else []
+    begin = 0
+    for stop in cuts:
+        some = order[begin:stop]
+        begin = stop
+        yield some, np.concatenate([texts[i] for i in some]).astype(np.int64), lengths[some]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The texts' codes, so many texts at a time as a task holds."""
+    texts, n = [], 0
+    for batch in batches:
+        for x in batch.column("codes"):
+            texts.append(np.frombuffer(x.as_py(), "<u2"))
+            n += len(texts[-1])
+            if n >= HELD_TOKENS:
+                yield texts
+                texts, n = [], 0
+    if texts:
+        yield texts
 
 
 @dataclass
@@ -203,11 +213,8 @@ def _expected(model: Model):
         k, n_classes = model.emit.shape
         starts, pairs, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
         trans, start = model.trans.astype(np.float32), model.start.astype(np.float32)
-        for codes, lengths, _ in _batches((b.column("codes") for b in batches), BATCH_TOKENS):
-            pieces = -(-lengths // PIECE)
-            cut = np.full(pieces.sum(), PIECE)
-            cut[np.cumsum(pieces) - 1] = lengths - (pieces - 1) * PIECE
-            pack = Packed(cut)
+        for _, codes, lengths in (lot for texts in _held(batches) for lot in _by_length(texts)):
+            pack = Packed(lengths)
             emit = model.packed(pack, codes)
             alpha, scale = pack.forward(start, trans, emit)
             beta, ahead = pack.backward(trans, emit, scale)
@@ -242,13 +249,12 @@ def _likelihood(shared):
         model = Model(*shared.value)
         trans, start = model.trans.astype(np.float32), model.start.astype(np.float32)
         for batch in batches:
-            found = []
-            for codes, lengths, _ in _batches(iter([batch.column("codes")]), BATCH_TOKENS):
+            found = np.empty(batch.num_rows)
+            for some, codes, lengths in _by_length([np.frombuffer(x.as_py(), "<u2") for x in batch.column("codes")]):
                 pack = Packed(lengths)
                 _, scale = pack.forward(start, trans, model.packed(pack, codes))
-                found.append(np.bincount(pack.sequence, weights=np.log10(scale.astype(np.float64))[pack.place], minlength=len(lengths)))
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.concatenate(found))], ["row_id", "classes"])
+                found[some] = np.bincount(pack.sequence, weights=np.log10(scale.astype(np.float64))[pack.place], minlength=len(lengths))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(found)], ["row_id", "classes"])
 
     return run
 

@@ -444,6 +444,57 @@ def test_forward_and_backward_equal_enumeration():
     assert (alpha * beta).sum(axis=1) == pytest.approx(np.ones(len(codes)))
 
 
+def test_expected_counts_of_whole_texts(monkeypatch):
+    """Baum-Welch counts of texts of mixed lengths, in several lots, by a plain recursion over each whole text."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(hmm_lm, "BATCH_TOKENS", 40)
+    monkeypatch.setattr(hmm_lm, "HELD_TOKENS", 150)
+    r = np.random.default_rng(6)
+    model = hmm_lm.first_model(r.integers(1, 9, 12).astype(float), states=3)
+    texts = [r.integers(0, 12, n) for n in (1, 30, 2, 700, 5, 5, 41, 1, 90, 3)]
+    found = hmm_lm._expected(model)(iter([pa.RecordBatch.from_arrays([pa.array([t.astype("<u2").tobytes() for t in texts])], ["codes"])]))
+    starts, pairs, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 12))
+    for t in texts:
+        alpha, beta = [model.start * model.emit[:, t[0]]], [np.ones(3)]
+        for x in t[1:]:
+            alpha[-1] = alpha[-1] / alpha[-1].sum()
+            alpha.append(alpha[-1] @ model.trans * model.emit[:, x])
+        for x in t[:0:-1]:
+            b = model.trans @ (model.emit[:, x] * beta[0])
+            beta.insert(0, b / b.sum())
+        for k, x in enumerate(t):
+            both = alpha[k] * beta[k]
+            emits[:, x] += both / both.sum()
+            if k == 0:
+                starts += both / both.sum()
+            else:
+                step = alpha[k - 1][:, None] * model.trans * (model.emit[:, x] * beta[k])[None, :]
+                pairs += step / step.sum()
+    assert np.allclose(found, np.concatenate((starts, pairs.ravel(), emits.ravel())), rtol=1e-3, atol=1e-3)
+
+
+def test_language_model_score_by_a_plain_forward_pass(docs, rows):
+    """score of every row, from its own classes and word shares, with a model of known states."""
+    r = np.random.default_rng(1)
+    model = hmm_lm.Model(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(20), 3))
+
+    class Shared:
+        value = (model.start, model.trans, model.emit)
+
+    import pyarrow as pa
+
+    texts = [r.integers(0, 20, n) for n in (4, 900, 1, 33)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([t.astype("<u2").tobytes() for t in texts])], ["row_id", "codes"])
+    (found,) = hmm_lm._likelihood(Shared)(iter([batch]))
+    for t, score in zip(texts, found.column("classes").to_pylist()):
+        alpha, total = model.start * model.emit[:, t[0]], 0.0
+        for x in t[1:]:
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum() @ model.trans * model.emit[:, x]
+        assert score == pytest.approx(total + math.log10(alpha.sum()), rel=1e-5)
+
+
 def test_class_shares_make_a_probability(docs):
     """Over all known words and one unknown word of each class, a class's words have probability one."""
     rows = docs.select("doc_id", F.lit(True).alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
