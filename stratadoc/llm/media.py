@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.session import new_path, saved
@@ -211,6 +211,13 @@ def media_features(places: DataFrame, root: str) -> DataFrame:
     return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(_features(root), FEATURE_SCHEMA)
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark takes it for, as pyarrow wants it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     """Stores the texts of docs and returns a row for each: ids, sizes, digests, feature, header columns and place.
 
@@ -219,8 +226,7 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     by one task, which the longest text must fit.
     """
     spark = docs.sparkSession
-    root = root or new_path(spark, "media")
-    root = root if "://" in root else "file://" + root.removeprefix("file:")
+    root = _qualified(spark, root or new_path(spark, "media"))
     rows, places = store_media(docs, root)
     # A table of its own, so that the join can be split where a third of all rows have one payload.
     features = saved(media_features(places, root), "media-features")

@@ -62,7 +62,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    # The setting names a folder that outlives the run; without it the cache is this run's own.
+    cache = spark.conf.get("spark.stratadoc.tokenCache", None)
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,8 @@ from stratadoc.session import new_path, saved
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 #: Bytes of text that one call to the tokenizer gets at most (a single longer text goes alone).
 CALL_BYTES = 1 << 20
+#: Missing digests up to which they are broadcast, so that cached texts aren't shuffled.
+MISSES_SENT = 100_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -84,10 +86,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     # An append of no rows: makes the folder when it is missing and leaves it as it is otherwise.
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == name)
-    misses = (
-        rows.groupBy("digest").agg(F.first("content").alias("content"))
-        .join(cached.select("digest"), "digest", "left_anti")
-    )
+    # The cache is asked with digests alone; texts move only where they are missing.
+    missing = saved(rows.select("digest").distinct().join(cached.select("digest"), "digest", "left_anti"), "missing-digests")
+    if missing.count() <= MISSES_SENT:
+        misses = rows.join(F.broadcast(missing), "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
+    else:
+        # Copies meet within a task before they are shuffled, so a text with a third of all rows is no hot key.
+        misses = rows.groupBy("digest").agg(F.first("content").alias("content")).join(missing, "digest", "left_semi")
     found = misses.mapInArrow(_encoder(tokenizer_path), "digest string, n_tokens long")
     found.select(F.lit(name).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
 

@@ -662,6 +662,20 @@ def test_special_strings_count_as_the_library_has_it(spark):
     assert token_counts.token_counts(docs, path).first()["n_tokens"] == len(Tokenizer.from_file(path).encode("a <|endoftext|> b", add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_few_misses_and_many_give_equal_counts(docs, spark, tmp_path, monkeypatch, sent):
+    """A second run asks for what the first hasn't seen, whichever way the misses are fetched; none are encoded twice."""
+    import public_tokenizers
+
+    monkeypatch.setattr(token_counts, "MISSES_SENT", sent)
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    token_counts.token_counts(docs.filter("doc_id < 30"), path, cache).count()
+    found = token_counts.token_counts(docs, path, cache)
+    assert result(found, "doc_id", "n_bytes", "n_tokens") == result(token_counts.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens")
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("digest").distinct().count()
+
+
 def test_token_counts_of_nothing(empty):
     import public_tokenizers
 
