@@ -55,7 +55,8 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "cases": ([], """
   SELECT item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN 'any' ELSE 'all' END AS mode, CASE WHEN item_id % 4 < 2 THEN 'design' ELSE 'bug' END AS bank,
          CASE WHEN item_id % 2 = 0 THEN 'focused' ELSE 'scattered' END AS type, text AS q FROM benchmark"""),
-    "anchors": (["cases"], "SELECT case_id, mode, g AS group_no, a AS anchor_no, substr(q, g * 60 + a * 30 + 1, 30) AS anchor FROM cases, range(2) x(g), range(2) y(a) WHERE substr(q, g * 60 + a * 30 + 1, 30) <> ''"),
+    "anchors": (["cases"], """
+  SELECT case_id, mode, n // 4 AS group_no, n % 4 AS anchor_no, substr(q, n * 30 + 1, 30) AS anchor FROM (SELECT case_id, mode, q, unnest(range(0, (length(q) + 29) // 30)) AS n FROM cases WHERE q <> '')"""),
     "holding": (["anchors", "blocks"], "SELECT anchor, i FROM (SELECT DISTINCT anchor FROM anchors) JOIN blocks ON contains(content, anchor)"),
     "sweep": ([], "SELECT k FROM (VALUES (CAST(1 AS BIGINT)), (2), (4), (8), (16)) t(k)"),
     "fused": (["arms", "sweep"], """
@@ -71,14 +72,22 @@ PARTS: dict[str, tuple[list[str], str]] = {
   SELECT k, arm, case_id, CAST(sum(n_hit) AS BIGINT) AS n_hit, CASE WHEN mode = 'any' THEN bool_or(n_hit = n_all) ELSE bool_and(n_hit = n_all) END AS ok
   FROM group_hits GROUP BY k, arm, case_id, mode"""),
     "group_sizes": (["anchors"], "SELECT case_id, group_no, mode, count(*) AS n FROM anchors GROUP BY ALL"),
-    "held": (["anchors", "holding"], "SELECT DISTINCT case_id, group_no, anchor_no, i FROM anchors JOIN holding USING (anchor)"),
-    "covers": (["group_sizes", "held"], """
-  SELECT s.case_id, s.group_no, mode,
-         coalesce((SELECT [min(i)] FROM (SELECT i FROM held h WHERE h.case_id = s.case_id AND h.group_no = s.group_no GROUP BY i HAVING count(*) = s.n) HAVING count(*) > 0),
-                  (SELECT min(list_sort([a.i, b.i])) FROM held a JOIN held b ON a.case_id = b.case_id AND a.group_no = b.group_no AND a.anchor_no < b.anchor_no WHERE a.case_id = s.case_id AND a.group_no = s.group_no),
-                  (SELECT list_sort(list(DISTINCT i)) FROM held h WHERE h.case_id = s.case_id AND h.group_no = s.group_no), CAST([] AS BIGINT[])) AS cover
-  FROM group_sizes s"""),
-    "needs": (["covers"], "SELECT case_id, CAST(CASE WHEN any_value(mode) = 'any' THEN min(len(cover)) ELSE sum(len(cover)) END AS BIGINT) AS need FROM covers GROUP BY case_id"),
+    "own_anchors": (["anchors"], "SELECT case_id, group_no, mode, anchor, dense_rank() OVER (PARTITION BY case_id, group_no ORDER BY anchor) - 1 AS bit FROM anchors"),
+    "masks": (["own_anchors", "holding"], "SELECT case_id, group_no, i, bit_or(1 << bit) AS m FROM own_anchors JOIN holding USING (anchor) GROUP BY ALL"),
+    "goals": (["own_anchors", "masks"], """
+  SELECT case_id, group_no, mode, goal, coalesce(goal = can, false) AS complete FROM (SELECT case_id, group_no, any_value(mode) AS mode, bit_or(1 << bit) AS goal FROM own_anchors GROUP BY case_id, group_no)
+  LEFT JOIN (SELECT case_id, group_no, bit_or(m) AS can FROM masks GROUP BY ALL) USING (case_id, group_no)"""),
+    "least_of": (["masks"], "SELECT case_id, group_no, m, min(i) AS i FROM masks GROUP BY ALL"),
+    "chosen": (["least_of"], """
+  SELECT case_id, group_no, m, [i] AS cover FROM least_of
+  UNION SELECT c.case_id, c.group_no, c.m | l.m, list_sort(list_append(cover, l.i)) FROM chosen c JOIN least_of l ON l.case_id = c.case_id AND l.group_no = c.group_no WHERE (l.m & ~c.m) <> 0"""),
+    "covers": (["goals", "chosen", "masks"], """
+  SELECT case_id, group_no, mode, complete, coalesce(
+           CASE WHEN complete THEN (SELECT min({'n': len(cover), 'c': cover}).c FROM chosen c WHERE c.case_id = g.case_id AND c.group_no = g.group_no AND c.m = goal)
+                ELSE (SELECT list_sort(list(i)) FROM masks h WHERE h.case_id = g.case_id AND h.group_no = g.group_no) END, CAST([] AS BIGINT[])) AS cover
+  FROM goals g"""),
+    "needs": (["covers"], """
+  SELECT case_id, CAST(CASE WHEN any_value(mode) = 'any' THEN min(len(cover)) FILTER (complete) WHEN bool_and(complete) THEN sum(len(cover)) END AS BIGINT) AS need FROM covers GROUP BY case_id"""),
     "answers": (["cases"], """
   SELECT conv_id * 100 + turn AS answer_id, conv_id % (SELECT count(*) FROM benchmark) AS case_id, ['dense', 'bm25', 'hybrid', 'long'][(turn // 2) % 4 + 1] AS arm, text AS answer, bank, type, mode
   FROM conversations JOIN cases ON case_id = conv_id % (SELECT count(*) FROM benchmark) WHERE role = 'assistant'"""),
@@ -167,7 +176,7 @@ def _with(names: list[str], last: str) -> str:
 
     for name in names:
         add(name)
-    return ("WITH " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" if order else "") + last
+    return ("WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in order) + "\n" if order else "") + last
 
 
 def _rounded(*columns: str) -> str:
@@ -179,7 +188,8 @@ HEADED = f"'# 文件：' || source || {NL} || {NL} || text"
 
 ORACLES: dict[str, str] = {
     "corpus_scan": f"SELECT doc_id AS corpus_ord, source, length({HEADED}) AS chars, sha256({HEADED}) AS sha256 FROM documents",
-    "corpus_concat": f"SELECT source, length(t) AS chars, sha256(t) AS sha256 FROM (SELECT source, string_agg({HEADED}, {NL} || {NL} ORDER BY doc_id) AS t FROM documents GROUP BY source)",
+    "corpus_concat": f"""SELECT source, doc_id AS corpus_ord, CAST(coalesce(sum(length(t) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+  length(t) AS chars, sha256(t) AS sha256 FROM (SELECT source, doc_id, {HEADED} AS t FROM documents)""",
     "normalize": f"SELECT doc_id, length({_norm('text')}) AS chars, sha256({_norm('text')}) AS sha256 FROM documents",
     "char_ngrams": _with(["doc_grams"], "SELECT d.doc_id, count(gram) AS n_grams, count(DISTINCT gram) AS n_distinct FROM documents d LEFT JOIN doc_grams g USING (doc_id) GROUP BY d.doc_id"),
     "identifiers": rf"""WITH found AS (SELECT doc_id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '`[^`]+`|[A-Za-z_][A-Za-z0-9_]+|\p{{Nd}}+') AS l FROM documents)),
@@ -189,6 +199,17 @@ SELECT d.doc_id, count(t) AS n_ids, sha256(coalesce(string_agg(t, '|' ORDER BY i
     "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT doc_id, {_terms('text')} AS t FROM documents)",
     "block_anchors": _with(["blocks"], r"SELECT doc_id, ord, substr(regexp_replace(content, '^[\s\p{Z}]+', ''), 1, 60) AS anchor FROM blocks"),
     "refusal": f"SELECT conv_id, turn, regexp_matches(text, '资料里没有提到|资料中没有提到|资料里没有|未提到|没有相关') AND length({_norm('text')}) <= 40 AS refusal FROM conversations",
+    "fuzzy_contains": _with(["answers", "anchors"], f""", pairs AS (
+  SELECT w.case_id, group_no, anchor_no, {_norm('answer')} AS na, CASE WHEN anchor_no = 1 THEN {_norm("(left(anchor, length(anchor) - 1) || '#')")} ELSE {_norm('anchor')} END AS nn
+  FROM answers w JOIN anchors a ON a.case_id = w.case_id
+), tested AS (
+  SELECT case_id, group_no, anchor_no, CASE WHEN contains(na, nn) THEN true
+           WHEN length(nn) >= 8 AND (contains(na, substr(nn, 1, length(nn) // 2)) OR contains(na, substr(nn, length(nn) // 2 + 1))) THEN
+             len(list_filter(range(1, length(nn) + 1), lambda p: contains(na, substr(nn, 1, p - 1) || substr(nn, p + 1)))) > 0
+             OR len(list_filter(range(1, length(na) - length(nn) + 2), lambda s: len(list_filter(range(0, length(nn)), lambda p: substr(na, s + p, 1) <> substr(nn, p + 1, 1))) <= 1)) > 0
+           ELSE false END AS near FROM pairs
+)
+SELECT case_id, group_no, anchor_no, count(*) FILTER (near) AS n_near, count(*) AS n FROM tested GROUP BY ALL"""),
     "fixed_chunks": _with(["blocks"], "SELECT doc_id, ord, length(content) AS chars, sha256(content) AS sha256 FROM blocks"),
     "block_ids": _with(["blocks"], "SELECT i, doc_id, sha256(content) AS sha256 FROM blocks"),
     "blocks_per_source": _with(["blocks"], "SELECT source, count(*) AS n_blocks FROM blocks GROUP BY source"),
@@ -217,8 +238,8 @@ UNION ALL SELECT query_id, 1, 'user', sha256(text) FROM contexts JOIN benchmark
     "hit_rate_pivot": _with(["results", "needs"], """SELECT bank, type, round(avg(CAST(ok AS INT)) FILTER (arm = 'dense'), 6) AS dense, round(avg(CAST(ok AS INT)) FILTER (arm = 'bm25'), 6) AS bm25,
   round(avg(CAST(ok AS INT)) FILTER (arm = 'hybrid'), 6) AS hybrid, round(avg(need), 6) AS mean_need FROM results JOIN needs USING (case_id) JOIN cases USING (case_id) WHERE k = 4 GROUP BY bank, type"""),
     "disagreements": _with(["results"], "SELECT case_id, string_agg(arm, ',' ORDER BY arm) FILTER (ok) AS winners FROM results WHERE k = 4 GROUP BY case_id HAVING bool_or(ok) AND NOT bool_and(ok)"),
-    "attribution": _with(["results", "needs"], "SELECT case_id, CASE WHEN need > 4 THEN 'structural' WHEN n_hit > 0 THEN 'partial' ELSE 'none' END AS reason, need, n_hit FROM results JOIN needs USING (case_id) WHERE k = 4 AND arm = 'hybrid' AND NOT ok"),
-    "min_cover": _with(["covers"], "SELECT case_id, group_no, cover FROM covers"),
+    "attribution": _with(["results", "needs"], "SELECT case_id, CASE WHEN need IS NULL THEN 'unsatisfiable' WHEN need > 4 THEN 'structural' WHEN n_hit > 0 THEN 'partial' ELSE 'none' END AS reason, need, n_hit FROM results JOIN needs USING (case_id) WHERE k = 4 AND arm = 'hybrid' AND NOT ok"),
+    "min_cover": _with(["covers"], "SELECT case_id, group_no, cover, complete FROM covers"),
     "anchor_audit": _with(["anchors", "holding"], """SELECT case_id, group_no, anchor_no, CASE WHEN n > 0 THEN 'found' WHEN EXISTS (SELECT 1 FROM documents WHERE contains(text, anchor)) THEN 'split' ELSE 'typo' END AS state, n AS n_blocks
 FROM (SELECT a.*, (SELECT count(*) FROM holding h WHERE h.anchor = a.anchor) AS n FROM anchors a)"""),
     "arm_overlap": _with(["hits"], """SELECT query_id, count(*) FILTER (d AND b) AS dense_bm25, count(*) FILTER (d AND h) AS dense_hybrid, count(*) FILTER (b AND h) AS bm25_hybrid FROM (

@@ -70,10 +70,9 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    places = F.array(*(F.struct(F.lit(g).cast("long").alias("group_no"), F.lit(a).cast("long").alias("anchor_no")) for g in (0, 1) for a in (0, 1)))
-    rows = cases(spark, d).select("case_id", "mode", "q", F.explode(places).alias("p")).select("case_id", "mode", "p.*", "q")
-    start = (F.col("group_no") * 60 + F.col("anchor_no") * 30 + 1).cast("int")
-    return rows.withColumn("anchor", F.substring("q", start, F.lit(30))).drop("q").filter("anchor != ''")
+    """An item's whole text in stretches of 30 characters, four to a group."""
+    rows = cases(spark, d).filter("q <> ''").select("case_id", "mode", "q", F.explode(F.sequence(F.lit(0), F.ceil(F.length("q") / 30).cast("int") - 1)).alias("n"))
+    return rows.select("case_id", "mode", F.floor(F.col("n") / 4).alias("group_no"), (F.col("n") % 4).cast("long").alias("anchor_no"), F.substring("q", F.col("n") * 30 + 1, F.lit(30)).alias("anchor"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +157,8 @@ def corpus_scan(spark, d):
 
 @query
 def corpus_concat(spark, d):
-    return sources.corpus_text(corpus(spark, d), "source").select("source", _long(F.length("text")).alias("chars"), F.sha2("text", 256).alias("sha256"))
+    """Each source's concatenation as the pieces it is made of, with their places in it."""
+    return sources.corpus_text(corpus(spark, d), "source").select("source", "corpus_ord", "offset", _long(F.length("text")).alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
 @query

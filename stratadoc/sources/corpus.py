@@ -21,9 +21,27 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def corpus_text(corpus: DataFrame, group: str) -> DataFrame:
-    """The texts of each group in one, in corpus order, an empty line between them."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("corpus_ord", "text"))), lambda x: x["text"]), "\n\n")
-    return corpus.groupBy(group).agg(joined.alias("text"))
+    """The texts of each group laid end to end in corpus order, an empty line between them, as pieces: group, corpus_ord,
+    offset (of the piece in the whole, in characters) and text. The whole is never in one row, as it has no bound."""
+    return running_sum(corpus.select(group, "corpus_ord", "text"), group, "corpus_ord", F.length("text") + 2, "offset")
+
+
+def running_sum(rows: DataFrame, group: str, by: str, amount: Column, out: str) -> DataFrame:
+    """Adds out: the sum of amount over the group's rows before this one in order of the number `by`.
+
+    Summed first within ranges of `by`, then over the ranges, about as many as rows in one: no task orders a group.
+    """
+    sizes = rows.select(F.col(group).alias("g"), F.col(by).alias("at"), amount.cast("long").alias("n"))
+    spread = sizes.agg(F.min("at").alias("low"), F.ceil((F.max("at") - F.min("at") + 1) / F.ceil(F.sqrt(F.count("*")))).alias("width"))
+    sizes = sizes.crossJoin(F.broadcast(spread)).withColumn("part", F.floor((F.col("at") - F.col("low")) / F.col("width")))
+    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("g", "part").agg(F.sum("n").alias("total")).withColumn("ahead", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    inside = Window.partitionBy("g", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("g").alias("pg"), F.col("part").alias("pp"), "ahead")
+    placed = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = placed.join(parts, F.col("g").eqNullSafe(F.col("pg")) & (F.col("part") == F.col("pp")))
+    placed = placed.select("g", "at", (F.col("inside") + F.col("ahead")).cast("long").alias(out))
+    return rows.join(placed, rows[group].eqNullSafe(F.col("g")) & (rows[by] == F.col("at"))).drop("g", "at")
 
 
 def manifest(corpus: DataFrame, blocks: DataFrame) -> DataFrame:

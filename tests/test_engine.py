@@ -79,11 +79,31 @@ def test_min_cover_prefers_fewer_then_smaller(spark):
     holding = spark.createDataFrame([("a", 5), ("b", 7), ("a", 2), ("b", 9)], "anchor string, i long")
     covers = evaluate.min_covers(wanted, holding)
     assert rows(covers, "case_id", "cover") == [(1, [2, 7]), (2, [2]), (3, [])]
-    assert rows(evaluate.case_needs(wanted, covers), "case_id", "need") == [(1, 2), (2, 1), (3, 0)]
+    assert rows(evaluate.case_needs(wanted, covers), "case_id", "need") == [(1, 2), (2, 1), (3, None)]
+    assert rows(evaluate.case_needs(wanted, covers), "case_id", "n_unsatisfiable") == [(1, 0), (2, 0), (3, 1)]
     both = holding.unionByName(spark.createDataFrame([("a", 8), ("b", 8)], "anchor string, i long"))
     assert (1, [8]) in rows(evaluate.min_covers(wanted, both), "case_id", "cover")
 
 
+def test_min_covers_of_large_groups_equal_all_subsets(spark):
+    """Groups of up to six anchors, some of them held by no block, against all subsets of blocks."""
+    import random
+    from itertools import combinations
+
+    r = random.Random(11)
+    wanted, held, expected = [], set(), []
+    for case in range(12):
+        names = [f"c{case}a{n}" for n in range(r.randint(1, 6))]
+        wanted += [(case, "all", 0, n, a) for n, a in enumerate(names)]
+        own = {b: {a for a in names if r.random() < 0.4} for b in range(case * 10, case * 10 + 7)}
+        held |= {(a, b) for b, found in own.items() for a in found}
+        some = sorted(b for b, found in own.items() if found)
+        best = next((list(c) for n in range(1, 7) for c in combinations(some, n) if set.union(*(own[b] for b in c)) == set(names)), None)
+        expected.append((case, best if best else some, best is not None))
+    covers = evaluate.min_covers(spark.createDataFrame(wanted, ANCHORS), spark.createDataFrame(sorted(held), "anchor string, i long"))
+    assert rows(covers, "case_id", "cover", "complete") == expected
+
+
 def test_audit_tells_typos_from_split_anchors(spark):
     texts = spark.createDataFrame([("first green bottle",), ("third red bottle here",)], "anchor string")
     holding = spark.createDataFrame([("first green bottle", 0)], "anchor string, i long")
