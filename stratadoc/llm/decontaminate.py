@@ -95,11 +95,15 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
+#: Documents whose results leave a Python worker together.
+LOT = 1024
+
+
 def _streamer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
             n_words, spans, items = [], [], []
             for text in batch.column("text"):
                 words = ALNUM_RE.findall((text.as_py() or "").translate(TO_LOWER))
@@ -157,37 +161,67 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     return out.select("doc_id", *carry, "n_words", hit.alias("n_hit"), "spans", "items")
 
 
-def _cutter():
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words of the spans (of word positions, in order) and what lies between a span's words."""
+    bounds = [m.span() for m in ALNUM_RE.finditer(text.translate(TO_LOWER))]
+    kept, at = [], 0
+    for start, end in spans:
+        a, b = bounds[start][0], bounds[end - 1][1]
+        if a >= at:
+            kept.append(text[at:a])
+        at = max(at, b)
+    return "".join([*kept, text[at:]])
+
+
+def _cutter(shared, max_span: int, max_coverage: float):
+    """Documents -> those not covered beyond max_coverage, without their long spans: all in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
+            texts, kept = [], []
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                words = ALNUM_RE.findall((text or "").translate(TO_LOWER))
+                spans = automaton.hits(words)[0]  # in order, and apart
+                if sum(b - a for a, b in spans) <= len(words) * max_coverage:
+                    long = [s for s in spans if s[1] - s[0] > max_span]
+                    texts.append(_without(text, long) if long else text)
+                    kept.append(i)
+            left = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else left.column(c) for c in left.schema.names], left.schema.names)
+
+    return run
+
+
+def _cut_found():
+    """The same from spans that are already found, of several automata: they may overlap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                if spans:
-                    bounds = [m.span() for m in ALNUM_RE.finditer(text.translate(TO_LOWER))]
-                    kept, at = [], 0
-                    for s in spans:
-                        a, b = bounds[s["start"]][0], bounds[s["end"] - 1][1]
-                        if a >= at:
-                            kept.append(text[at:a])
-                        at = max(at, b)
-                    text = "".join([*kept, text[at:]])
-                texts.append(text)
+        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
+            spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
+            texts = [_without(t, x) if x else t for t, x in zip(batch.column("text").to_pylist(), spans)]
             names = [c for c in batch.schema.names if c != "spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, carry: tuple[str, ...] = (), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text without the spans of more than max_span hit words, and the columns in carry.
 
     Documents covered beyond max_coverage go. See benchmark_hits for nulls, ties and repeats.
     """
-    hits = benchmark_hits(docs, benchmark, carry=("text", *carry))
+    blocks = _blocks(benchmark, block_words)
+    first, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        rows = docs.select("doc_id", "text", *carry)
+        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
+        return rows.mapInArrow(_cutter(shared, max_span, max_coverage), rows.schema)
+    hits = benchmark_hits(docs, benchmark, ("text", *carry), window, block_words)
     kept = hits.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
     long_spans = kept.select("doc_id", "text", *carry, F.filter("spans", lambda s: s["end"] - s["start"] > max_span).alias("spans"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in long_spans.schema if f.name != "spans")
-    return long_spans.mapInArrow(_cutter(), schema)
+    return long_spans.mapInArrow(_cut_found(), long_spans.drop("spans").schema)
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:

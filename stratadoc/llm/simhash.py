@@ -28,7 +28,7 @@ SHINGLE = 3
 #: Children of a node; fingerprints of a group that one task takes on; pairs of query and node that are held at once.
 FAN = 16
 GROUP = 4096
-FRONTIER = 1 << 21
+FRONTIER = 1 << 19
 #: Places of a group that are compared with all of it before the search.
 PIVOTS = 4
 #: Shingles whose bits are counted at once.

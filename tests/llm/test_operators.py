@@ -303,6 +303,8 @@ def test_decontaminate_takes_spans_out(docs, benchmark):
     left = decontaminate.decontaminate(docs, benchmark, max_coverage=0.8, carry=("lang",))
     assert decontaminate.benchmark_hits(left, benchmark).filter("n_hit > 0").count() == 0
     assert "site" not in str(left.columns) and left.columns == ["doc_id", "text", "lang"]
+    # A benchmark of several automata gives the same.
+    assert result(left, "doc_id", "text") == result(decontaminate.decontaminate(docs, benchmark, block_words=20, carry=("lang",)), "doc_id", "text")
 
 
 def test_decontamination_without_items_or_documents(docs, empty, benchmark):
