@@ -192,10 +192,15 @@ class Model:
     trans: np.ndarray
     emit: np.ndarray  # states x classes
 
-    def packed(self, pack: Packed, codes: np.ndarray) -> np.ndarray:
-        out = np.empty((len(codes), len(self.start)), np.float32)
-        out[pack.place] = np.ascontiguousarray(self.emit.T.astype(np.float32))[codes]
-        return out
+    def of_class(self) -> np.ndarray:
+        """Of each class, its probability in every state."""
+        return np.ascontiguousarray(self.emit.T.astype(np.float32))
+
+
+def packed(pack: Packed, codes: np.ndarray) -> np.ndarray:
+    out = np.empty(len(codes), np.int64)
+    out[pack.place] = codes
+    return out
 
 
 def first_model(class_counts: np.ndarray, states: int = STATES, seed: int = 7) -> Model:
@@ -212,17 +217,16 @@ def _expected(model: Model):
     def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         k, n_classes = model.emit.shape
         starts, pairs, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes))
-        trans, start = model.trans.astype(np.float32), model.start.astype(np.float32)
+        trans, start, of_class = model.trans.astype(np.float32), model.start.astype(np.float32), model.of_class()
         for _, codes, lengths in (lot for texts in _held(batches) for lot in _by_length(texts)):
             pack = Packed(lengths)
-            emit = model.packed(pack, codes)
+            at = packed(pack, codes)
+            emit = np.take(of_class, at, axis=0)
             alpha, scale = pack.forward(start, trans, emit)
-            beta, ahead = pack.backward(trans, emit, scale)
-            pairs += pack.pairs(trans, alpha, ahead)
+            beta, near = pack.backward(trans, emit, scale, alpha)
+            pairs += near
             alpha *= beta
             starts += alpha[: pack.off[1]].sum(axis=0, dtype=np.float64)
-            at = np.empty(len(codes), np.int64)
-            at[pack.place] = codes
             for i in range(k):
                 emits[i] += np.bincount(at, weights=alpha[:, i], minlength=n_classes)
         return np.concatenate((starts, pairs.ravel(), emits.ravel()))
@@ -247,12 +251,12 @@ def _likelihood(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        trans, start = model.trans.astype(np.float32), model.start.astype(np.float32)
+        trans, start, of_class = model.trans.astype(np.float32), model.start.astype(np.float32), model.of_class()
         for batch in batches:
             found = np.empty(batch.num_rows)
             for some, codes, lengths in _by_length([np.frombuffer(x.as_py(), "<u2") for x in batch.column("codes")]):
                 pack = Packed(lengths)
-                _, scale = pack.forward(start, trans, model.packed(pack, codes))
+                _, scale = pack.forward(start, trans, np.take(of_class, packed(pack, codes), axis=0))
                 found[some] = np.bincount(pack.sequence, weights=np.log10(scale.astype(np.float64))[pack.place], minlength=len(lengths))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(found)], ["row_id", "classes"])
 

@@ -107,8 +107,8 @@ def marginals(pack: Packed, scores: np.ndarray, trans: np.ndarray) -> tuple[np.n
     emit = np.ones((len(scores), 2))
     emit[pack.place, 1] = np.exp(np.clip(scores, -30, 30))
     alpha, scale = pack.forward(np.ones(2), trans, emit)
-    beta, ahead = pack.backward(trans, emit, scale)
-    return (alpha * beta)[pack.place, 1], pack.pairs(trans, alpha, ahead)
+    beta, pairs = pack.backward(trans, emit, scale, alpha)
+    return (alpha * beta)[pack.place, 1], pairs
 
 
 def _gradient(weights: np.ndarray, n_features: int):
