@@ -73,10 +73,18 @@ def _bigrams(token: Column) -> Column:
     return F.when(token.rlike(r"^\p{IsHan}"), pairs).otherwise(F.array(token))
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-case index terms, repeats included: in code spans split at all but ASCII word characters, elsewhere whole names."""
+def tokenize(text: Column, segment: Callable[[Column], Column] | None = None, strict_code: bool = False) -> Column:
+    """Lower-case index terms, repeats included: in code spans split at all but ASCII word characters, elsewhere whole names.
+
+    segment: what makes an array of terms of a word outside code, runs of Han characters among them (a Column function,
+    or a pandas UDF that calls a segmenter); overlapping pairs where it isn't given. strict_code takes the marks of fences
+    out first, so that they aren't paired with those of code spans.
+    """
+    segment = segment or _bigrams
+    if strict_code:
+        text = F.regexp_replace(text, r"(?m)^[ \t]*(?:```|~~~).*$", "")
     segments = F.regexp_extract_all(text, F.lit(CODE_SEGMENT), F.lit(0))
-    prose = lambda s: F.flatten(F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), _bigrams))
+    prose = lambda s: F.flatten(F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), segment))
     is_code = lambda s: F.startswith(s, F.lit("`")) & (F.length(s) > 2)
     terms = F.flatten(F.transform(segments, lambda s: F.when(is_code(s), F.split(s, CODE_SPLIT)).otherwise(prose(s))))
     marked = F.filter(F.transform(terms, F.lower), lambda t: t.rlike(r"[\p{L}\p{N}]"))

@@ -80,13 +80,23 @@ def atoms(docs: DataFrame) -> DataFrame:
 def table_parts(rows: DataFrame, size: int = 500) -> DataFrame:
     """Tables given by their rows (table_id, head, rule, row_no, row) -> part_no and text of parts that all have head and rule.
 
-    Rows are dealt by the characters before them, so a part may exceed size by a row.
+    A part takes rows as long as it stays within size; a longer row is a part of its own. A table is a piece of one
+    document, so its rows are folded in order as one array.
     """
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("table_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    listed = rows.groupBy("table_id").agg(
+        F.first("head").alias("head"), F.first("rule").alias("rule"), F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]).alias("r")
+    )
     budget = F.greatest(F.lit(size) - F.length("head") - F.length("rule") - 2, F.lit(1))
-    used = F.coalesce(F.sum(F.length("row") + 1).over(before), F.lit(0))
-    parts = rows.withColumn("part_no", F.floor(used / budget).cast("long"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row"))), lambda x: x["row"]), "\n")
-    return parts.groupBy("table_id", "part_no").agg(F.concat_ws("\n", F.first("head"), F.first("rule"), body).alias("text"))
+
+    def step(state, i):
+        n = F.length(F.get("r", i)) + 1
+        begins = (i == 0) | (state["used"] + n > budget)
+        starts = F.when(begins, F.concat(state["starts"], F.array(i))).otherwise(state["starts"])
+        return F.struct(F.when(begins, n).otherwise(state["used"] + n).alias("used"), starts.alias("starts"))
+
+    first = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<int>)").alias("starts"))
+    starts = F.aggregate(F.sequence(F.lit(0), F.size("r") - 1), first, step)["starts"]
+    parts = listed.withColumn("starts", starts).select("*", F.posexplode("starts").alias("part_no", "begin"))
+    stop = F.coalesce(F.get("starts", F.col("part_no") + 1), F.size("r"))
+    body = F.array_join(F.slice("r", F.col("begin") + 1, stop - F.col("begin")), "\n")
+    return parts.select("table_id", F.col("part_no").cast("long").alias("part_no"), F.concat_ws("\n", "head", "rule", body).alias("text"))

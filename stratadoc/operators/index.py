@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.functions.text import tokenize
@@ -38,3 +39,21 @@ def lexical_index(blocks: DataFrame) -> LexicalIndex:
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
     return LexicalIndex(postings, lengths, idf, stats)
+
+
+def store_lexical(index: LexicalIndex, path: str) -> None:
+    """Writes the index. Postings and idf are ranges of terms in order, so a reader skips files and row groups by term."""
+    for name, by in (("postings", "term"), ("lengths", None), ("idf", "term"), ("stats", None)):
+        rows = getattr(index, name)
+        rows = rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_lexical(spark: SparkSession, path: str) -> LexicalIndex | None:
+    """The index stored at path; None where there is none."""
+    try:
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "idf", "stats")))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

@@ -119,3 +119,11 @@ def cut_quality(pieces: DataFrame, docs: DataFrame, size: int = 500) -> DataFram
     places = cuts(pieces, docs).groupBy("doc_id").agg(*(F.count_if(F.col("place") == p).alias(f"cut_{p}") for p in ("line", "fence", "table", "prose")))
     zero = [F.coalesce(f"cut_{p}", F.lit(0)).alias(f"cut_{p}") for p in ("line", "fence", "table", "prose")]
     return blocks.join(places, "doc_id", "left").select("doc_id", "n_blocks", "torn", "headerless", "over_size", "clean", *zero)
+
+
+def cut_deltas(totals: DataFrame, measures: list[str], before: str, after: str) -> DataFrame:
+    """measure, before, after, diff and percent (of before, null where that is 0), from one row of totals for each chunker."""
+    rows = totals.select("chunker", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("n")) for m in measures))).alias("m"))
+    of = lambda name: F.max(F.when(F.col("chunker") == name, F.col("m.n")))
+    found = rows.groupBy("m.measure").agg(of(before).alias("before"), of(after).alias("after")).withColumn("diff", F.col("after") - F.col("before"))
+    return found.withColumn("percent", F.col("diff") * 100.0 / F.nullif(F.col("before"), F.lit(0)))

@@ -98,6 +98,11 @@ def verdicts(rows: DataFrame, baseline: str = "long", margin: float = MARGIN) ->
     return counts.select("arm", F.col("b").alias("bank"), F.col("t").alias("type"), "wins", "losses", "ties")
 
 
+def mean_deltas(rows: DataFrame) -> DataFrame:
+    """arm, its mean delta over cases (case_id, arm, delta), and their number. A figure for reference, not a verdict."""
+    return rows.groupBy("arm").agg(F.avg("delta").alias("mean_delta"), F.count("delta").alias("n"))
+
+
 def conflicts(cases: DataFrame) -> DataFrame:
     """Cases that the loosest and the strictest of strict_fuzzy, gram disagree on."""
     return cases.filter((F.greatest("strict_fuzzy", "gram") >= HIGH) & (F.least("strict_fuzzy", "gram") <= LOW))

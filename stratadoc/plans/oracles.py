@@ -30,6 +30,19 @@ def _ids(x: str) -> str:
     return f"list_filter({kept}, lambda t, i: list_position({kept}, t) = i)"
 
 
+#: Events as replies with their token counts.
+REPLIES = """(SELECT event_id, event_type AS arm, v AS input_tokens, CASE WHEN event_id % 7 <> 0 THEN k END AS output_tokens,
+  CASE event_id % 3 WHEN 0 THEN k WHEN 1 THEN k + 1 END AS cache_hit, CASE WHEN event_id % 3 = 1 THEN v - k END AS cache_miss
+  FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events))"""
+
+#: The prompt before its material.
+CITED = f" || {NL} || ".join(
+    f"'{line}'" for line in (
+        "你是一个只根据给定资料回答问题的助手。", "", "规则：", "1. 只使用下面「资料」里的内容回答，不要用你自己的知识补充。", "2. 资料里没有的，直接回答「资料里没有提到」，不要猜。",
+        "3. 回答完在最后一行写上「来源：第 X 块」，X 是你实际用到的那一块的编号。", "", "资料：", "",
+    )
+)
+
 #: Common tables by name, each with those it needs.
 PARTS: dict[str, tuple[list[str], str]] = {
     "blocks": ([], f"""
@@ -275,12 +288,23 @@ FROM judged JOIN copied USING (answer_id) GROUP BY bank, type, arm"""),
     "usage_extract": "SELECT event_id, CAST(floor(value) AS BIGINT) AS input_tokens, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS cache_hit FROM events",
     "usage_by_arm": """SELECT event_type AS arm, CAST(sum(v) AS BIGINT) AS input_tokens, CAST(sum(h) AS BIGINT) AS cache_hit, round(sum(h) / nullif(sum(v), 0), 6) AS hit_share, max(v) - min(v) > 2000 AS input_varies
 FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS v, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS h FROM events) GROUP BY event_type""",
+    "usage_layouts": f"SELECT event_id, input_tokens, output_tokens, cache_hit, cache_miss FROM {REPLIES}",
+    "usage_totals": f"""SELECT *, round(cache_hit / nullif(input_tokens, 0), 6) AS hit_share FROM (
+  SELECT arm, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens, CAST(coalesce(sum(cache_hit), 0) AS BIGINT) AS cache_hit,
+    CAST(coalesce(sum(cache_miss), 0) AS BIGINT) AS cache_miss, count(*) AS n, coalesce(max(input_tokens) - min(input_tokens) > 2000, false) AS input_varies FROM {REPLIES} GROUP BY arm)""",
+    "source_check": "SELECT *, n_sources >= 2 AND n_named > 0 AS complete FROM (SELECT count(source) AS n_sources, count(*) FILTER (contains(source, '1')) AS n_named FROM (SELECT DISTINCT source FROM documents WHERE text <> ''))",
+    "answer_run": _with(["contexts"], f"SELECT query_id, sha256({CITED} || context || {NL} || {NL} || '问题：' || text || {NL}) AS sha256, substr(context || {NL} || {NL} || '问题：' || text || {NL}, 1, 100) AS answer FROM contexts JOIN benchmark ON item_id = query_id"),
+    "mean_delta": _with(["diffs"], "SELECT arm, round(avg(delta), 6) AS mean_delta, count(delta) AS n FROM (SELECT case_id, arm, avg(delta) AS delta FROM diffs GROUP BY case_id, arm) GROUP BY arm"),
     "md_sections": _with(["secs"], "SELECT doc_id, section, heading, body FROM secs"),
     "heading_path": _with(["secs"], f"SELECT doc_id, section, sha256(CASE WHEN heading <> '' THEN '[章节] ' || heading || {NL} || body ELSE body END) AS sha256 FROM secs"),
     "md_atoms": _with(["atom_runs"], f"SELECT doc_id, CAST(atom AS BIGINT) AS atom, kind, sha256(string_agg(line, {NL} ORDER BY n)) AS sha256 FROM atom_runs GROUP BY doc_id, atom, kind"),
-    "table_split": f"""SELECT table_id, part_no, sha256('| key | name |' || {NL} || '|---|---|' || {NL} || string_agg(row, {NL} ORDER BY row_no)) AS sha256 FROM (
-  SELECT *, CAST(coalesce(sum(length(row) + 1) OVER (PARTITION BY table_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // (500 - 14 - 9 - 2) AS part_no
-  FROM (SELECT CAST(c_nationkey AS BIGINT) AS table_id, c_custkey AS row_no, '| ' || c_custkey || ' | ' || c_name || ' |' AS row FROM customer)) GROUP BY table_id, part_no""",
+    "table_split": f"""WITH RECURSIVE r AS (
+  SELECT table_id, row, CAST(length(row) + 1 AS BIGINT) AS w, row_number() OVER (PARTITION BY table_id ORDER BY row_no) AS n
+  FROM (SELECT CAST(c_nationkey AS BIGINT) * 1000000 + c_custkey // 500 AS table_id, c_custkey AS row_no, '| ' || c_custkey || ' | ' || c_name || ' |' AS row FROM customer)),
+f AS (SELECT table_id, n, row, CAST(0 AS BIGINT) AS part_no, w AS used FROM r WHERE n = 1
+  UNION ALL SELECT r.table_id, r.n, r.row, CASE WHEN f.used + w > 500 - 14 - 9 - 2 THEN f.part_no + 1 ELSE f.part_no END, CASE WHEN f.used + w > 500 - 14 - 9 - 2 THEN w ELSE f.used + w END
+  FROM f JOIN r ON r.table_id = f.table_id AND r.n = f.n + 1)
+SELECT table_id, part_no, sha256('| key | name |' || {NL} || '|---|---|' || {NL} || string_agg(row, {NL} ORDER BY n)) AS sha256 FROM f GROUP BY table_id, part_no""",
     "lone_fences": _with(["heads_off"], "SELECT doc_id, ord, CAST(n_fences AS BIGINT) AS n_fences FROM heads_off"),
     "headerless_tables": _with(["heads_off"], "SELECT doc_id, count(*) FILTER (headless) AS headerless FROM heads_off GROUP BY doc_id"),
     "fence_ranges": _with(["fences"], "SELECT * FROM fences"),

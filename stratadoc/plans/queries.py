@@ -8,6 +8,7 @@ their numbers. Markdown is written from the customers of each nation.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
+from stratadoc.operators import answers as replies
 from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve
-from stratadoc.operators.index import LexicalIndex, lexical_index
+from stratadoc.operators.index import LexicalIndex, lexical_index, load_lexical, store_lexical
 from stratadoc.session import spread, table
 from stratadoc.sources import corpus as sources
 
@@ -27,6 +29,8 @@ SWEEP_DEPTH = 50
 WEIGHTS = ((0.0, 1.0), (1.0, 1.0), (1.0, 3.0), (1.0, 10.0), (1.0, 0.0))
 SWEEP_RRF = (1, 5, 20, 60)
 CUSTOMERS = 500
+#: Settings of the chunker screen: name, chunker, whether headings are put before the text.
+SCREENED = (("fixed", None, False), ("flat", "flat", False), ("md", "md", False), ("md_inject", "md", True), ("md_plain", "md_plain", False), ("md_plain_inject", "md_plain", True))
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,8 +84,24 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> tuple[DataFrame, LexicalIndex]:
-    found = blocks(spark, d).cache()
-    return found, lexical_index(found)
+    """Blocks and their lexical index: that in the folder of spark.stratadoc.index where it is of these documents as they
+    are, else a new one, which goes there. Where the setting isn't set the index is made for the query."""
+    folder = spark.conf.get("spark.stratadoc.index", None)
+    if not folder:
+        found = blocks(spark, d).cache()
+        return found, lexical_index(found)
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    own = documents(spark, d).withColumnRenamed("doc_id", "corpus_ord")
+    lexical = load_lexical(spark, path)
+    if lexical is not None:
+        stored, made = sources.load_index(spark, path, "fixed")
+        if sources.stale_sources(made, own).isEmpty():
+            return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), lexical
+    found = blocks(spark, d)
+    store_lexical(lexical_index(found), path)
+    sources.save_index(found.withColumnRenamed("doc_id", "corpus_ord"), own, path, "fixed")
+    stored, _ = sources.load_index(spark, path, "fixed")
+    return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), load_lexical(spark, path)
 
 
 def rankings(spark: SparkSession, d: str, most: int) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame]:
@@ -406,12 +426,14 @@ def fuse_sweep(spark, d):
 
 @query
 def chunker_screen(spark, d):
-    """Chunkers compared by lexical retrieval alone, before any vector is made."""
+    """Chunkers compared by lexical retrieval alone, before any vector is made; those of Markdown with and without
+    structure, and with and without the headings put before what is indexed."""
     screened = []
-    for name, cut in (("fixed", None), ("flat", "flat"), ("md", "md"), ("md_plain", "md_plain")):
+    for name, cut, inject in SCREENED:
         docs = documents(spark, d)
         parts = chunk.fixed_chunks(docs) if cut is None else chunk.pieces(docs, cut)
-        found = sources.with_global_ids(parts).select("i", F.col("text").alias("content")).cache()
+        content = T.render(F.col("text"), F.col("path")) if inject else F.col("text")
+        found = sources.with_global_ids(parts).select("i", content.alias("content")).cache()
         lexical = lexical_index(found)
         hits = retrieve.bm25_topk(lexical, questions(spark, d), 8).withColumnRenamed("query_id", "case_id")
         hits = reduce(DataFrame.unionByName, [hits.filter(F.col("rank") <= k).withColumn("k", F.lit(k).cast("long")) for k in (4, 8)])
@@ -467,6 +489,12 @@ def verdict(spark, d):
     return judge.verdicts(rows)
 
 
+@query
+def mean_delta(spark, d):
+    rows = case_deltas(spark, d).groupBy("case_id", "arm").agg(F.avg("delta").alias("delta"))
+    return _rounded(judge.mean_deltas(rows), "mean_delta")
+
+
 @query
 def score_summary(spark, d):
     copied = judge.copy_ratios(answers(spark, d), judge.corpus_grams(documents(spark, d).select("text")))
@@ -491,6 +519,44 @@ def usage_by_arm(spark, d):
     return rows.groupBy("arm").agg(total.alias("input_tokens"), hit.alias("cache_hit"), _r(hit / F.nullif(total, F.lit(0))).alias("hit_share"), ((F.max("input_tokens") - F.min("input_tokens")) > 2000).alias("input_varies"))
 
 
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a model's replies: the cache's hits in the one layout, the other, or neither; some without an output count."""
+    v, k, n = F.floor("value").cast("long"), F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)), F.col("event_id")
+    usage = F.struct(v.alias("input_tokens"), F.when(n % 7 != 0, k).alias("output_tokens"), F.when(n % 3 == 0, F.struct(k.alias("cache_read"))).alias("input_token_details"))
+    response = F.when(n % 3 == 1, F.struct((k + 1).alias("prompt_cache_hit_tokens"), (v - k).alias("prompt_cache_miss_tokens")))
+    reply = F.to_json(F.struct(usage.alias("usage_metadata"), response.alias("response_metadata")))
+    return table(spark, d, "events").select("event_id", F.col("event_type").alias("arm"), reply.alias("reply"))
+
+
+@query
+def usage_layouts(spark, d):
+    return _replies(spark, d).select("event_id", *(c.alias(n) for n, c in replies.usage_of(F.col("reply")).items()))
+
+
+@query
+def usage_totals(spark, d):
+    rows = _replies(spark, d).select("arm", *(c.alias(n) for n, c in replies.usage_of(F.col("reply")).items()))
+    return _rounded(replies.usage_totals(rows), "hit_share")
+
+
+@query
+def source_check(spark, d):
+    return sources.source_check(blocks(spark, d), "1")
+
+
+def _first_words(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that answers: the beginning of the material."""
+    return [p[p.find("资料：\n") + 4 :][:100] for p in prompts]
+
+
+@query
+def answer_run(spark, d):
+    """The cited prompt of each question over its lexical hits, answered by a stand-in model."""
+    rows = retrieve.context(_lexical_hits(spark, d)).join(questions(spark, d), "query_id")
+    prompts = rows.select("query_id", retrieve.cited_prompt(F.col("context"), F.col("q")).alias("prompt"))
+    return replies.answered(prompts.withColumn("sha256", F.sha2("prompt", 256)), _first_words, ["query_id", "sha256"])
+
+
 # ------------------------------------------------------------------------------- Markdown
 
 
@@ -522,7 +588,7 @@ def md_chunks(spark, d):
 @query
 def table_split(spark, d):
     rows = table(spark, d, "customer").select(
-        _long("c_nationkey").alias("table_id"), F.lit("| key | name |").alias("head"), F.lit("|---|---|").alias("rule"), F.col("c_custkey").alias("row_no"),
+        (_long("c_nationkey") * 1_000_000 + F.floor(F.col("c_custkey") / CUSTOMERS)).alias("table_id"), F.lit("| key | name |").alias("head"), F.lit("|---|---|").alias("rule"), F.col("c_custkey").alias("row_no"),
         F.concat_ws("", F.lit("| "), "c_custkey", F.lit(" | "), "c_name", F.lit(" |")).alias("row"),
     )
     return chunk.table_parts(rows).select("table_id", "part_no", F.sha2("text", 256).alias("sha256"))
@@ -581,15 +647,17 @@ def cut_quality(spark, d):
     return inspect.cut_quality(_fixed_with_offsets(docs), docs)
 
 
+CUT_MEASURES = ["n_blocks", "torn", "headerless", "over_size", "clean", "cut_line", "cut_fence", "cut_table", "cut_prose"]
+
+
 @query
 def cut_compare(spark, d):
     """The chunkers' totals side by side, and how many blocks cross sections or lie elsewhere than they say."""
     docs = markdown_docs(spark, d).cache()
-    names = ["n_blocks", "torn", "headerless", "over_size", "clean", "cut_line", "cut_fence", "cut_table", "cut_prose"]
     rows = []
     for name in ("flat", "md"):
         parts = chunk.pieces(docs, name).cache()
-        sums = inspect.cut_quality(parts, docs).agg(*(F.sum(c).alias(c) for c in names))
+        sums = inspect.cut_quality(parts, docs).agg(*(F.sum(c).alias(c) for c in CUT_MEASURES))
         there = inspect.path_at(parts.select("doc_id", _long("offset").alias("offset")), inspect.headings(docs)).withColumnRenamed("path", "there").distinct()
         own = parts.withColumn("here", T.heading_path(F.col("path"))).filter("here != ''").withColumn("offset", _long("offset")).join(there, ["doc_id", "offset"])
         more = own.agg(F.count_if("cross_section").alias("cross_section"), F.count_if(F.col("here") != F.col("there")).alias("bad_offset"))
@@ -597,6 +665,12 @@ def cut_compare(spark, d):
     return rows[0].unionByName(rows[1])
 
 
+@query
+def cut_deltas(spark, d):
+    """What the Markdown chunker changes against the plain one, measure by measure."""
+    return _rounded(inspect.cut_deltas(cut_compare(spark, d), [*CUT_MEASURES, "cross_section", "bad_offset"], "flat", "md"), "percent")
+
+
 @query
 def section_extract(spark, d):
     return sources.marked_sections(markdown_docs(spark, d), "## ", "### Notes", 90, "(none)")

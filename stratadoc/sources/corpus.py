@@ -51,16 +51,32 @@ def manifest(corpus: DataFrame, blocks: DataFrame) -> DataFrame:
     return own.join(counts, "corpus_ord", "left").withColumn("block_count", F.coalesce("block_count", F.lit(0)).cast("long"))
 
 
-def save_index(blocks: DataFrame, corpus: DataFrame, path: str, chunker: str) -> None:
-    """Blocks, partitioned by chunker so that readers of one prune the others, and the manifest beside them."""
+def save_index(blocks: DataFrame, corpus: DataFrame, path: str, chunker: str, chunk_size: int = 500, overlap: int = 0) -> None:
+    """Blocks, partitioned by chunker so that readers of one prune the others, and the manifest beside them,
+    with the settings they were made by and when."""
     blocks.withColumn("chunker", F.lit(chunker)).write.mode("overwrite").partitionBy("chunker").parquet(f"{path}/blocks")
-    manifest(corpus, blocks).withColumn("chunker", F.lit(chunker)).write.mode("overwrite").parquet(f"{path}/manifest")
+    made = {"chunker": F.lit(chunker), "chunk_size": F.lit(chunk_size), "overlap": F.lit(overlap), "created_at": F.current_timestamp()}
+    manifest(corpus, blocks).withColumns(made).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def load_index(spark: SparkSession, path: str, chunker: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/blocks").filter(F.col("chunker") == chunker), spark.read.parquet(f"{path}/manifest")
 
 
+def source_check(blocks: DataFrame, part: str, least: int = 2) -> DataFrame:
+    """One row: n_sources of the blocks, n_named with part in their name, and complete: least sources, one of them so named."""
+    names = blocks.select("source").distinct()
+    found = names.agg(F.count("source").alias("n_sources"), F.count_if(F.contains("source", F.lit(part))).alias("n_named"))
+    return found.withColumn("complete", (F.col("n_sources") >= least) & (F.col("n_named") > 0))
+
+
+def require_sources(blocks: DataFrame, part: str, least: int = 2) -> None:
+    """An error where the index lacks sources, so that arms aren't compared over different corpora."""
+    found = source_check(blocks, part, least).first()
+    if not found.complete:
+        raise ValueError(f"the index has {found.n_sources} sources, {found.n_named} with {part!r} in their name; build it anew")
+
+
 def stale_sources(stored: DataFrame, corpus: DataFrame) -> DataFrame:
     """Texts that are new, gone or changed since the index was built."""
     now = corpus.select("corpus_ord", F.sha2(F.encode("text", "UTF-8"), 256).alias("now"))
