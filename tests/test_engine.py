@@ -201,3 +201,65 @@ def test_incremental_index_takes_each_block_once(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out/blocks"))
     assert sorted(len(r["text"]) for r in stored.collect()) == [1, 1, 100, 500]
     assert postings_of(spark, str(tmp_path / "out")).stats.first()["n"] == 4
+
+
+def test_table_parts_equal_the_chunker(spark):
+    tables = {t: ["| key | name |", "|---|---|", *(f"| {i} | {'x' * (i * t % 90)} |" for i in range(n))] for t, n in ((1, 40), (2, 1), (7, 120), (11, 3))}
+    tables[5] = ["| key | name |", "|---|---|", "| a |", "| " + "y" * 700 + " |", "| b |"]
+    rows = [(t, x[0], x[1], n, row) for t, x in tables.items() for n, row in enumerate(x[2:])]
+    found = chunk.table_parts(spark.createDataFrame(rows, "table_id long, head string, rule string, row_no long, row string")).collect()
+    for t, lines in tables.items():
+        assert [r.text for r in sorted(found, key=lambda r: r.part_no) if r.table_id == t] == [text for text, _ in markdown.split_table(lines, 500)]
+
+
+def test_segmenter_and_strict_code(spark):
+    from stratadoc.functions import text as T
+
+    df = spark.createDataFrame([("数据库 `a.b` x",), ("```sql\nselect one\n```\nthen `c.d()` two",)], "text string")
+    halves = lambda w: F.when(w.rlike(r"^\p{IsHan}"), F.array(F.substring(w, 1, 2), F.substring(w, 3, 1))).otherwise(F.array(w))
+    plain, own, strict = (df.select(c.alias("t")).collect() for c in (T.tokenize(F.col("text")), T.tokenize(F.col("text"), halves), T.tokenize(F.col("text"), strict_code=True)))
+    assert plain[0].t == ["数据", "据库", "a", "b", "x"]
+    assert own[0].t == ["数据", "库", "a", "b", "x"]
+    assert strict[1].t == ["select", "one", "then", "c", "d", "two"]
+
+
+def test_stored_index_is_read_until_the_documents_change(spark, tmp_path):
+    from stratadoc.plans import queries
+
+    def write(texts):
+        spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+
+    def state():
+        held, lexical = queries.index(spark, str(tmp_path))
+        return {r.content for r in held.collect()}, {r.term: r.df for r in lexical.idf.collect()}, lexical.stats.first().n
+
+    write(["one two", "two three"])
+    fresh = state()
+    spark.conf.set("spark.stratadoc.index", f"file://{tmp_path}/index")
+    try:
+        assert state() == fresh
+        made = sorted(p.name for p in (tmp_path / "index").rglob("part-*"))
+        assert state() == fresh and sorted(p.name for p in (tmp_path / "index").rglob("part-*")) == made
+        write(["one two", "two four"])
+        assert state() == ({"one two", "two four"}, {"one": 1, "two": 2, "four": 1}, 2)
+    finally:
+        spark.conf.unset("spark.stratadoc.index")
+
+
+def test_cut_deltas_and_sources(spark):
+    totals = spark.createDataFrame([("a", 10, 0), ("b", 5, 3)], "chunker string, n_blocks long, torn long")
+    found = {r.measure: (r.before, r.after, r["diff"], r.percent) for r in inspect.cut_deltas(totals, ["n_blocks", "torn"], "a", "b").collect()}
+    assert found == {"n_blocks": (10, 5, -5, -50.0), "torn": (0, 3, 3, None)}
+    blocks = spark.createDataFrame([("design",), ("design",)], "source string")
+    with pytest.raises(ValueError):
+        corpus.require_sources(blocks, "bug")
+    corpus.require_sources(blocks.union(spark.createDataFrame([("bugs",)], "source string")), "bug")
+
+
+def test_answers_of_a_plugged_in_model(spark):
+    from stratadoc.operators import answers
+
+    prompts = spark.createDataFrame([(1, "a", "q"), (2, "b", None)], "case_id long, arm string, prompt string")
+    found = answers.answered(prompts, lambda texts: [t.upper() for t in texts], ["case_id", "arm"]).collect()
+    assert sorted(map(tuple, found)) == [(1, "a", "Q"), (2, "b", "")]
+    assert answers.usage_totals(spark.createDataFrame([("x", None, None, None, None)], "arm string, input_tokens long, output_tokens long, cache_hit long, cache_miss long")).first().hit_share is None
