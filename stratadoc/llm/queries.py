@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm import decontaminate, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+from stratadoc.llm import decontaminate, hard_negatives, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.session import saved, table
 
 #: The tokenizer whose counts op10 returns.
@@ -67,10 +67,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
-        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts,
+        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts, op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
@@ -205,5 +209,25 @@ FROM files f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
 """
 
 
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_license_scan": OP9_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_license_scan": OP9_SQL, "op13_hard_negatives": OP13_SQL}
