@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm import decontaminate, hard_negatives, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+from stratadoc.llm import alignment, decontaminate, hard_negatives, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.session import saved, table
 
-#: The tokenizer whose counts op10 returns.
+#: The tokenizer whose counts op10 returns, and the one that op11 aligns it with.
 TOKENIZER = "byte_bpe_50k.json"
+OTHER_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +81,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
-        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts, op13_hard_negatives,
+        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts, op11_tokenizer_alignment, op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
