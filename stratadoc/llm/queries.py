@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm import alignment, decontaminate, hard_negatives, hmm_lm, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
+from stratadoc.llm import alignment, decontaminate, hard_negatives, hmm_lm, jaccard_join, licenses, line_dedup, media, mixing, simhash, substring_dedup, token_counts, toxicity
 from stratadoc.session import saved, table
 
 #: The tokenizer whose counts op10 returns, and the one that op11 aligns it with.
@@ -74,6 +74,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(OTHER_TOKENIZER))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +85,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_line_dedup, op2_media_columns, op3_simhash_near_dedup, op4_benchmark_decontamination, op5_substring_dedup, op6_source_mixing,
-        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts, op11_tokenizer_alignment, op13_hard_negatives,
+        op7_hmm_lm_scoring, op8_crf_toxicity, op9_license_scan, op10_token_counts, op11_tokenizer_alignment,
+        op12_jaccard_join, op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
@@ -216,6 +221,27 @@ FROM files f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM listed
+), named AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(s, chr(10))) END AS k FROM shingled),
+kinds AS (SELECT k, min(doc_id) AS d, any_value(n) AS n, any_value(s) AS s FROM named WHERE k IS NOT NULL GROUP BY k),
+each AS (SELECT d, n, unnest(s) AS x FROM kinds),
+links AS (
+  SELECT a.d AS a, b.d AS b FROM each a JOIN each b ON a.x = b.x AND a.d <> b.d AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.d, b.d, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT d, d AS r FROM kinds UNION SELECT reach.d, links.b AS r FROM reach JOIN links ON reach.r = links.a
+), least AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT doc_id, CAST(named.n AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM named LEFT JOIN kinds USING (k) LEFT JOIN least USING (d)
+"""
+
+
 OP13_SQL = r"""
 WITH rows AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -237,4 +263,4 @@ QUALIFY row_number() OVER w <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_license_scan": OP9_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_benchmark_decontamination": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_license_scan": OP9_SQL, "op12_jaccard_join": OP12_SQL, "op13_hard_negatives": OP13_SQL}
