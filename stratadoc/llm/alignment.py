@@ -16,6 +16,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 B_BITS = 24
 #: Characters of a lot's texts (a longer text is a lot of its own); stretches and characters that a worker remembers.
 LOT_CHARS = 1 << 23
-REMEMBERED, REMEMBERED_CHARS = 200_000, 1 << 24
-#: Stretches that the tokenizers get at once.
-LEARNED = 16_384
+REMEMBERED, REMEMBERED_CHARS = 400_000, 1 << 24
+#: Stretches that the tokenizers get at once, and as one text.
+LEARNED, JOINED = 16_384, 128
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -87,6 +88,7 @@ class Aligner:
         self.same = np.array([by_bytes.get(x, -1) for x in self.a_bytes], np.int64)
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.cuts = not any(p[i] == SPACE_SIGN != p[i - 1] for p in pieces for i in range(1, len(p)))
+        self.decimal = np.empty(0, object)
         self.forget()
 
     def forget(self) -> None:
@@ -110,18 +112,18 @@ class Aligner:
 
     def _learn(self, new: list[str]) -> None:
         whole = [f" {x}" for x in new]
-        a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
-        b = self.b.encode(new, num_threads=1)
-        fits = []
-        for x, ids_a, ids_b in zip(whole, a, b):
-            raw = x.encode()
-            fits.append(b"".join(map(self.a_bytes.__getitem__, ids_a)) == raw == b"".join(map(self.b_bytes.__getitem__, ids_b)))
-        a, b = ([ids if ok else [] for ids, ok in zip(x, fits)] for x in (a, b))
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (a, b))
-        flat_a, flat_b = (np.fromiter((i for ids in x for i in ids), np.int64, n) for x, n in ((a, n_a.sum()), (b, n_b.sum())))
+        raw = [x.encode() for x in whole]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        alike = np.array([self.cuts and not (x[0].isspace() or x[-1].isspace()) for x in new], bool)
+        a, n_a, fits_a = _by_stretch(lambda texts: [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], whole, raw, size, alike, self.a_bytes, self.a_size)
+        b, n_b, fits_b = _by_stretch(lambda texts: self.b.encode([x[1:] for x in texts], num_threads=1), whole, raw, size, alike, self.b_bytes, self.b_size)
+        fits = fits_a & fits_b
+        flat_a, flat_b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)]
+        n_a, n_b = n_a * fits, n_b * fits
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
         # Between two neighbouring cuts lies the overlap of one token of A with one of B: a link.
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        cuts = cuts[np.concatenate((np.ones(min(1, len(cuts)), bool), cuts[1:] != cuts[:-1]))]
         at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         ids_a, ids_b = flat_a[at_a], flat_b[at_b]
         closes = (ends_a[at_a] == cuts) & (ends_b[at_b] == cuts)
@@ -131,30 +133,59 @@ class Aligner:
         counted = lambda mask: np.bincount(owner[mask], minlength=len(new))
         n_links = np.bincount(owner, minlength=len(new))
         self.counts = np.concatenate((self.counts, np.stack((n_a, n_b, counted(closes), n_links), axis=1)))
-        self.fits = np.concatenate((self.fits, np.array(fits, bool)))
+        self.fits = np.concatenate((self.fits, fits))
         self.single = np.concatenate((self.single, ids_a[regular]))
         self.single_end = np.concatenate((self.single_end, self.single_end[-1] + np.cumsum(counted(regular))))
         self.pairs = np.concatenate((self.pairs, (ids_a << B_BITS | ids_b)[~regular]))
         self.pairs_end = np.concatenate((self.pairs_end, self.pairs_end[-1] + np.cumsum(n_links - counted(regular))))
-        self.written += _written(owner, at_a, at_b, ids_a, ids_b, closes, len(new))
-
-
-def _written(owner: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, closes: np.ndarray, n: int) -> list[bytes]:
-    """Each stretch's groups as text: ids of A, a bar, ids of B; groups apart by semicolons."""
-    groups: list[list[str]] = [[] for _ in range(n)]
-    own_a: list[str] = []
-    own_b: list[str] = []
-    last_a = last_b = -1
-    for i, a, b, id_a, id_b, end in zip(owner.tolist(), at_a.tolist(), at_b.tolist(), ids_a.tolist(), ids_b.tolist(), closes.tolist()):
-        if a != last_a:
-            own_a.append(str(id_a))
-        if b != last_b:
-            own_b.append(str(id_b))
-        last_a, last_b = a, b
-        if end:
-            groups[i].append(f"{','.join(own_a)}|{','.join(own_b)}")
-            own_a, own_b = [], []
-    return [";".join(x).encode() for x in groups]
+        ends = cuts[closes]
+        self._write(flat_a, flat_b, np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b), np.cumsum(n_a + n_b))
+
+    def _write(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, stretch_ends: np.ndarray) -> None:
+        """Adds each stretch's groups as text: ids of A, a bar, ids of B; groups apart by semicolons."""
+        if not len(self.decimal):
+            ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+            self.decimal = np.array([[b"%d%c" % (i, c) for c in b",|;"] for i in ids], object)
+        order = np.argsort(np.concatenate((group_a, group_b)), kind="stable")
+        group, second = np.concatenate((group_a, group_b))[order], order >= len(a)
+        last = np.concatenate((group[1:] != group[:-1], np.ones(min(1, len(group)), bool)))
+        bar = ~last & (second != np.concatenate((second[1:], second[:1])))
+        pieces = self.decimal[np.concatenate((a, b))[order], np.where(last, 2, bar.astype(np.int64))].tolist()
+        begin = 0
+        for end in stretch_ends.tolist():
+            self.written.append(b"".join(pieces[begin:end]))
+            begin = end
+
+
+def _by_stretch(
+    encode: Callable[[list[str]], list[list[int]]], whole: list[str], raw: list[bytes], size: np.ndarray, alike: np.ndarray, entry: list[bytes], entry_size: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids of all stretches, their number in each, and whether they give its bytes.
+
+    Stretches that a text of them would be cut between go to the tokenizer as such texts; the others go alone.
+    """
+    n = len(whole)
+    ids, count, fits = [[]] * n, np.zeros(n, np.int64), np.zeros(n, bool)
+
+    def alone(places: list[int]) -> None:
+        for i, x in zip(places, encode([whole[i] for i in places]) if places else []):
+            ids[i], count[i] = x, len(x)
+            fits[i] = b"".join(map(entry.__getitem__, x)) == raw[i]
+
+    places = np.flatnonzero(alike)
+    lots = [places[i : i + JOINED] for i in range(0, len(places), JOINED)]
+    for lot, found in zip(lots, encode(["".join(whole[i] for i in lot.tolist()) for lot in lots]) if lots else []):
+        at, begin, end = np.array(found, np.int64), 0, 0
+        ends = np.searchsorted(np.cumsum(entry_size[at]), np.cumsum(size[lot])) + 1
+        if b"".join(map(entry.__getitem__, found)) != b"".join(raw[i] for i in lot.tolist()):
+            alone(lot.tolist())
+            continue
+        for i, end in zip(lot.tolist(), ends.tolist()):
+            ids[i] = found[begin:end]
+            begin = end
+        count[lot], fits[lot] = np.diff(ends, prepend=0), True
+    alone(np.flatnonzero(~alike).tolist())
+    return np.fromiter(chain.from_iterable(ids), np.int64, count.sum()), count, fits
 
 
 def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -196,7 +227,7 @@ def _solve(aligner: Aligner, lot: int, doc_ids: list[pa.Array], numbers: list[np
     sums = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(aligner.counts[flat], axis=0)))
     ends = np.cumsum(lengths)
     counts = sums[ends] - sums[ends - lengths]
-    digests = [hashlib.sha256(b";".join(map(aligner.written.__getitem__, x.tolist()))).hexdigest() if len(x) else "" for x in numbers]
+    digests = [hashlib.sha256(b"".join(map(aligner.written.__getitem__, x.tolist()))[:-1]).hexdigest() if len(x) else "" for x in numbers]
     keys, times = _tally(doc << 32 | flat, np.ones(len(flat), np.int64))
     doc, stretch = keys >> 32, keys & 0xFFFFFFFF
 
