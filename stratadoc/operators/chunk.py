@@ -14,13 +14,19 @@ PIECE_SCHEMA = "ord int, text string, offset int, path map<int,string>, cross_se
 
 
 def fixed_chunks(docs: DataFrame, size: int = 500) -> DataFrame:
-    """doc_id, source, ord, text: slices of size characters that cover each document; none of an empty one."""
-    last = F.ceil(F.length("text") / size).cast("int") - 1
-    return docs.filter("text != ''").select("doc_id", "source", "text", F.explode(F.sequence(F.lit(0), last)).alias("ord")).select(
-        "doc_id", "source", "ord", F.substring("text", F.col("ord") * size + 1, F.lit(size)).alias("text")
+    """doc_id, source, ord, text, and row where docs has it: slices of size characters that cover each document; none of
+    an empty one."""
+    last, own = F.ceil(F.length("text") / size).cast("int") - 1, [c for c in ("doc_id", "source", "row") if c in docs.columns]
+    return docs.filter("text != ''").select(*own, "text", F.explode(F.sequence(F.lit(0), last)).alias("ord")).select(
+        *own, "ord", F.substring("text", F.col("ord") * size + 1, F.lit(size)).alias("text")
     )
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with row, a number by which documents of one id are told apart as long as they are cut in the same step."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def _cut(cut: Callable[[str], list[markdown.Piece]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -31,8 +37,9 @@ def _cut(cut: Callable[[str], list[markdown.Piece]]):
                     rows.append((n, p.text, p.offset, list(p.path.items()), markdown.crosses_sections(p)))
             kinds = (pa.int32(), pa.string(), pa.int32(), pa.map_(pa.int32(), pa.string()), pa.bool_())
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), kinds)] or [pa.array([], t) for t in kinds]
-            ids = [batch.column(c).take(pa.array(at, pa.int32())) for c in ("doc_id", "source")]
-            yield pa.RecordBatch.from_arrays([*ids, *columns], ["doc_id", "source", "ord", "text", "offset", "path", "cross_section"])
+            own = batch.schema.names[:-1]
+            ids = [batch.column(c).take(pa.array(at, pa.int32())) for c in own]
+            yield pa.RecordBatch.from_arrays([*ids, *columns], [*own, "ord", "text", "offset", "path", "cross_section"])
 
     return run
 
@@ -46,9 +53,11 @@ CHUNKERS: dict[str, Callable[[str], list[markdown.Piece]]] = {
 
 
 def pieces(docs: DataFrame, chunker: str = "md") -> DataFrame:
-    """doc_id, source, ord, text, offset, path, cross_section. A document is cut by one task; documents spread freely."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "source", "text").mapInArrow(_cut(CHUNKERS[chunker]), f"doc_id {kind}, source string, {PIECE_SCHEMA}")
+    """doc_id, source, row where docs has it, ord, text, offset, path, cross_section. A document is cut by one task;
+    documents spread freely."""
+    own = [c for c in ("doc_id", "source", "row") if c in docs.columns]
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own)
+    return docs.select(*own, "text").mapInArrow(_cut(CHUNKERS[chunker]), f"{schema}, {PIECE_SCHEMA}")
 
 
 def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,8 @@ class LexicalIndex:
     lengths: DataFrame  # i, dl: blocks without terms included
     idf: DataFrame  # term, df, idf
     stats: DataFrame  # one row: n, avgdl
+    weights: DataFrame | None = None  # term, span, i, weight: what a term adds to a block's score; stored indexes have it
+    bounds: DataFrame | None = None  # term, span, most, n: the largest weight of a term in a span of blocks, and how many
 
 
 def lexical_index(blocks: DataFrame) -> LexicalIndex:
@@ -29,9 +31,13 @@ def lexical_index(blocks: DataFrame) -> LexicalIndex:
     Postings are written once, to the shared folder; all else comes from them.
     """
     terms = blocks.select("i", F.explode(tokenize(F.col("content"))).alias("term"))
-    postings = saved(terms.groupBy("term", "i").agg(F.count("*").alias("tf")), "postings")
+    return statistics(blocks.select("i"), saved(terms.groupBy("term", "i").agg(F.count("*").alias("tf")), "postings"))
+
+
+def statistics(blocks: DataFrame, postings: DataFrame) -> LexicalIndex:
+    """The index of blocks (i) whose postings are written down."""
     lengths = saved(
-        blocks.select("i").join(postings.groupBy("i").agg(F.sum("tf").alias("dl")), "i", "left").select("i", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"
+        blocks.join(postings.groupBy("i").agg(F.sum("tf").alias("dl")), "i", "left").select("i", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"
     )
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
@@ -41,18 +47,34 @@ def lexical_index(blocks: DataFrame) -> LexicalIndex:
     return LexicalIndex(postings, lengths, idf, stats)
 
 
+#: Blocks of a span, by their numbers.
+SPAN_BITS = 10
+
+
+def term_weights(index: LexicalIndex) -> DataFrame:
+    """term, span, i, weight: what one occurrence of a term in a query adds to a block's score."""
+    rows = index.postings.join(index.idf.select("term", "idf"), "term").join(index.lengths, "i").crossJoin(F.broadcast(index.stats))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.select("term", F.shiftright("i", SPAN_BITS).alias("span"), "i", weight.alias("weight"))
+
+
 def store_lexical(index: LexicalIndex, path: str) -> None:
-    """Writes the index. Postings and idf are ranges of terms in order, so a reader skips files and row groups by term."""
-    for name, by in (("postings", "term"), ("lengths", None), ("idf", "term"), ("stats", None)):
+    """Writes the index. What is found by term is in ranges of terms and spans, in order, so that a term's rows of a span
+    lie together."""
+    for name, by in (("postings", ["term"]), ("lengths", []), ("idf", ["term"]), ("stats", [])):
         rows = getattr(index, name)
-        rows = rows.repartitionByRange(by).sortWithinPartitions(by) if by else rows
+        rows = rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    by = ["term", "span", "i"]
+    term_weights(index).repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/weights")
+    weights = index.postings.sparkSession.read.parquet(f"{path}/weights")
+    weights.groupBy("term", "span").agg(F.max("weight").alias("most"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/bounds")
 
 
 def load_lexical(spark: SparkSession, path: str) -> LexicalIndex | None:
     """The index stored at path; None where there is none."""
     try:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "idf", "stats")))
+        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "idf", "stats", "weights", "bounds")))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

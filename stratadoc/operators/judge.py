@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratadoc.functions.text import char_ngrams, fuzzy_in, identifiers, is_refusal, let, norm
+from stratadoc.functions.text import char_ngrams, identifiers, is_refusal, let, norm
+from stratadoc.operators.grams import near_occurrences
+from stratadoc.session import saved
 
 METRICS = ("strict", "strict_norm", "strict_fuzzy", "ident", "gram")
 #: The verdict's margin, and the bounds between which two metrics contradict each other.
@@ -24,12 +26,17 @@ def judge_groups(answers: DataFrame, anchors: DataFrame, fuzzy: str = "compat")
     is null for a group without identifiers.
     """
     # Normalised before the join: once for each answer and each anchor.
-    rows = answers.withColumn("na", norm(F.col("answer"))).join(anchors.withColumn("nn", norm(F.col("anchor"))).withColumn("ids", identifiers(F.col("anchor"))), "case_id")
+    answers = answers.withColumn("na", norm(F.col("answer")))
+    anchors = anchors.withColumn("nn", norm(F.col("anchor"))).withColumn("ids", identifiers(F.col("anchor")))
+    texts, needles = answers.select("case_id", "answer_id", F.col("na").alias("text")), anchors.select("case_id", F.col("nn").alias("needle"))
+    near = near_occurrences(needles, texts, "answer_id", ("case_id",), fuzzy)
+    near = saved(near.select("case_id", F.col("needle").alias("nn"), "answer_id", F.lit(True).alias("near")), "near-anchors")
+    rows = answers.join(anchors, "case_id").join(near, ["case_id", "nn", "answer_id"], "left")
     exact = F.contains("na", "nn")
     hit, size = gram_counts(F.col("anchor"), F.col("answer"))
     rows = rows.select(
         "answer_id", "case_id", "group_no", "mode", F.contains("answer", "anchor").cast("int").alias("st"), exact.cast("int").alias("sn"),
-        (exact | fuzzy_in(F.col("nn"), F.col("na"), fuzzy)).cast("int").alias("sf"), F.size("ids").alias("i_all"),
+        F.coalesce(F.col("near"), exact).cast("int").alias("sf"), F.size("ids").alias("i_all"),
         F.size(F.filter("ids", lambda t: F.contains("answer", t) | F.contains("na", t))).alias("i_hit"), hit.alias("g_hit"), size.alias("g_all"),
     )
     share = lambda a, b: F.when(F.sum(b) > 0, F.sum(a) / F.sum(b))

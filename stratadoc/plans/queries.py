@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from stratadoc.functions import text as T
 from stratadoc.operators import answers as replies
 from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve
-from stratadoc.operators.index import LexicalIndex, lexical_index, load_lexical, store_lexical
-from stratadoc.session import spread, table
+from stratadoc.operators.grams import near_occurrences
+from stratadoc.operators.index import EPSILON, K1, B, LexicalIndex, lexical_index, load_lexical, store_lexical
+from stratadoc.session import saved, shared_dir, spread, table
 from stratadoc.sources import corpus as sources
+from stratadoc.sources import store
 
 K = 4
 ARM_NAMES = ("dense", "bm25", "hybrid", "long")
@@ -58,7 +60,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
-    return sources.with_global_ids(chunk.fixed_chunks(documents(spark, d))).select("i", "doc_id", "source", F.col("text").alias("content"))
+    return sources.with_global_ids(chunk.fixed_chunks(chunk.told_apart(documents(spark, d)))).select("i", "doc_id", "source", F.col("text").alias("content"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -84,24 +86,21 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> tuple[DataFrame, LexicalIndex]:
-    """Blocks and their lexical index: that in the folder of spark.stratadoc.index where it is of these documents as they
-    are, else a new one, which goes there. Where the setting isn't set the index is made for the query."""
-    folder = spark.conf.get("spark.stratadoc.index", None)
-    if not folder:
-        found = blocks(spark, d).cache()
-        return found, lexical_index(found)
-    path = f"{folder.rstrip('/')}/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
-    own = documents(spark, d).withColumnRenamed("doc_id", "corpus_ord")
-    lexical = load_lexical(spark, path)
-    if lexical is not None:
-        stored, made = sources.load_index(spark, path, "fixed")
-        if sources.stale_sources(made, own).isEmpty():
-            return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), lexical
-    found = blocks(spark, d)
-    store_lexical(lexical_index(found), path)
-    sources.save_index(found.withColumnRenamed("doc_id", "corpus_ord"), own, path, "fixed")
-    stored, _ = sources.load_index(spark, path, "fixed")
-    return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), load_lexical(spark, path)
+    """Blocks and their lexical index: the stored one where it was made of the documents' files as they are and in the
+    same way, else a new one, which is stored. It lies in the folder of spark.stratadoc.index, or in the shared one."""
+    folder = spark.conf.get("spark.stratadoc.index", None) or f"{shared_dir(spark)}/indexes"
+    folder = f"{folder.rstrip('/')}/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    settings = {"chunker": "fixed", "size": 500, "terms": hashlib.sha256(repr((T.WORD, T.PLAIN_WORD, T.NOT_PLAIN, T.CODE_SEGMENT, T.CODE_SPLIT)).encode()).hexdigest(), "scores": [K1, B, EPSILON], "files": store.listed_digest(spark, f"{d}/documents.parquet")}
+    version = store.published(spark, folder, settings)
+    if version is None:
+        version = store.new_version(folder)
+        own = documents(spark, d).withColumnRenamed("doc_id", "corpus_ord")
+        found = blocks(spark, d)
+        sources.save_index(found.withColumnRenamed("doc_id", "corpus_ord"), own, version, "fixed")
+        store_lexical(lexical_index(found), version)
+        store.publish(spark, folder, version, settings)
+    stored, _ = sources.load_index(spark, version, "fixed")
+    return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), load_lexical(spark, version)
 
 
 def rankings(spark: SparkSession, d: str, most: int) -> tuple[DataFrame, LexicalIndex, DataFrame, DataFrame]:
@@ -122,11 +121,11 @@ def hits_at(dense: DataFrame, bm25: DataFrame, k: int) -> DataFrame:
 
 def evaluated(spark: SparkSession, d: str, ks: tuple[int, ...] = (K,)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Results by k, arm and case, with the blocks, the anchors, and which blocks hold them."""
-    found, lexical, dense, bm25 = rankings(spark, d, max(map(retrieve.depth, ks)))
-    dense, bm25 = dense.cache(), bm25.cache()
+    found, _, dense, bm25 = rankings(spark, d, max(map(retrieve.depth, ks)))
+    dense, bm25 = saved(dense, "dense-ranking"), saved(bm25, "lexical-ranking")
     hits = reduce(DataFrame.unionByName, [hits_at(dense, bm25, k).withColumn("k", F.lit(k).cast("long")) for k in ks])
     wanted = anchors(spark, d)
-    holding = evaluate.containing_blocks(wanted, found, lexical.postings, lexical.idf).cache()
+    holding = evaluate.containing_blocks(wanted, found)
     return evaluate.coverage(wanted, hits.withColumnRenamed("query_id", "case_id"), holding, ["k", "arm"]), found, wanted, holding
 
 
@@ -220,9 +219,12 @@ def fuzzy_contains(spark, d):
     """Each answer against its case's anchors, the last character of every other anchor changed."""
     a = F.when(F.col("anchor_no") == 1, F.concat(F.expr("left(anchor, length(anchor) - 1)"), F.lit("#"))).otherwise(F.col("anchor"))
     wanted = anchors(spark, d).select("case_id", "group_no", "anchor_no", T.norm(a).alias("a"))
-    rows = answers(spark, d).select("case_id", T.norm(F.col("answer")).alias("t")).join(wanted, "case_id")
-    found = rows.select("case_id", "group_no", "anchor_no", T.fuzzy_in(F.col("a"), F.col("t")).alias("near"))
-    return found.groupBy("case_id", "group_no", "anchor_no").agg(F.count_if("near").alias("n_near"), F.count("*").alias("n"))
+    texts = saved(answers(spark, d).select("case_id", "answer_id", T.norm(F.col("answer")).alias("text")), "answer-texts")
+    near = near_occurrences(wanted.select("case_id", F.col("a").alias("needle")), texts, "answer_id", ("case_id",))
+    near = near.groupBy("case_id", F.col("needle").alias("a")).agg(F.count("*").alias("n_near"))
+    rows = wanted.join(texts.groupBy("case_id").agg(F.count("*").alias("n")), "case_id").join(near, ["case_id", "a"], "left")
+    # An empty needle is in every text.
+    return rows.select("case_id", "group_no", "anchor_no", F.when(F.col("a") == "", F.col("n")).otherwise(F.coalesce("n_near", F.lit(0))).alias("n_near"), "n")
 
 
 # ------------------------------------------------------------------------------- index
@@ -381,9 +383,9 @@ def attribution(spark, d):
 
 
 def _held(spark, d):
-    found, lexical = index(spark, d)
+    found, _ = index(spark, d)
     wanted = anchors(spark, d)
-    return found, wanted, evaluate.containing_blocks(wanted, found, lexical.postings, lexical.idf)
+    return found, wanted, evaluate.containing_blocks(wanted, found)
 
 
 @query
@@ -395,9 +397,11 @@ def min_cover(spark, d):
 @query
 def anchor_audit(spark, d):
     _, wanted, holding = _held(spark, d)
-    texts = documents(spark, d).select(F.col("doc_id").alias("i"), F.col("text").alias("content")).cache()
-    whole = lexical_index(texts)
-    return evaluate.audit(wanted, holding, evaluate.containing_blocks(wanted, texts, whole.postings, whole.idf))
+    # What no block holds may stand across their borders; what one holds is in the corpus.
+    missing = wanted.join(holding.select("anchor"), "anchor", "left_anti")
+    texts = chunk.told_apart(documents(spark, d)).select(F.col("row").alias("i"), F.col("text").alias("content"))
+    across = evaluate.containing_blocks(missing, saved(texts, "texts"))
+    return evaluate.audit(wanted, holding, holding.select("anchor").unionByName(across.select("anchor")))
 
 
 @query
@@ -411,7 +415,7 @@ def arm_overlap(spark, d):
 @query
 def fuse_sweep(spark, d):
     """Every weighting and constant of the fusion at one depth; an arm alone is fused once."""
-    found, lexical, dense, bm25 = rankings(spark, d, SWEEP_DEPTH)
+    found, _, dense, bm25 = rankings(spark, d, SWEEP_DEPTH)
     grid = [(a, b, k) for a, b in WEIGHTS for k in (SWEEP_RRF if a and b else SWEEP_RRF[:1])]
     rows = spark.createDataFrame(grid, "w_dense double, w_bm25 double, rrf_k int")
     both = dense.withColumn("arm", F.lit("dense")).select("query_id", "arm", "rank", "i").unionByName(bm25.withColumn("arm", F.lit("bm25")).select("query_id", "arm", "rank", "i"))
@@ -420,7 +424,7 @@ def fuse_sweep(spark, d):
     scores = both.crossJoin(F.broadcast(rows)).withColumn("w", weight).filter("w > 0").groupBy(*keep, "query_id", "i").agg(F.sum(F.col("w") / (F.col("rrf_k") + F.col("rank"))).alias("score"))
     hits = retrieve.top(scores, K, [*keep, "query_id"]).withColumnRenamed("query_id", "case_id")
     wanted = anchors(spark, d)
-    holding = evaluate.containing_blocks(wanted, found, lexical.postings, lexical.idf)
+    holding = evaluate.containing_blocks(wanted, found)
     return evaluate.coverage(wanted, hits, holding, keep).groupBy(*keep).agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit")).withColumn("rrf_k", _long("rrf_k"))
 
 
@@ -430,15 +434,15 @@ def chunker_screen(spark, d):
     structure, and with and without the headings put before what is indexed."""
     screened = []
     for name, cut, inject in SCREENED:
-        docs = documents(spark, d)
+        docs = chunk.told_apart(documents(spark, d))
         parts = chunk.fixed_chunks(docs) if cut is None else chunk.pieces(docs, cut)
         content = T.render(F.col("text"), F.col("path")) if inject else F.col("text")
-        found = sources.with_global_ids(parts).select("i", content.alias("content")).cache()
+        found = sources.with_global_ids(parts).select("i", content.alias("content"))
         lexical = lexical_index(found)
         hits = retrieve.bm25_topk(lexical, questions(spark, d), 8).withColumnRenamed("query_id", "case_id")
         hits = reduce(DataFrame.unionByName, [hits.filter(F.col("rank") <= k).withColumn("k", F.lit(k).cast("long")) for k in (4, 8)])
         wanted = anchors(spark, d)
-        results = evaluate.coverage(wanted, hits, evaluate.containing_blocks(wanted, found, lexical.postings, lexical.idf), ["k"])
+        results = evaluate.coverage(wanted, hits, evaluate.containing_blocks(wanted, found), ["k"])
         screened.append(results.groupBy("k").agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit")).withColumn("variant", F.lit(name)))
     return reduce(DataFrame.unionByName, screened)
 
@@ -581,7 +585,7 @@ def md_atoms(spark, d):
 @query
 def md_chunks(spark, d):
     """The structure-aware chunker's blocks, with global ids."""
-    found = sources.with_global_ids(chunk.pieces(markdown_docs(spark, d), "md"))
+    found = sources.with_global_ids(chunk.pieces(chunk.told_apart(markdown_docs(spark, d)), "md"))
     return found.select("i", "doc_id", _long("offset").alias("offset"), T.heading_path(F.col("path")).alias("heading"), "text", "cross_section")
 
 

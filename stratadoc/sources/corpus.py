@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratadoc.session import saved
+
 #: Fixed value: the line that names a file at the head of its text.
 HEADER = "# 文件："
 
@@ -22,26 +24,55 @@ def read_corpus(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def corpus_text(corpus: DataFrame, group: str) -> DataFrame:
     """The texts of each group laid end to end in corpus order, an empty line between them, as pieces: group, corpus_ord,
-    offset (of the piece in the whole, in characters) and text. The whole is never in one row, as it has no bound."""
-    return running_sum(corpus.select(group, "corpus_ord", "text"), group, "corpus_ord", F.length("text") + 2, "offset")
+    offset (of the piece in the whole, in characters) and text. The whole is never in one row, as it has no bound. A text
+    is a piece of its own whatever its number is, also without one; a null text takes up no more than the empty line."""
+    return running_sum(corpus.select(group, "corpus_ord", "text"), group, "corpus_ord", F.coalesce(F.length("text"), F.lit(0)) + 2, "offset")
+
+
+def _in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows in order of `by`, written down as ranges of it, with place: the range's number and the place in it.
+
+    The ranges come from a sample, so they hold about as many rows whatever the values are; rows that are equal in all
+    of `by` are told apart by where they were read, so that many of them are dealt to several ranges.
+    """
+    keyed = rows.withColumn("_read", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first(c) for c in (*by, "_read")]
+    return saved(keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_read").withColumn("_place", F.monotonically_increasing_id()), "ranges")
+
+
+#: How monotonically_increasing_id() numbers rows: the partition, and in the lower bits the place in it.
+_PART, _AT = "int(shiftright(_place, 33))", f"_place & {(1 << 33) - 1}L"
+
+
+def _ahead(parts: DataFrame) -> DataFrame:
+    """part, n -> part, ahead: the sum over the ranges before. One row for each range."""
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+
+
+def ranked(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+    """Adds out: 0, 1, ... over all rows in order of `by`, nulls first. Rows equal in all of it stand in any order."""
+    placed = _in_ranges(rows, by).withColumns({"part": F.expr(_PART), "at": F.expr(_AT)})
+    ahead = _ahead(placed.groupBy("part").agg(F.count("*").alias("n")))
+    return placed.join(F.broadcast(ahead), "part").withColumn(out, (F.col("at") + F.col("ahead")).cast("long")).drop("part", "at", "ahead", "_place")
 
 
 def running_sum(rows: DataFrame, group: str, by: str, amount: Column, out: str) -> DataFrame:
-    """Adds out: the sum of amount over the group's rows before this one in order of the number `by`.
+    """Adds out: the sum of amount over the group's rows before this one in order of `by`, nulls first.
 
-    Summed first within ranges of `by`, then over the ranges, about as many as rows in one: no task orders a group.
+    Rows keep who they are: repeated and null values of group and by give a row each, and rows equal in both stand in
+    any order. The sums are over ranges of rows of about one size, whatever the groups and values are.
     """
-    sizes = rows.select(F.col(group).alias("g"), F.col(by).alias("at"), amount.cast("long").alias("n"))
-    spread = sizes.agg(F.min("at").alias("low"), F.ceil((F.max("at") - F.min("at") + 1) / F.ceil(F.sqrt(F.count("*")))).alias("width"))
-    sizes = sizes.crossJoin(F.broadcast(spread)).withColumn("part", F.floor((F.col("at") - F.col("low")) / F.col("width")))
-    before = Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("g", "part").agg(F.sum("n").alias("total")).withColumn("ahead", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    inside = Window.partitionBy("g", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select(F.col("g").alias("pg"), F.col("part").alias("pp"), "ahead")
-    placed = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    placed = placed.join(parts, F.col("g").eqNullSafe(F.col("pg")) & (F.col("part") == F.col("pp")))
-    placed = placed.select("g", "at", (F.col("inside") + F.col("ahead")).cast("long").alias(out))
-    return rows.join(placed, rows[group].eqNullSafe(F.col("g")) & (rows[by] == F.col("at"))).drop("g", "at")
+    kept = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "summed-rows")
+    sizes = _in_ranges(kept.select(F.col(group).alias("g"), F.col(by).alias("at_"), "_row", F.coalesce(amount, F.lit(0)).cast("long").alias("n")), ["g", "at_", "_row"])
+    sizes = sizes.withColumn("part", F.expr(_PART))
+    inside = Window.partitionBy("part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = _ahead(sizes.groupBy("part").agg(F.sum("n").alias("n")))
+    sums = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead), "part")
+    sums = saved(sums.select("g", "_row", (F.col("inside") + F.col("ahead")).alias("before")), "running-sums")
+    first = sums.groupBy(F.col("g").alias("g_")).agg(F.min("before").alias("first"))
+    own = sums.join(first, F.col("g").eqNullSafe(F.col("g_"))).select("_row", (F.col("before") - F.col("first")).cast("long").alias(out))
+    return kept.join(own, "_row").drop("_row")
 
 
 def manifest(corpus: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -111,17 +142,11 @@ def marked_sections(docs: DataFrame, marker: str, detail: str, most: int, missin
     return parts.select("doc_id", F.col("no").cast("long").alias("no"), F.substring_index("part", "\n", 1).alias("title"), F.coalesce(F.nullif(found, F.lit("")), F.lit(missing)).alias("detail"))
 
 
-def with_global_ids(pieces: DataFrame, by: str = "doc_id", ord_col: str = "ord") -> DataFrame:
-    """Adds i: 0, 1, ... over all documents in order of the number `by`, ord_col within them.
+def with_global_ids(pieces: DataFrame, by: str = "doc_id", ord_col: str = "ord", row: str = "row") -> DataFrame:
+    """Adds i: 0, 1, ... over all pieces in order of `by` (nulls first), then of row where pieces have it, then of ord_col.
 
-    Offsets come from one number for each document, summed first within ranges of `by` and then over the ranges, about
-    as many as there are documents in one: no task orders all documents, and none orders blocks.
+    row tells documents apart that share an id: without it the pieces of such documents alternate. Ids are unique and
+    contiguous whatever the documents' are.
     """
-    counts = pieces.groupBy(by).agg(F.count("*").alias("n"))
-    spread = counts.agg(F.min(by).alias("low"), F.ceil((F.max(by) - F.min(by) + 1) / F.ceil(F.sqrt(F.count("*")))).alias("width"))
-    counts = counts.crossJoin(F.broadcast(spread)).withColumn("part", F.floor((F.col(by) - F.col("low")) / F.col("width")))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = counts.groupBy("part").agg(F.sum("n").alias("total")).withColumn("ahead", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("base", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part")
-    return pieces.join(placed.select(by, (F.col("base") + F.col("ahead")).alias("base")), by).withColumn("i", (F.col("base") + F.col(ord_col)).cast("long")).drop("base")
+    own = [row] if row in pieces.columns else []
+    return ranked(pieces, [by, *own, ord_col], "i").drop(*own)

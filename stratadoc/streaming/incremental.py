@@ -1,4 +1,4 @@
-"""Incremental indexing: new text files become blocks once, however often they arrive."""
+"""Incremental indexing: an index follows a stream of documents."""
 
 from __future__ import annotations
 
@@ -6,32 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratadoc.operators.chunk import fixed_chunks
-from stratadoc.operators.index import lexical_index
+from stratadoc.operators import segments
+from stratadoc.operators.index import LexicalIndex
 
 
 def index_stream(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """docs: a stream of doc_id, source, text. Blocks that the index under out doesn't hold are appended to it.
+    """docs: a stream of doc_id, source, text, and deleted where it has it. The index under out takes each batch.
 
-    A block's identity is its text's hash. A batch that is run again finds its blocks there and appends none.
+    A document that comes again as it was changes nothing, so a batch that is run again doesn't either; one that comes
+    with another text takes the old one's place. Of one id in a batch that comes with several texts all are taken.
     """
+    changes = docs if "deleted" in docs.columns else docs.withColumn("deleted", F.lit(False))
 
     def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        blocks = fixed_chunks(batch).withColumn("chunk_hash", F.sha2("text", 256)).dropDuplicates(["chunk_hash"])
-        schema = "doc_id long, source string, ord int, text string, chunk_hash string"
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{out}/blocks")
-        known = spark.read.schema(schema).parquet(f"{out}/blocks").select("chunk_hash")
-        blocks.join(known, "chunk_hash", "left_anti").select("doc_id", "source", "ord", "text", "chunk_hash").write.mode("append").parquet(f"{out}/blocks")
+        segments.apply_changes(batch.sparkSession, out, batch)
 
-    return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("doc_id long, source string, text string").json(path)
 
 
-def postings_of(spark: SparkSession, out: str):
-    """The lexical index over what has been appended so far; ids are the blocks' hashes."""
-    blocks = spark.read.parquet(f"{out}/blocks").select(F.col("chunk_hash").alias("i"), F.col("text").alias("content"))
-    return lexical_index(blocks)
+def postings_of(spark: SparkSession, out: str) -> LexicalIndex:
+    """The lexical index over what has come so far."""
+    return segments.load(spark, out)[1]
