@@ -28,6 +28,23 @@ def answered(prompts: DataFrame, model: Callable[[list[str]], list[str]], keep:
     return prompts.select(*keep, "prompt").mapInArrow(run, ", ".join([*kinds, "answer string"]))
 
 
+CACHE = "digest string, answer string"
+
+
+def remembered(prompts: DataFrame, model: Callable[[list[str]], list[str]], keep: list[str], folder: str) -> DataFrame:
+    """keep's columns, digest and answer, as answered() has them, but no prompt is asked twice: replies stay in folder
+    under the digest of their prompt, in this run and for later ones. A run that broke off goes on where it ended."""
+    spark = prompts.sparkSession
+    rows = prompts.select(*keep, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt")).withColumn("digest", F.sha2("prompt", 256))
+    spark.createDataFrame([], CACHE).write.mode("append").parquet(folder)
+    known = spark.read.schema(CACHE).parquet(folder).select("digest").distinct()
+    new = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("prompt").alias("prompt"))
+    answered(new, model, ["digest"]).write.mode("append").parquet(folder)
+    # Two runs at once may both ask; one reply of each is taken.
+    replies = spark.read.schema(CACHE).parquet(folder).groupBy("digest").agg(F.min("answer").alias("answer"))
+    return rows.drop("prompt").join(replies, "digest").select(*keep, "digest", "answer")
+
+
 def usage_of(reply: Column) -> dict[str, Column]:
     """input_tokens, output_tokens, cache_hit and cache_miss of a reply's JSON; null where it doesn't say, never made up."""
     read = lambda path: F.get_json_object(reply, path).cast("long")

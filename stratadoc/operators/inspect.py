@@ -69,19 +69,56 @@ def headings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("start").alias("offset"), F.length(F.regexp_extract("bare", HEADING, 1)).cast("long").alias("level"), F.trim(F.regexp_extract("bare", HEADING, 2)).alias("title"))
 
 
-def path_at(points: DataFrame, heads: DataFrame) -> DataFrame:
-    """The section path (titles joined by " > ") in force at each point (doc_id, offset): headings up to it, inclusive.
-
-    A heading's titles above it are worked out once for each heading; a point then takes the last heading before it. A
-    level counts if no shallower heading came after it.
-    """
+def _titles(heads: DataFrame) -> DataFrame:
+    """heads with titles: an array of six, the title in force at each level when this heading has come; null where none is."""
     named = heads
     upto = Window.partitionBy("doc_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     for n in range(1, 7):
         here = F.when(F.col("level") == n, F.struct("offset", "title"))
         named = named.withColumn(f"l{n}", F.last(here, True).over(upto)).withColumn(f"r{n}", F.max(F.when(F.col("level") < n, F.col("offset"))).over(upto))
     alive = lambda n: F.when(F.col(f"r{n}").isNull() | (F.col(f"l{n}.offset") > F.col(f"r{n}")), F.col(f"l{n}.title"))
-    paths = named.select("doc_id", "offset", F.array_join(F.array_compact(F.array(*map(alive, range(1, 7)))), " > ").alias("path"))
+    return named.select("doc_id", "offset", F.array(*map(alive, range(1, 7))).alias("titles"))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """doc_id, section, body, path (level to title): each heading outside fences begins a section, which holds it.
+
+    Lines end at a line feed; empty lines around a body go, and a body of white space alone is no section. All of it runs
+    in the JVM: fences are folded over their marks, sections are counts of headings so far, titles the last ones alive.
+    """
+    rows = fenced_lines(docs).withColumn("head", F.col("fence").isNull() & F.col("bare").rlike(HEADING))
+    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_s", F.count_if("head").over(upto))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    bodies = rows.groupBy("doc_id", "_s").agg(F.regexp_replace(joined, r"\A\n+|\n+\z", "").alias("body"), F.min(F.when(F.col("head"), F.col("start"))).alias("offset"))
+    bodies = bodies.filter(F.col("body").rlike(r"[^\s\p{Z}]"))
+    heads = rows.filter("head").select("doc_id", F.col("start").alias("offset"), F.length(F.regexp_extract("bare", HEADING, 1)).alias("level"), F.regexp_replace(F.regexp_extract("bare", HEADING, 2), r"[\s\p{Z}]+\z", "").alias("title"))
+    entries = F.filter(F.transform("titles", lambda t, k: F.struct((k + 1).alias("key"), t.alias("value"))), lambda e: e["value"].isNotNull())
+    paths = _titles(heads).select("doc_id", "offset", F.map_from_entries(entries).alias("path"))
+    order = Window.partitionBy("doc_id").orderBy("_s")
+    none = F.expr("cast(map() as map<int,string>)")
+    return bodies.join(paths, ["doc_id", "offset"], "left").select("doc_id", (F.row_number().over(order) - 1).alias("section"), "body", F.coalesce("path", none).alias("path"))
+
+
+def atoms(docs: DataFrame) -> DataFrame:
+    """doc_id, atom, kind (text, fence or table), text: a document's lines as runs of one kind; each fence is one of its own."""
+    kind = F.when(F.col("fence").isNotNull(), "fence").when(F.startswith("bare", F.lit("|")), "table").otherwise("text")
+    rows = fenced_lines(docs).withColumn("kind", kind)
+    by_n = Window.partitionBy("doc_id").orderBy("n")
+    same = (F.lag("kind").over(by_n) == F.col("kind")) & F.lag("fence").over(by_n).eqNullSafe(F.col("fence"))
+    rows = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("atom", F.sum("_new").over(by_n.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("doc_id", "atom", "kind").agg(text.alias("text"))
+
+
+def path_at(points: DataFrame, heads: DataFrame) -> DataFrame:
+    """The section path (titles joined by " > ") in force at each point (doc_id, offset): headings up to it, inclusive.
+
+    A heading's titles above it are worked out once for each heading; a point then takes the last heading before it. A
+    level counts if no shallower heading came after it.
+    """
+    paths = _titles(heads).select("doc_id", "offset", F.array_join(F.array_compact("titles"), " > ").alias("path"))
     # Points and headings in one order: a point takes the last path before it, in one pass over each document.
     both = points.select("doc_id", "offset", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("path")).unionByName(paths.withColumn("kind", F.lit(0)))
     order = Window.partitionBy("doc_id").orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, 0)

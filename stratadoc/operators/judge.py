@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratadoc.functions.text import char_ngrams, identifiers, is_refusal, let, norm
 from stratadoc.operators.grams import near_occurrences
 from stratadoc.session import saved
+from stratadoc.sources.corpus import PART, in_ranges
 
 METRICS = ("strict", "strict_norm", "strict_fuzzy", "ident", "gram")
 #: The verdict's margin, and the bounds between which two metrics contradict each other.
@@ -61,9 +62,28 @@ def copy_ratios(answers: DataFrame, corpus_grams: DataFrame) -> DataFrame:
     return found.groupBy("answer_id").agg(F.when(F.sum("n") > 0, held / F.sum("n")).otherwise(F.lit(0.0)).alias("copy"))
 
 
-def corpus_grams(texts: DataFrame) -> DataFrame:
-    """The distinct grams of all texts (text) of at least three characters."""
-    return texts.filter(F.length(norm(F.col("text"))) >= 3).select(F.explode(F.array_distinct(char_ngrams(F.col("text")))).alias("gram")).distinct()
+def corpus_grams(texts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The distinct grams of all texts (text) of at least three characters.
+
+    by: columns that order the texts; the grams that cross from one text into the next ones are then the corpus's too,
+    as if it were one text. What crosses into a text is settled by the last two characters before it, and those by the
+    ends of the two texts before, as no text here is empty; ranges of texts pass theirs on.
+    """
+    kept = texts.withColumn("_n", norm(F.col("text"))).filter("_n <> ''")
+    inside = kept.filter(F.length("_n") >= 3).select(F.explode(F.array_distinct(char_ngrams(F.col("text")))).alias("gram"))
+    if by is None:
+        return inside.distinct()
+    last_two = lambda *parts: F.right(F.concat(*parts), F.lit(2))
+    ends = in_ranges(kept.select(*by, F.substring("_n", 1, 2).alias("head"), last_two(F.col("_n")).alias("tail")), by).withColumn("part", F.expr(PART))
+    order = Window.partitionBy("part").orderBy("_place")
+    before = lambda n, w: F.coalesce(F.lag("tail", n).over(w), F.lit(""))
+    ends = ends.withColumn("own", last_two(before(2, order), before(1, order)))
+    parts = ends.withColumn("whole", last_two(F.col("own"), F.col("tail"))).groupBy("part").agg(F.max_by("whole", "_place").alias("tail"))
+    ranges = Window.partitionBy(F.lit(0)).orderBy("part")  # one row for each range
+    incoming = parts.select("part", last_two(before(2, ranges), before(1, ranges)).alias("incoming"))
+    joins = ends.join(F.broadcast(incoming), "part").select(F.concat(last_two(F.col("incoming"), F.col("own")), "head").alias("s")).filter(F.length("s") >= 3)
+    crossing = joins.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda p: F.substring(F.col("s"), p, F.lit(3)))).alias("gram"))
+    return inside.unionByName(crossing).distinct()
 
 
 def across(cases: DataFrame) -> DataFrame:
@@ -84,9 +104,19 @@ def gram_floor(answers: DataFrame, anchors: DataFrame, others: DataFrame) -> Dat
     return groups.groupBy("answer_id").agg(F.avg("gram").alias("gram_null"))
 
 
-def deltas(scores: DataFrame, floors: DataFrame) -> DataFrame:
-    """The gram score above its floor; answers without either are dropped."""
-    return scores.join(floors, "answer_id").withColumn("delta", F.col("gram") - F.col("gram_null")).filter(F.col("delta").isNotNull())
+def deltas(scores: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """The gram score above its floor; answers without either are dropped.
+
+    floors (answer_id, gram_null) is what was worked out anew; without it the floor stored with the scores (gram_null) is
+    taken. raw_deltas() takes none.
+    """
+    rows = scores if floors is None else scores.drop("gram_null").join(floors, "answer_id")
+    return rows.withColumn("delta", F.col("gram") - F.col("gram_null")).filter(F.col("delta").isNotNull())
+
+
+def raw_deltas(scores: DataFrame) -> DataFrame:
+    """The gram score itself as delta; answers without one are dropped."""
+    return scores.withColumn("delta", F.col("gram")).filter(F.col("delta").isNotNull())
 
 
 def verdicts(rows: DataFrame, baseline: str = "long", margin: float = MARGIN) -> DataFrame:

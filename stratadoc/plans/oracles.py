@@ -127,7 +127,22 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "doc_grams": ([], f"""
   SELECT doc_id, CASE WHEN len(c) < 3 THEN array_to_string(c, '') ELSE c[p] || c[p + 1] || c[p + 2] END AS gram, len(c) AS n
   FROM (SELECT doc_id, c, unnest(range(1, greatest(len(c) - 2, 1) + 1)) AS p FROM (SELECT doc_id, string_split({_norm('text')}, '') AS c FROM documents WHERE {_norm('text')} <> ''))"""),
-    "corpus_grams": (["doc_grams"], "SELECT DISTINCT gram FROM doc_grams WHERE n >= 3"),
+    "corpus_grams": ([], f"""
+  SELECT DISTINCT gram FROM (SELECT c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (
+    SELECT doc_id, unnest(l) AS c, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, string_split({_norm('text')}, '') AS l FROM documents WHERE {_norm('text')} <> ''))
+    WINDOW w AS (ORDER BY doc_id, p)) WHERE gram IS NOT NULL"""),
+    "spans": (["covers"], """
+  SELECT case_id, any_value(mode) AS mode, bool_and(complete) AS whole, min({'n': len(cover), 'g': group_no, 'c': cover}) FILTER (complete) AS shortest, list_distinct(flatten(list(cover))) AS every FROM covers GROUP BY case_id"""),
+    "by_case": (["diffs"], "SELECT case_id, arm, avg(delta) AS delta FROM diffs GROUP BY case_id, arm"),
+    "arm_prompts": (["hits", "blocks", "cases"], f"""
+  SELECT case_id AS query_id, arm, context, q FROM (
+    SELECT case_id, arm, string_agg('【第 ' || i || ' 块】' || {NL} || content, {NL} || {NL} ORDER BY rank) AS context FROM hits JOIN blocks USING (i) WHERE k = 4 GROUP BY case_id, arm
+    UNION ALL SELECT case_id, 'long', (SELECT coalesce(string_agg(t, {NL} || {NL} ORDER BY doc_id), '') FROM (
+      SELECT doc_id, t, sum(length(t) + 2) OVER (ORDER BY doc_id) - 2 AS upto FROM (SELECT doc_id, '# 文件：' || source || {NL} || {NL} || text AS t FROM documents)) WHERE upto <= 20000) FROM cases
+  ) JOIN cases USING (case_id)"""),
+    "arm_answers": (["arm_prompts"], f"""
+  SELECT query_id, arm, prompt, substr(prompt, strpos(prompt, '资料：' || {NL}) + 4, 100) AS answer
+  FROM (SELECT query_id, arm, 'system: 根据资料回答问题，资料里没有的内容请说「资料里没有提到」。' || {NL} || {NL} || '资料：' || {NL} || context || {NL} || 'user: ' || q AS prompt FROM arm_prompts)"""),
     "copied": (["answers", "corpus_grams"], f"""
   SELECT answer_id, coalesce(avg(CAST(gram IN (SELECT gram FROM corpus_grams) AS INT)), CAST(0 AS DOUBLE)) AS copy
   FROM answers LEFT JOIN (SELECT answer_id, unnest({_grams('answer')}) AS gram FROM answers) g USING (answer_id) GROUP BY answer_id"""),
@@ -294,6 +309,17 @@ FROM (SELECT event_type, CAST(floor(value) AS BIGINT) AS v, coalesce(CAST(json_e
     CAST(coalesce(sum(cache_miss), 0) AS BIGINT) AS cache_miss, count(*) AS n, coalesce(max(input_tokens) - min(input_tokens) > 2000, false) AS input_varies FROM {REPLIES} GROUP BY arm)""",
     "source_check": "SELECT *, n_sources >= 2 AND n_named > 0 AS complete FROM (SELECT count(source) AS n_sources, count(*) FILTER (contains(source, '1')) AS n_named FROM (SELECT DISTINCT source FROM documents WHERE text <> ''))",
     "answer_run": _with(["contexts"], f"SELECT query_id, sha256({CITED} || context || {NL} || {NL} || '问题：' || text || {NL}) AS sha256, substr(context || {NL} || {NL} || '问题：' || text || {NL}, 1, 100) AS answer FROM contexts JOIN benchmark ON item_id = query_id"),
+    "raw_verdict": _with(["judged"], """, by_case AS (SELECT case_id, bank, type, arm, avg(gram) AS delta FROM judged GROUP BY case_id, bank, type, arm),
+pairs AS (SELECT a.arm, a.bank, a.type, round(a.delta - b.delta, 9) AS diff FROM by_case a JOIN by_case b ON b.case_id = a.case_id AND b.arm = 'long' WHERE a.arm <> 'long')
+SELECT arm, CASE WHEN grouping(bank) = 1 THEN 'total' ELSE bank END AS bank, CASE WHEN grouping(type) = 1 THEN 'total' ELSE type END AS type,
+       count(*) FILTER (diff > 0.1) AS wins, count(*) FILTER (diff < -0.1) AS losses, count(*) FILTER (abs(diff) <= 0.1) AS ties FROM pairs GROUP BY GROUPING SETS ((arm, bank, type), (arm))"""),
+    "stored_floor_deltas": _with(["diffs"], "SELECT answer_id, case_id, arm, round(delta, 6) AS delta FROM diffs"),
+    "arm_delta_medians": _with(["by_case"], """SELECT a.arm AS arm_a, b.arm AS arm_b, count(*) AS n, round(median(round(abs(a.delta - b.delta), 9)), 6) AS median
+FROM by_case a JOIN by_case b ON b.case_id = a.case_id AND a.arm < b.arm GROUP BY a.arm, b.arm"""),
+    "case_spans": _with(["spans", "needs"], """SELECT case_id, need, CAST(CASE WHEN mode = 'any' THEN coalesce(len(shortest.c), 0) WHEN whole THEN len(every) ELSE 0 END AS BIGINT) AS n_span FROM spans JOIN needs USING (case_id)"""),
+    "answer_arms": _with(["arm_answers"], "SELECT query_id, arm, sha256(prompt) AS digest, answer FROM arm_answers"),
+    "answer_usage": _with(["arm_answers"], """SELECT arm, CAST(sum(length(prompt)) AS BIGINT) AS n_input, CAST(sum(length(answer)) AS BIGINT) AS n_output, count(*) AS n, max(length(prompt)) - min(length(prompt)) > 2000 AS input_varies FROM arm_answers GROUP BY arm"""),
+    "chunk_lateral": _with(["blocks"], 'SELECT doc_id, ord, 500 * ord AS "offset", sha256(content) AS sha256 FROM blocks'),
     "mean_delta": _with(["diffs"], "SELECT arm, round(avg(delta), 6) AS mean_delta, count(delta) AS n FROM (SELECT case_id, arm, avg(delta) AS delta FROM diffs GROUP BY case_id, arm) GROUP BY arm"),
     "md_sections": _with(["secs"], "SELECT doc_id, section, heading, body FROM secs"),
     "heading_path": _with(["secs"], f"SELECT doc_id, section, sha256(CASE WHEN heading <> '' THEN '[章节] ' || heading || {NL} || body ELSE body END) AS sha256 FROM secs"),

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
 from stratadoc.operators import answers as replies
-from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve
+from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve, selection
 from stratadoc.operators.grams import near_occurrences
 from stratadoc.operators.index import EPSILON, K1, B, LexicalIndex, lexical_index, load_lexical, store_lexical
+from stratadoc.plans import sql
 from stratadoc.session import saved, shared_dir, spread, table
 from stratadoc.sources import corpus as sources
 from stratadoc.sources import store
@@ -276,10 +277,9 @@ def bm25_idf(spark, d):
 
 @query
 def chunk_length_stats(spark, d):
-    n = F.length("text")
-    return chunk.fixed_chunks(documents(spark, d)).groupBy("doc_id").agg(
-        _long(F.min(n)).alias("shortest"), _long(F.max(n)).alias("longest"), _r(F.avg(n)).alias("mean"), _long(evaluate.upper_median(F.collect_list(n))).alias("median")
-    )
+    rows = saved(chunk.fixed_chunks(documents(spark, d)).select("doc_id", F.length("text").alias("n")), "block-lengths")
+    sums = rows.groupBy("doc_id").agg(_long(F.min("n")).alias("shortest"), _long(F.max("n")).alias("longest"), _r(F.avg("n")).alias("mean"))
+    return sums.join(selection.medians(rows, ["doc_id"], "n").select("doc_id", _long("upper").alias("median")), "doc_id")
 
 
 # ------------------------------------------------------------------------------- retrieval
@@ -412,6 +412,13 @@ def arm_overlap(spark, d):
     return sets.select("query_id", shared("dense", "bm25").alias("dense_bm25"), shared("dense", "hybrid").alias("dense_hybrid"), shared("bm25", "hybrid").alias("bm25_hybrid"))
 
 
+@query
+def case_spans(spark, d):
+    """What a case needs, and how many blocks its groups' covers have together: one that covers share counts once."""
+    _, wanted, holding = _held(spark, d)
+    return evaluate.case_spans(wanted, evaluate.min_covers(wanted, holding)).select("case_id", "need", _long(F.size("span")).alias("n_span"))
+
+
 @query
 def fuse_sweep(spark, d):
     """Every weighting and constant of the fusion at one depth; an arm alone is fused once."""
@@ -467,12 +474,12 @@ def judge_case(spark, d):
 
 @query
 def corpus_ngrams(spark, d):
-    return judge.corpus_grams(documents(spark, d).select("text"))
+    return judge.corpus_grams(documents(spark, d).select("doc_id", "text"), ["doc_id"])
 
 
 @query
 def copy_ratio(spark, d):
-    grams = judge.corpus_grams(documents(spark, d).select("text"))
+    grams = judge.corpus_grams(documents(spark, d).select("doc_id", "text"), ["doc_id"])
     return _rounded(judge.copy_ratios(answers(spark, d), grams), "copy")
 
 
@@ -493,6 +500,35 @@ def verdict(spark, d):
     return judge.verdicts(rows)
 
 
+@query
+def raw_verdict(spark, d):
+    """The verdict over gram scores without a floor."""
+    rows = judge.raw_deltas(judged(spark, d)).groupBy("case_id", "bank", "type", "arm").agg(F.avg("delta").alias("delta"))
+    return judge.verdicts(rows)
+
+
+@query
+def stored_floor_deltas(spark, d):
+    """Deltas over floors that were stored with the scores, in a run's dump of JSON lines."""
+    from stratadoc.session import new_path
+
+    floors = judge.gram_floor(answers(spark, d).select("answer_id", "case_id", "answer"), anchors(spark, d), judge.across(cases(spark, d)))
+    path = new_path(spark, "dump")
+    sources.write_json_lines(judged(spark, d).join(floors, "answer_id").select("answer_id", "case_id", "arm", "gram", "gram_null"), path)
+    stored = sources.read_json_lines(spark, path, "answer_id long, case_id long, arm string, gram double, gram_null double")
+    return _rounded(judge.deltas(stored).select("answer_id", "case_id", "arm", "delta"), "delta")
+
+
+@query
+def arm_delta_medians(spark, d):
+    """For each two arms the median difference of their deltas over the cases that both have."""
+    rows = saved(case_deltas(spark, d).groupBy("case_id", "arm").agg(F.avg("delta").alias("delta")), "case-deltas")
+    other = rows.select("case_id", F.col("arm").alias("arm_b"), F.col("delta").alias("other"))
+    pairs = rows.withColumnRenamed("arm", "arm_a").join(other, "case_id").filter("arm_a < arm_b").withColumn("apart", F.round(F.abs(F.col("delta") - F.col("other")), 9))
+    found = selection.medians(pairs, ["arm_a", "arm_b"], "apart")
+    return found.select("arm_a", "arm_b", "n", _r((F.col("lower") + F.col("upper")) / 2).alias("median"))
+
+
 @query
 def mean_delta(spark, d):
     rows = case_deltas(spark, d).groupBy("case_id", "arm").agg(F.avg("delta").alias("delta"))
@@ -501,7 +537,7 @@ def mean_delta(spark, d):
 
 @query
 def score_summary(spark, d):
-    copied = judge.copy_ratios(answers(spark, d), judge.corpus_grams(documents(spark, d).select("text")))
+    copied = judge.copy_ratios(answers(spark, d), judge.corpus_grams(documents(spark, d).select("doc_id", "text"), ["doc_id"]))
     return _rounded(judge.score_summary(judged(spark, d).join(copied, "answer_id")), *judge.METRICS, "copy", "chars")
 
 
@@ -561,25 +597,80 @@ def answer_run(spark, d):
     return replies.answered(prompts.withColumn("sha256", F.sha2("prompt", 256)), _first_words, ["query_id", "sha256"])
 
 
+#: Characters of material that the long arm gets: as much as a model's window has room for.
+LONG_BUDGET = 20_000
+
+
+def _arm_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, arm, prompt (roles and contents): each question with each arm's material."""
+    found, _, dense, bm25 = rankings(spark, d, retrieve.depth(K))
+    hits = retrieve.lookup(hits_at(dense, bm25, K), found.select("i", "content"))
+    contexts = retrieve.context(hits, ("query_id", "arm"))
+    asked = questions(spark, d)
+    material = retrieve.within_budget(corpus(spark, d), LONG_BUDGET)  # one row of that size at most
+    long = asked.select("query_id").crossJoin(F.broadcast(material)).select("query_id", F.lit("long").alias("arm"), "context")
+    rows = contexts.select("query_id", "arm", "context").unionByName(long).join(asked, "query_id")
+    parts = F.transform(retrieve.messages(F.col("context"), F.col("q")), lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return rows.select("query_id", "arm", F.array_join(parts, "\n").alias("prompt"))
+
+
+def _arm_replies(spark: SparkSession, d: str) -> DataFrame:
+    from stratadoc.session import new_path
+
+    # The setting names a folder that outlives the run; without it the replies are this run's own.
+    folder = spark.conf.get("spark.stratadoc.replies", None) or new_path(spark, "replies")
+    prompts = _arm_prompts(spark, d).withColumn("n_prompt", F.length("prompt"))
+    return replies.remembered(prompts, _first_words, ["query_id", "arm", "n_prompt"], folder)
+
+
+@query
+def answer_arms(spark, d):
+    """Every question by every arm, the long one over the corpus's first texts; no prompt is asked twice."""
+    return _arm_replies(spark, d).select("query_id", "arm", "digest", "answer")
+
+
+@query
+def answer_usage(spark, d):
+    """What the arms' prompts and replies come to, in characters, and whether an arm's prompts differ in size."""
+    rows = _arm_replies(spark, d).select("arm", _long("n_prompt").alias("input_tokens"), _long(F.length("answer")).alias("output_tokens"), F.lit(None).cast("long").alias("cache_hit"), F.lit(None).cast("long").alias("cache_miss"))
+    return replies.usage_totals(rows).select("arm", F.col("input_tokens").alias("n_input"), F.col("output_tokens").alias("n_output"), "n", "input_varies")
+
+
+@query
+def chunk_lateral(spark, d):
+    """The slicing chunker as a table function of SQL."""
+    sql.register(spark)
+    found = spark.sql("SELECT d.doc_id, c.ord, c.offset, c.text FROM {docs} d, LATERAL chunk(d.text, 'fixed') c", docs=documents(spark, d))
+    return found.select("doc_id", _long("ord").alias("ord"), _long("offset").alias("offset"), F.sha2("text", 256).alias("sha256"))
+
+
 # ------------------------------------------------------------------------------- Markdown
 
 
+@query
+def md_chunks_lateral(spark, d):
+    """The Markdown chunker as a table function of SQL."""
+    sql.register(spark)
+    found = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunk(d.text, 'md') c", docs=markdown_docs(spark, d))
+    return found.select("doc_id", _long("ord").alias("ord"), _long("offset").alias("offset"), T.heading_path(F.col("path")).alias("heading"), "text", "cross_section")
+
+
 @query
 def md_sections(spark, d):
-    found = chunk.sections(markdown_docs(spark, d))
+    found = inspect.sections(markdown_docs(spark, d))
     return found.select("doc_id", _long("section").alias("section"), T.heading_path(F.col("path")).alias("heading"), "body")
 
 
 @query
 def heading_path(spark, d):
     """Blocks as they are indexed: the headings of their sections before them."""
-    found = chunk.sections(markdown_docs(spark, d))
+    found = inspect.sections(markdown_docs(spark, d))
     return found.select("doc_id", _long("section").alias("section"), F.sha2(T.render(F.col("body"), F.col("path")), 256).alias("sha256"))
 
 
 @query
 def md_atoms(spark, d):
-    return chunk.atoms(markdown_docs(spark, d)).select("doc_id", _long("atom").alias("atom"), "kind", F.sha2("text", 256).alias("sha256"))
+    return inspect.atoms(markdown_docs(spark, d)).select("doc_id", _long("atom").alias("atom"), "kind", F.sha2("text", 256).alias("sha256"))
 
 
 @query

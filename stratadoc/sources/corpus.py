@@ -29,7 +29,7 @@ def corpus_text(corpus: DataFrame, group: str) -> DataFrame:
     return running_sum(corpus.select(group, "corpus_ord", "text"), group, "corpus_ord", F.coalesce(F.length("text"), F.lit(0)) + 2, "offset")
 
 
-def _in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
+def in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows in order of `by`, written down as ranges of it, with place: the range's number and the place in it.
 
     The ranges come from a sample, so they hold about as many rows whatever the values are; rows that are equal in all
@@ -41,7 +41,7 @@ def _in_ranges(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 #: How monotonically_increasing_id() numbers rows: the partition, and in the lower bits the place in it.
-_PART, _AT = "int(shiftright(_place, 33))", f"_place & {(1 << 33) - 1}L"
+PART, AT = "int(shiftright(_place, 33))", f"_place & {(1 << 33) - 1}L"
 
 
 def _ahead(parts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def _ahead(parts: DataFrame) -> DataFrame:
 
 def ranked(rows: DataFrame, by: list[str], out: str) -> DataFrame:
     """Adds out: 0, 1, ... over all rows in order of `by`, nulls first. Rows equal in all of it stand in any order."""
-    placed = _in_ranges(rows, by).withColumns({"part": F.expr(_PART), "at": F.expr(_AT)})
+    placed = in_ranges(rows, by).withColumns({"part": F.expr(PART), "at": F.expr(AT)})
     ahead = _ahead(placed.groupBy("part").agg(F.count("*").alias("n")))
     return placed.join(F.broadcast(ahead), "part").withColumn(out, (F.col("at") + F.col("ahead")).cast("long")).drop("part", "at", "ahead", "_place")
 
@@ -64,8 +64,8 @@ def running_sum(rows: DataFrame, group: str, by: str, amount: Column, out: str)
     any order. The sums are over ranges of rows of about one size, whatever the groups and values are.
     """
     kept = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "summed-rows")
-    sizes = _in_ranges(kept.select(F.col(group).alias("g"), F.col(by).alias("at_"), "_row", F.coalesce(amount, F.lit(0)).cast("long").alias("n")), ["g", "at_", "_row"])
-    sizes = sizes.withColumn("part", F.expr(_PART))
+    sizes = in_ranges(kept.select(F.col(group).alias("g"), F.col(by).alias("at_"), "_row", F.coalesce(amount, F.lit(0)).cast("long").alias("n")), ["g", "at_", "_row"])
+    sizes = sizes.withColumn("part", F.expr(PART))
     inside = Window.partitionBy("part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     ahead = _ahead(sizes.groupBy("part").agg(F.sum("n").alias("n")))
     sums = sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(ahead), "part")

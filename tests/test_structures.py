@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
-from stratadoc.operators import chunk, covers, evaluate, grams, retrieve, segments
+from stratadoc.functions import markdown
+from stratadoc.operators import chunk, covers, evaluate, grams, inspect, judge, retrieve, segments, selection
 from stratadoc.operators.index import lexical_index, load_lexical, store_lexical
 from stratadoc.sources import corpus, store
 
@@ -35,7 +36,7 @@ def test_uneven_ids_spread_over_ranges(spark):
     rows_ = spark.range(20_000).select(F.when(F.col("id") == 7, F.lit(10**12)).when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("k"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
     try:
-        placed = corpus._in_ranges(rows_, ["k"]).groupBy(F.expr(corpus._PART)).count().collect()
+        placed = corpus.in_ranges(rows_, ["k"]).groupBy(F.expr(corpus.PART)).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(placed) > 1 and max(r["count"] for r in placed) < 0.5 * 20_000
@@ -241,3 +242,99 @@ def test_segments_keep_repeated_and_null_ids_apart(spark, tmp_path):
     changes = spark.createDataFrame([(1, "s", "new", False), (2, "s", "", True), (None, "s", "lost", False)], "doc_id long, source string, text string, deleted boolean")
     assert segments.apply_changes(spark, folder, changes) == {"added": 1, "removed": 3}
     assert segments.apply_changes(spark, folder, changes) == {"added": 0, "removed": 0}
+
+
+def test_grams_cross_from_text_to_text(spark):
+    """Short and empty texts carry over, whatever ranges the texts are dealt to."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc ，") for _ in range(r.choice([0, 1, 1, 2, 3, 9]))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, None)], "k long, text string").repartition(5)
+    whole = "".join(c for t in texts for c in t if c not in " ，")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {x["gram"] for x in judge.corpus_grams(df, ["k"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {whole[p : p + 3] for p in range(len(whole) - 2)}
+    texts = [f"{a}{b}" for a in "xyz" for b in "pqrstuvw"]  # every join has grams of its own
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    whole = "".join(texts)
+    assert {x["gram"] for x in judge.corpus_grams(df, ["k"]).collect()} == {whole[p : p + 3] for p in range(len(whole) - 2)}
+    assert judge.corpus_grams(df.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("ordered", [1, 4, 4096])
+def test_medians_of_groups_of_any_size(spark, ordered):
+    import statistics
+
+    r = random.Random(3)
+    groups = {("a", 1): [r.gauss(0, 1) for _ in range(801)], ("a", None): [r.choice([1.0, 2.0, 2.5]) for _ in range(400)], (None, 2): [5.0] * 50, ("b", 3): [10.0**k for k in range(-40, 40)], ("c", 1): [1.0, 2.0], ("d", 1): [-7.0]}
+    data = [(*k, v) for k, vs in groups.items() for v in vs] + [("a", 1, None), ("a", 1, float("nan")), ("none", 0, None)]
+    found = selection.medians(spark.createDataFrame(data, "g string, h long, v double"), ["g", "h"], "v", ordered).collect()
+    assert {(x["g"], x["h"]): (x["n"], x["lower"], x["upper"]) for x in found} == {k: (len(v), statistics.median_low(v), statistics.median_high(v)) for k, v in groups.items()}
+
+
+def test_replies_are_remembered(spark, tmp_path):
+    from stratadoc.operators import answers
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def model(prompts):
+        import uuid
+
+        (asked / uuid.uuid4().hex).write_text("\n".join(prompts))
+        return [p.upper() for p in prompts]
+
+    def run(prompts):
+        df = spark.createDataFrame(prompts, "k long, arm string, prompt string")
+        return rows(answers.remembered(df, model, ["k", "arm"], f"file://{tmp_path}/replies"), "k", "arm", "answer")
+
+    seen = lambda: sorted(p for f in asked.iterdir() for p in f.read_text().split("\n"))
+    assert run([(1, "a", "x"), (2, "a", "x"), (1, "b", "y")]) == [(1, "a", "X"), (1, "b", "Y"), (2, "a", "X")]
+    assert seen() == ["x", "y"]
+    assert run([(1, "a", "x"), (3, "c", "z"), (4, "c", None)]) == [(1, "a", "X"), (3, "c", "Z"), (4, "c", "")]
+    assert seen() == ["", "x", "y", "z"]
+
+
+def test_material_within_a_budget(spark):
+    df = spark.createDataFrame([(3, "c" * 5), (1, "a" * 4), (2, "b" * 3), (4, None)], "corpus_ord long, text string")
+    assert [retrieve.within_budget(df, n).first()[0] for n in (0, 3, 4, 9, 13, 14, 16, 99)] == ["", "", "aaaa", "aaaa\n\nbbb", "aaaa\n\nbbb", "aaaa\n\nbbb", "aaaa\n\nbbb\n\nccccc", "aaaa\n\nbbb\n\nccccc\n\n"]
+
+
+ODD_MARKDOWN = [
+    "", "\n\n", "plain", "# A\n\n\n## B\n#### D\ntext\n## C", "before\n# A\n```\n# no\n```\nafter\n    # indented\n", "~~~\nopen\n# never", "```a\n~~~\n```b\n# closed by any mark\n```\nx", "| a |\n|---|\n  | b |\ntext\n```\nf\n```\n```\ng\n```\n\n| c |",
+    "#no\n####### seven\n#  two  spaces \t\n　# wide\n#\tt", "# A\n   \n# B\n　\nx", "a\r\n# b\r\nc # d", "### deep\n# top\n### again\n## mid\n#### low",
+]
+
+
+def test_sections_and_atoms_equal_the_core_without_python(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(ODD_MARKDOWN)] + [(99, None)], "doc_id long, text string")
+    found = inspect.sections(docs)
+    expected = [(i, n, body, sorted(path.items())) for i, t in enumerate(ODD_MARKDOWN) for n, (body, path) in enumerate(markdown.sections(t))]
+    assert sorted((x["doc_id"], x["section"], x["body"], sorted(x["path"].items())) for x in found.collect()) == expected
+    pieces = inspect.atoms(docs)
+    expected = [(i, n, kind, "\n".join(lines)) for i, t in enumerate(ODD_MARKDOWN) for n, (kind, lines) in enumerate(markdown.atoms(t.split("\n")))]
+    assert rows(pieces, "doc_id", "atom", "kind", "text") == expected
+    for df in (found, pieces):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("kind", ["md", "md_plain", "flat"])
+def test_chunk_as_a_table_function(spark, kind):
+    from stratadoc.plans import sql
+
+    sql.register(spark)
+    docs = spark.createDataFrame([(i, "s", t + "\n" + "long text " * 80) for i, t in enumerate(ODD_MARKDOWN)] + [(99, "s", None)], DOCS)
+    found = spark.sql(f"SELECT d.doc_id, c.* FROM {{docs}} d, LATERAL chunk(d.text, '{kind}') c", docs=docs)
+    listed = lambda df: sorted((x["doc_id"], x["ord"], x["text"], x["offset"], sorted(x["path"].items()), x["cross_section"]) for x in df.collect())
+    assert listed(found) == listed(chunk.pieces(docs, kind))
+    with pytest.raises(Exception, match="kind is one of"):
+        spark.sql("SELECT * FROM chunk('a', 'other')").collect()
+
+
+def test_spans_count_shared_blocks_once(spark):
+    wanted = spark.createDataFrame([(1, "all", 0, 0, "a"), (1, "all", 1, 0, "b"), (2, "any", 0, 0, "a"), (2, "any", 1, 0, "none"), (3, "all", 0, 0, "none")], "case_id long, mode string, group_no long, anchor_no long, anchor string")
+    held = spark.createDataFrame([("a", 4), ("b", 4), ("b", 9)], "anchor string, i long")
+    assert rows(evaluate.case_spans(wanted, evaluate.min_covers(wanted, held)), "case_id", "need", "span") == [(1, 2, [4]), (2, 1, [4]), (3, None, [])]
