@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.functions.text import tokenize
+from stratadoc.operators.segment import lexicon_of, terms
 from stratadoc.session import saved
 
 #: The ranking function's parameters.
@@ -23,18 +23,21 @@ class LexicalIndex:
     stats: DataFrame  # one row: n, avgdl
     weights: DataFrame | None = None  # term, span, i, weight: what a term adds to a block's score; stored indexes have it
     bounds: DataFrame | None = None  # term, span, most, n: the largest weight of a term in a span of blocks, and how many
+    lexicon: DataFrame | None = None  # word, score: the words of Han text, where the blocks have any
 
 
 def lexical_index(blocks: DataFrame) -> LexicalIndex:
     """From blocks (i, content). Terms in more than half of the blocks get a share of the mean idf in place of a negative one.
 
-    Postings are written once, to the shared folder; all else comes from them.
+    Postings are written once, to the shared folder; all else comes from them. Han text is cut by a lexicon that is
+    counted from the blocks.
     """
-    terms = blocks.select("i", F.explode(tokenize(F.col("content"))).alias("term"))
-    return statistics(blocks.select("i"), saved(terms.groupBy("term", "i").agg(F.count("*").alias("tf")), "postings"))
+    words = lexicon_of(blocks.select(F.col("content").alias("text")))
+    found = terms(blocks, ["i"], "content", words)
+    return statistics(blocks.select("i"), saved(found.groupBy("term", "i").agg(F.count("*").alias("tf")), "postings"), words)
 
 
-def statistics(blocks: DataFrame, postings: DataFrame) -> LexicalIndex:
+def statistics(blocks: DataFrame, postings: DataFrame, words: DataFrame | None = None) -> LexicalIndex:
     """The index of blocks (i) whose postings are written down."""
     lengths = saved(
         blocks.join(postings.groupBy("i").agg(F.sum("tf").alias("dl")), "i", "left").select("i", F.coalesce("dl", F.lit(0)).alias("dl")), "lengths"
@@ -44,11 +47,13 @@ def statistics(blocks: DataFrame, postings: DataFrame) -> LexicalIndex:
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg((F.avg("raw") * EPSILON).alias("floor"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, lengths, idf, stats)
+    return LexicalIndex(postings, lengths, idf, stats, lexicon=words)
 
 
 #: Blocks of a span, by their numbers.
 SPAN_BITS = 10
+#: The tables of a stored index.
+TABLES = ("postings", "lengths", "idf", "stats", "weights", "bounds", "lexicon")
 
 
 def term_weights(index: LexicalIndex) -> DataFrame:
@@ -61,6 +66,8 @@ def term_weights(index: LexicalIndex) -> DataFrame:
 def store_lexical(index: LexicalIndex, path: str) -> None:
     """Writes the index. What is found by term is in ranges of terms and spans, in order, so that a term's rows of a span
     lie together."""
+    none = index.postings.sparkSession.createDataFrame([], "word string, score double")
+    (index.lexicon if index.lexicon is not None else none).write.mode("overwrite").parquet(f"{path}/lexicon")
     for name, by in (("postings", ["term"]), ("lengths", []), ("idf", ["term"]), ("stats", [])):
         rows = getattr(index, name)
         rows = rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
@@ -74,7 +81,8 @@ def store_lexical(index: LexicalIndex, path: str) -> None:
 def load_lexical(spark: SparkSession, path: str) -> LexicalIndex | None:
     """The index stored at path; None where there is none."""
     try:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "idf", "stats", "weights", "bounds")))
+        tables = [spark.read.parquet(f"{path}/{name}") for name in TABLES]
+        return LexicalIndex(*tables[:-1], lexicon=None if tables[-1].isEmpty() else tables[-1])
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -140,5 +140,6 @@ def load(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex]:
     own = ["segment", "row"]
     i = (F.col("base") + F.col("ord")).cast("long").alias("i")
     blocks = _of_segments(spark, folder, names, "blocks", "row long, ord int, text string").join(based, own).select(i, "doc_id", "source", F.col("text").alias("content"))
+    # Segments hold Han text as overlapping pairs: words would change with every update.
     postings = _of_segments(spark, folder, names, "postings", "term string, row long, ord int, tf long").join(based, own).select("term", i, "tf")
     return blocks, statistics(blocks.select("i"), saved(postings, "postings"))

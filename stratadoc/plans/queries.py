@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
 from stratadoc.operators import answers as replies
-from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve, selection
+from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve, segment, selection
 from stratadoc.operators.grams import near_occurrences
-from stratadoc.operators.index import EPSILON, K1, B, LexicalIndex, lexical_index, load_lexical, store_lexical
+from stratadoc.operators.index import EPSILON, K1, SPAN_BITS, TABLES, B, LexicalIndex, lexical_index, load_lexical, store_lexical
 from stratadoc.plans import sql
 from stratadoc.session import saved, shared_dir, spread, table
 from stratadoc.sources import corpus as sources
@@ -91,7 +91,7 @@ def index(spark: SparkSession, d: str) -> tuple[DataFrame, LexicalIndex]:
     same way, else a new one, which is stored. It lies in the folder of spark.stratadoc.index, or in the shared one."""
     folder = spark.conf.get("spark.stratadoc.index", None) or f"{shared_dir(spark)}/indexes"
     folder = f"{folder.rstrip('/')}/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
-    settings = {"chunker": "fixed", "size": 500, "terms": hashlib.sha256(repr((T.WORD, T.PLAIN_WORD, T.NOT_PLAIN, T.CODE_SEGMENT, T.CODE_SPLIT)).encode()).hexdigest(), "scores": [K1, B, EPSILON], "files": store.listed_digest(spark, f"{d}/documents.parquet")}
+    settings = {"chunker": "fixed", "size": 500, "terms": hashlib.sha256(repr((T.WORD, T.PLAIN_WORD, T.NOT_PLAIN, T.CODE_SEGMENT, T.CODE_SPLIT)).encode()).hexdigest(), "scores": [K1, B, EPSILON], "words": [segment.LONGEST, segment.LEAST, segment.COHESION], "tables": [*TABLES, SPAN_BITS], "files": store.listed_digest(spark, f"{d}/documents.parquet")}
     version = store.published(spark, folder, settings)
     if version is None:
         version = store.new_version(folder)
@@ -205,6 +205,22 @@ def tokenize(spark, d):
     return found.select("doc_id", _long(F.size("t")).alias("n_terms"), F.sha2(F.array_join("t", " "), 256).alias("terms_sha256"))
 
 
+def _han_docs(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text: what each order is, written in Han characters from the order's own values."""
+    digits = lambda c: F.translate(F.col(c).cast("string"), "0123456789", "零一二三四五六七八九")
+    state = F.when(F.col("o_orderstatus") == "F", "已经完成").when(F.col("o_orderstatus") == "O", "正在处理").otherwise("部分完成")
+    level = F.concat(F.lit("优先级"), F.translate(F.substring("o_orderpriority", 1, 1), "12345", "一二三四五"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("客户"), digits("o_custkey"), F.lit("的订单"), state, F.lit("，"), level, F.lit(" `"), "o_orderkey", F.lit("`")).alias("text"))
+
+
+@query
+def han_terms(spark, d):
+    """Orders described in Han characters, cut into the words that the descriptions themselves show."""
+    docs = saved(_han_docs(spark, d), "han-texts")
+    found = segment.terms(docs, ["doc_id"], "text", segment.lexicon_of(docs))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sha2(F.array_join(F.array_sort(F.collect_list("term")), " "), 256).alias("terms_sha256"))
+
+
 @query
 def block_anchors(spark, d):
     return chunk.fixed_chunks(documents(spark, d)).select("doc_id", _long("ord").alias("ord"), T.anchor_of(F.col("text")).alias("anchor"))

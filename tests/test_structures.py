@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratadoc.functions import text as T
 from stratadoc.functions import markdown
-from stratadoc.operators import chunk, covers, evaluate, grams, inspect, judge, retrieve, segments, selection
+from stratadoc.operators import chunk, covers, evaluate, grams, inspect, judge, retrieve, segment, segments, selection
 from stratadoc.operators.index import lexical_index, load_lexical, store_lexical
 from stratadoc.sources import corpus, store
 
@@ -338,3 +338,43 @@ def test_spans_count_shared_blocks_once(spark):
     wanted = spark.createDataFrame([(1, "all", 0, 0, "a"), (1, "all", 1, 0, "b"), (2, "any", 0, 0, "a"), (2, "any", 1, 0, "none"), (3, "all", 0, 0, "none")], "case_id long, mode string, group_no long, anchor_no long, anchor string")
     held = spark.createDataFrame([("a", 4), ("b", 4), ("b", 9)], "anchor string, i long")
     assert rows(evaluate.case_spans(wanted, evaluate.min_covers(wanted, held)), "case_id", "need", "span") == [(1, 2, [4]), (2, 1, [4]), (3, None, [])]
+
+
+def test_words_are_counted_from_the_corpus(spark):
+    texts = ["数据库很快", "数据库很大", "大数据库", "很快的数据库", "数据库，数据库", "的很", "快", "plain `a` text", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = {x["word"]: x["score"] for x in segment.lexicon(df, least=3, cohesion=2.0).collect()}
+    assert {w for w in words if len(w) > 1} == {"数据", "据库", "数据库"}
+    chars = [c for t in texts if t for c in t if "一" <= c <= "龥"]
+    assert words["数"] == pytest.approx(__import__("math").log(chars.count("数") / len(chars)))
+    assert segment.lexicon_of(df.filter("text like 'plain%'")) is None
+
+
+def test_best_path_equals_all_paths(spark):
+    """Of all ways to cut a run that with the largest sum of scores."""
+    r = random.Random(2)
+    texts = ["".join(r.choice("甲乙丙丁") for _ in range(r.randint(1, 9))) for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    lexicon = segment.lexicon(df, least=4, cohesion=1.0)
+    words = {x["word"]: x["score"] for x in lexicon.collect()}
+    assert any(len(w) > 2 for w in words)
+
+    def ways(run):
+        return [[]] if not run else [[run[:n], *rest] for n in range(1, min(segment.LONGEST, len(run)) + 1) if n == 1 or run[:n] in words for rest in ways(run[n:])]
+
+    found = {x["run"]: x["path"] for x in segment.segmented(spark.createDataFrame([(t,) for t in [*texts, "甲戊乙"]], "run string"), lexicon).collect()}
+    for run, path in found.items():
+        score = lambda p: sum(words.get(w, segment.UNKNOWN) for w in p)
+        assert "".join(path) == run and score(path) == pytest.approx(max(map(score, ways(run))))
+
+
+def test_index_and_questions_share_their_words(spark, tmp_path):
+    others = ["".join(chr(0x5000 + 40 * k + j) for j in range(40)) for k in range(6)]
+    blocks = spark.createDataFrame([(i, t) for i, t in enumerate(["数据库很快", "数据库很大", "据库", "大数据库", "很快的数据库", "数据库 plain", "库数", *others])], "i long, content string")
+    index = lexical_index(blocks)
+    found = {x["term"] for x in index.idf.filter("length(term) > 1").collect()}
+    assert {"数据库", "plain"} <= found <= {"数据库", "据库", "plain"}
+    queries = spark.createDataFrame([(1, "哪个数据库")], "query_id long, q string")
+    plain = rows(retrieve.bm25_topk(index, queries, 9), "i", "rank")
+    store_lexical(index, f"file://{tmp_path}/lex")
+    assert rows(retrieve.bm25_topk(load_lexical(spark, f"file://{tmp_path}/lex"), queries, 9), "i", "rank") == plain
