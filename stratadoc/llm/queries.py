@@ -162,25 +162,25 @@ FROM listed l LEFT JOIN kept k USING (doc_id)
 
 
 OP9_SQL = rf"""
-WITH templates(template, license, text) AS (VALUES {", ".join("(%d, '%s', '%s')" % (i, a, b) for i, (a, b) in enumerate(licenses.TEMPLATES))}),
+WITH templates(template, license, text) AS (VALUES {", ".join("(%d, '%s', '%s')" % (i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.TEMPLATES))}),
 files AS (
   SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(CAST(doc_id // 10000 AS VARCHAR), 'none') || '/'
          || coalesce(CAST(doc_id // 100 AS VARCHAR), 'none') || '/' || coalesce(CAST(doc_id AS VARCHAR), 'none') AS path, text,
          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
 ), template_terms AS (
-  SELECT template, license, term, count(*) AS tf
-  FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
+  SELECT template, license, identifier, term, count(*) AS tf
+  FROM (SELECT template, license, starts_with(text, '{licenses.IDENTIFIER}') AS identifier, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM templates) GROUP BY ALL
 ), df AS (
   SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '[a-z0-9]+'))) AS term FROM files)
   WHERE term IN (SELECT term FROM template_terms) GROUP BY term
 ), n AS (SELECT count(*) AS n FROM files),
 raw AS (
-  SELECT template, license, term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, tf * idf AS r
+  SELECT template, license, identifier, term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf, tf * idf AS r
   FROM template_terms LEFT JOIN df USING (term), n
 ), weights AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY template)) AS w FROM raw),
 known AS (SELECT term, any_value(idf) AS idf FROM weights GROUP BY term), split AS (SELECT path, hash(text) AS key, length(text) AS total, string_split(low, chr(10)) AS ls FROM files WHERE low IS NOT NULL),
 cued AS (
-  SELECT DISTINCT path, key, total, i - 1 AS line_no, ls[i] AS line, ls[greatest(i - 1, 1):i + 1] AS near
+  SELECT DISTINCT path, key, total, i - 1 AS line_no, ls[i] AS line, ls[greatest(i - 1, 1):i + 1] AS near, array_to_string(ls[i:i + {licenses.PASSAGE_LINES - 1}], ' ') AS ahead
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM split) WHERE regexp_matches(ls[i], '{licenses.CUES}')
 ), headers AS (
   SELECT DISTINCT path, hash(text) AS key, length(text) AS total, string_split(low, chr(10) || chr(10))[1] AS header FROM files
@@ -188,22 +188,27 @@ cued AS (
 ), units AS (
   SELECT path, key, 'line' AS kind, line_no, length(line) AS n_chars, total, line AS txt FROM cued
   UNION ALL SELECT path, key, 'neighbours', line_no, length(line), total, array_to_string(near, ' ') FROM cued
+  UNION ALL SELECT path, key, 'passage', line_no, length(ahead), total, ahead FROM cued WHERE regexp_matches(line, '{licenses.PASSAGE_CUES}')
   UNION ALL SELECT path, key, 'header', 0, length(header), total, header FROM headers
 ), tf AS (
   SELECT path, key, kind, line_no, n_chars, total, term, count(*) AS tf
   FROM (SELECT * EXCLUDE txt, unnest(regexp_extract_all(txt, '[a-z0-9]+')) AS term FROM units) GROUP BY ALL
 ), weighed AS (SELECT tf.*, idf, tf * coalesce(idf, ln(n + 1) + 1) AS r FROM tf LEFT JOIN known USING (term), n),
-norms AS (SELECT path, key, kind, line_no, sqrt(sum(r * r)) AS norm FROM weighed GROUP BY ALL),
+norms AS (SELECT path, key, kind, line_no, sqrt(sum(CASE WHEN kind <> 'passage' OR idf IS NOT NULL THEN r * r END)) AS norm FROM weighed GROUP BY ALL),
 cosines AS (
-  SELECT path, key, kind, line_no, n_chars, total, license, round(sum(d.r * w.w) / any_value(norm), 6) AS score
+  SELECT path, key, kind, line_no, n_chars, total, license, round(sum(d.r * w.w) / any_value(norm), 6) AS score, any_value(w.identifier) AS identifier
   FROM weighed d JOIN weights w USING (term) JOIN norms USING (path, key, kind, line_no) GROUP BY path, key, kind, line_no, n_chars, total, template, license
+), by_license AS (
+  SELECT path, key, kind, line_no, n_chars, total, license, max(score) AS score FROM cosines
+  WHERE score >= CASE WHEN identifier THEN {licenses.IDENTIFIER_COSINE} WHEN kind = 'passage' THEN {licenses.PASSAGE_COSINE} ELSE {licenses.MIN_COSINE} END GROUP BY ALL
+), ranked AS (
+  SELECT path, key, kind, line_no, n_chars, total, list_sort(list({{'o': -score, 'l': license}})) AS r FROM by_license GROUP BY path, key, kind, line_no, n_chars, total
 ), best AS (
-  SELECT path, key, kind, line_no, n_chars, total, min({{'o': -score, 'l': license}}) AS b FROM cosines WHERE score >= {licenses.MIN_COSINE}
-  GROUP BY path, key, kind, line_no, n_chars, total
+  SELECT path, key, kind, line_no, n_chars, total, {{'p': CASE WHEN kind = 'passage' THEN 0 ELSE 1 END, 'o': r[1].o, 'l': r[1].l}} AS b FROM ranked WHERE len(r) = 1 OR r[2].o - r[1].o >= {licenses.MARGIN} - 1e-9
 ), by_line AS (
-  SELECT path, key, count(*) AS n_lines, sum(n_chars) AS chars FROM (SELECT DISTINCT path, key, line_no, n_chars FROM best WHERE kind <> 'header') GROUP BY ALL
+  SELECT path, key, count(*) AS n_lines, sum(n_chars) AS chars FROM (SELECT DISTINCT path, key, line_no, n_chars FROM best WHERE kind NOT IN ('header', 'passage')) GROUP BY ALL
 ), of_text AS (
-  SELECT path, key, min(b) AS own, max(CASE WHEN kind = 'header' THEN n_chars END) AS whole, max(total) AS total FROM best GROUP BY ALL
+  SELECT path, key, min(b) AS own, max(CASE WHEN kind IN ('header', 'passage') THEN n_chars END) AS whole, max(total) AS total FROM best GROUP BY ALL
 ), own AS (
   SELECT path, min(own) AS own, sum(coalesce(n_lines, 0)) AS n_notices, max(greatest(coalesce(chars, 0), coalesce(whole, 0)) / total) AS share
   FROM of_text LEFT JOIN by_line USING (path, key) GROUP BY path

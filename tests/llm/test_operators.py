@@ -608,7 +608,7 @@ def test_toxic_spans_are_words_of_the_text(spark):
 
 def test_wrapped_notices_and_licence_files(spark):
     mpl = "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
-    lgpl = licenses.TEMPLATES[[i for i, (name, t) in enumerate(licenses.TEMPLATES) if name == "LGPL-3.0"][-1]][1]
+    lgpl = licenses.TEMPLATES[[i for i, (name, t) in enumerate(licenses.TEMPLATES) if name == "LGPL-3.0" and t.startswith("This library is free")][-1]][1]
     wrapped = "\n".join(" ".join(lgpl.split()[k : k + 8]) for k in range(0, len(lgpl.split()), 8))
     body = "\n".join(f"some words of code {i} that say nothing at all" for i in range(60))
     files = [("a/x.c", f"{mpl}\n{body}"), ("b/y.c", f"{wrapped}\n\n{body}"), ("c/LICENSE", wrapped), ("c/d/z.c", body), (None, None), ("e/w.c", ""), ("e/w.c", ""), ("a/x.c", f"{mpl}\n{body}")]
@@ -618,6 +618,51 @@ def test_wrapped_notices_and_licence_files(spark):
     )
 
 
+def wrapped_at(text, width, before=""):
+    import textwrap
+
+    return "\n".join(before + line for line in textwrap.wrap(text, width))
+
+
+def test_licences_by_their_names(spark):
+    """Headers in code, whole files, and identifiers: each licence by its own name, relatives and versions told apart."""
+    notice = {"AGPL-3.0": 0, "GPL-2.0": 0, "GPL-3.0": -1, "LGPL-2.1": -1, "LGPL-3.0": -1, "Apache-2.0": 2, "MPL-2.0": -1}
+    stated = [t for t in licenses.TEMPLATES if t not in licenses.TITLES + licenses.WHOLE and not t[1].startswith("SPDX")]
+    code = "\n".join(f"int value_{i} = compute(previous, {i}); // step {i} of the whole computation" for i in range(60))
+    files, expected = [], {}
+
+    def add(path, text, name):
+        files.append((path, text))
+        expected[path] = name
+
+    for name, which in notice.items():
+        text = [t for n, t in stated if n == name][which]
+        add(f"headers/{name}.c", wrapped_at(text, 74, " * ") + "\n\n" + code, name)
+    for name, text in licenses.WHOLE:
+        add(f"bare/{name}/x.c", wrapped_at(f"Copyright (c) 2020 Some Person. {text}", 74, "# ") + "\n" + code, name)
+        add(f"{name}/LICENSE", f"Copyright 2020, Some Body\n\n{wrapped_at(text, 70)}\n", name)
+    for name, title in licenses.TITLES:
+        add(f"titles-{name}/COPYING", f"{wrapped_at(title, 40, '      ')}\n\n Everyone may copy this document.\n\n{code}", name)
+    for name in (*licenses.IDENTIFIED, *licenses.GNU):
+        add(f"spdx/{name}/x.py", f"# SPDX-License-Identifier: {name}\n{code}", name)
+    add("spdx/later.py", f"# SPDX-License-Identifier: GPL-2.0-or-later\n{code}", "GPL-2.0")
+    add("spdx/other.py", f"# SPDX-License-Identifier: Zlib\n{code}", None)
+    add("plain.py", code, None)
+    found = {r["path"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: n for p, n in found.items() if n != expected[p]} == {}
+
+
+def test_whole_licence_files_of_the_system(spark):
+    from pathlib import Path
+
+    known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    files = [(f"{n}/COPYING", p.read_text(errors="replace")) for n in known if (p := Path("/usr/share/common-licenses") / n).exists()]
+    if not files:
+        pytest.skip("this system has no licence files")
+    found = {r["path"]: r["license"] for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: n for p, n in found.items() if n != known[p.split("/")[0]]} == {}
+
+
 def test_license_query_of_odd_rows(spark, docs, rows, tmp_path):
     """A row for each row of documents, without ids and repeated among them."""
     from stratadoc.llm import queries
