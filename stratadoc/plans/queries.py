@@ -764,10 +764,10 @@ CUT_MEASURES = ["n_blocks", "torn", "headerless", "over_size", "clean", "cut_lin
 @query
 def cut_compare(spark, d):
     """The chunkers' totals side by side, and how many blocks cross sections or lie elsewhere than they say."""
-    docs = markdown_docs(spark, d).cache()
+    docs = saved(markdown_docs(spark, d), "markdown")
     rows = []
     for name in ("flat", "md"):
-        parts = chunk.pieces(docs, name).cache()
+        parts = saved(chunk.pieces(docs, name), "pieces")
         sums = inspect.cut_quality(parts, docs).agg(*(F.sum(c).alias(c) for c in CUT_MEASURES))
         there = inspect.path_at(parts.select("doc_id", _long("offset").alias("offset")), inspect.headings(docs)).withColumnRenamed("path", "there").distinct()
         own = parts.withColumn("here", T.heading_path(F.col("path"))).filter("here != ''").withColumn("offset", _long("offset")).join(there, ["doc_id", "offset"])

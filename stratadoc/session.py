@@ -31,7 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, where its files are fewer than cores; as it is otherwise."""
+    """df over as many partitions as there are cores, where its files are fewer than cores; as it is otherwise.
+
+    The number of read partitions doesn't say enough: a file of one row group has as many as its size asks for, all but
+    one of them empty.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= n else df.repartition(n)
 
@@ -56,16 +60,24 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Scratch tables of this process, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table of this library's own."""
-    if path.startswith(shared_dir(spark)):
+def forget(spark: SparkSession) -> int:
+    """Deletes the scratch tables that saved() has made in this application, once no result that reads them is wanted any
+    more; tables that the caller named a folder for stay. Returns how many there were."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return len(paths)

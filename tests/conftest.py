@@ -9,8 +9,9 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     found.sparkContext.setLogLevel("ERROR")
-    from stratadoc.session import ship
+    from stratadoc.session import forget, ship
 
     ship(found)
     yield found
+    forget(found)
     found.stop()
