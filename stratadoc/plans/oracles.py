@@ -250,6 +250,13 @@ SELECT case_id, group_no, anchor_no, count(*) FILTER (near) AS n_near, count(*)
     "dense_topk": _with(["vectors"], """SELECT query_id, rank, i, round(score, 6) AS score FROM (
   SELECT a.i AS query_id, b.i AS i, list_dot_product(a.v, b.v) AS score, row_number() OVER (PARTITION BY a.i ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.i) AS rank
   FROM vectors a, vectors b WHERE a.i % 50 = 0) WHERE rank <= 4"""),
+    "encoded_topk": _with(["blocks"], """, coded AS (
+  SELECT kind, i, list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: CAST(length(t) - length(replace(t, c, '')) AS DOUBLE)) AS v
+  FROM (SELECT 'b' AS kind, i, lower(content) AS t FROM blocks UNION ALL SELECT 'q', item_id, 'query: ' || lower(text) FROM benchmark)
+), unit AS (SELECT kind, i, CASE WHEN list_dot_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM coded)
+SELECT query_id, rank, i, round(score, 6) AS score FROM (
+  SELECT q.i AS query_id, b.i, list_dot_product(q.v, b.v) AS score, row_number() OVER (PARTITION BY q.i ORDER BY round(list_dot_product(q.v, b.v), 9) DESC, b.i) AS rank
+  FROM unit q JOIN unit b ON q.kind = 'q' AND b.kind = 'b') WHERE rank <= 4"""),
     "bm25_topk": _with(["bm25"], "SELECT query_id, rank, i, round(score, 6) AS score FROM bm25 WHERE rank <= 20"),
     "hybrid_arms": _with(["arms"], "SELECT query_id, arm, rank, i FROM arms WHERE rank <= 20"),
     "rrf_fuse": _with(["arms"], "SELECT query_id, i, round(sum(1 / CAST(60 + rank AS DOUBLE)), 9) AS score FROM arms WHERE rank <= 20 GROUP BY query_id, i"),

@@ -313,6 +313,25 @@ def dense_topk(spark, d):
     return retrieve.dense_topk(found, asked, K).select("query_id", "rank", "i", _r("score").alias("score"))
 
 
+#: What stands before a question when it is encoded.
+QUERY_PREFIX = "query: "
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a model that embeds: how often each letter occurs."""
+    return [[float(low.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for low in map(str.lower, texts)]
+
+
+@query
+def encoded_topk(spark, d):
+    """Blocks and questions encoded, the questions with their prefix, and the nearest blocks of each."""
+    held, _ = index(spark, d)
+    stored = saved(retrieve.encoded(held.select("i", F.col("content").alias("text")), _letters), "block-vectors")
+    asked = retrieve.encoded(questions(spark, d).select(F.col("query_id").alias("i"), F.col("q").alias("text")), _letters, QUERY_PREFIX)
+    found = retrieve.dense_topk(stored, asked.withColumnsRenamed({"i": "query_id", "v": "qv"}), K)
+    return found.select("query_id", "rank", "i", _r("score").alias("score"))
+
+
 @query
 def bm25_topk(spark, d):
     _, lexical = index(spark, d)
