@@ -50,6 +50,24 @@ def statistics(blocks: DataFrame, postings: DataFrame, words: DataFrame | None =
     return LexicalIndex(postings, lengths, idf, stats, lexicon=words)
 
 
+def keyed_weights(blocks: DataFrame, key: str) -> DataFrame:
+    """key, term, i, weight over blocks (key, i, content): an index for each key, all made in one go.
+
+    The weights of a key are those that lexical_index and term_weights have over its blocks alone; Han text is cut into
+    overlapping pairs.
+    """
+    found = saved(terms(blocks, [key, "i"], "content", None).groupBy(key, "term", "i").agg(F.count("*").alias("tf")), "keyed-postings")
+    lengths = blocks.select(key, "i").join(found.groupBy(key, "i").agg(F.sum("tf").alias("dl")), [key, "i"], "left").select(key, "i", F.coalesce("dl", F.lit(0)).alias("dl"))
+    lengths = saved(lengths, "keyed-lengths")
+    stats = lengths.groupBy(key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    raw = found.groupBy(key, "term").agg(F.count("*").alias("df")).join(stats, key)
+    raw = saved(raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "keyed-frequencies")
+    floor = raw.groupBy(key).agg((F.avg("raw") * EPSILON).alias("floor"))
+    idf = raw.join(floor, key).select(key, "term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    rows = found.join(idf, [key, "term"]).join(lengths, [key, "i"])
+    return rows.select(key, "term", "i", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("weight"))
+
+
 #: Blocks of a span, by their numbers.
 SPAN_BITS = 10
 #: The tables of a stored index.

@@ -19,7 +19,7 @@ from stratadoc.functions import text as T
 from stratadoc.operators import answers as replies
 from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve, segment, selection
 from stratadoc.operators.grams import near_occurrences
-from stratadoc.operators.index import EPSILON, K1, SPAN_BITS, TABLES, B, LexicalIndex, lexical_index, load_lexical, store_lexical
+from stratadoc.operators.index import EPSILON, K1, SPAN_BITS, TABLES, B, LexicalIndex, keyed_weights, lexical_index, load_lexical, store_lexical
 from stratadoc.plans import sql
 from stratadoc.session import saved, shared_dir, spread, table
 from stratadoc.sources import corpus as sources
@@ -475,18 +475,21 @@ def chunker_screen(spark, d):
     """Chunkers compared by lexical retrieval alone, before any vector is made; those of Markdown with and without
     structure, and with and without the headings put before what is indexed."""
     screened = []
-    for name, cut, inject in SCREENED:
+    for n, (name, cut, inject) in enumerate(SCREENED):
         docs = chunk.told_apart(documents(spark, d))
         parts = chunk.fixed_chunks(docs) if cut is None else chunk.pieces(docs, cut)
         content = T.render(F.col("text"), F.col("path")) if inject else F.col("text")
-        found = sources.with_global_ids(parts).select("i", content.alias("content"))
-        lexical = lexical_index(found)
-        hits = retrieve.bm25_topk(lexical, questions(spark, d), 8).withColumnRenamed("query_id", "case_id")
-        hits = reduce(DataFrame.unionByName, [hits.filter(F.col("rank") <= k).withColumn("k", F.lit(k).cast("long")) for k in (4, 8)])
-        wanted = anchors(spark, d)
-        results = evaluate.coverage(wanted, hits, evaluate.containing_blocks(wanted, found), ["k"])
-        screened.append(results.groupBy("k").agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit")).withColumn("variant", F.lit(name)))
-    return reduce(DataFrame.unionByName, screened)
+        # A block's number tells its variant as well, so that all variants are one table of blocks.
+        i = (F.col("i") + F.lit(n << 40)).alias("i")
+        screened.append(sources.with_global_ids(parts).select(F.lit(name).alias("variant"), i, content.alias("content")))
+    found = saved(reduce(DataFrame.unionByName, screened), "screened-blocks")
+    asked = retrieve.asked_terms(questions(spark, d))
+    scored = asked.join(keyed_weights(found, "variant"), "term").groupBy("variant", "query_id", "i").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+    hits = retrieve.top(scored, 8, ["variant", "query_id"]).filter("score > 0").withColumnRenamed("query_id", "case_id")
+    hits = saved(reduce(DataFrame.unionByName, [hits.filter(F.col("rank") <= k).withColumn("k", F.lit(k).cast("long")) for k in (4, 8)]), "screened-hits")
+    wanted = anchors(spark, d)
+    results = evaluate.coverage(wanted, hits, evaluate.containing_blocks(wanted, found), ["variant", "k"])
+    return results.groupBy("variant", "k").agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit"))
 
 
 # ------------------------------------------------------------------------------- answers
