@@ -21,13 +21,17 @@ def components(edges: DataFrame, stars: bool = False) -> DataFrame:
 
     Where edges are already stars, many to a node, stars says so and a node's other centres are linked to its least first.
 
-    Every step writes its edges to the shared folder, so that lineage stays short; the steps end when the edges are stars
+    Edges that already are stars around the least nodes are returned as they are. Every step writes its edges to the shared folder, so that lineage stays short; the steps end when the edges are stars
     around the least nodes, after a number of steps that grows with the logarithm of the longest path.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     if stars:
         now = saved(_to_smallest(now.select(F.col("a").alias("u"), F.col("b").alias("v")), larger_only=False), "edges")
     size = None
+    again = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    passed = now.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi")
+    if again.unionByName(passed).isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _to_smallest(both, larger_only=True)
