@@ -64,12 +64,12 @@ def new_path(spark: SparkSession, label: str) -> str:
 _SCRATCH: dict[str, list[str]] = {}
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, label: str, **options) -> DataFrame:
+    """Writes df to the shared folder, with the writer's options, and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
