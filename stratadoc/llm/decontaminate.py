@@ -1,24 +1,30 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised items of a benchmark go, a block of bounded size at a time, into one suffix automaton over words that
-is broadcast. Documents stream through it: at each word the automaton knows the longest suffix of the document so far
-that occurs in an item. Where that length reaches a window's length the window's words are hit. Nothing of the
-documents is shuffled unless the benchmark needs more than one block.
+The normalised items of a benchmark are dealt to blocks of bounded size; a task makes the suffix automaton over words
+of each and writes it down, and Spark sends these files to the executors. Documents stream through the automata: at each
+word an automaton knows the longest suffix of the document so far that occurs in an item. Where that length reaches a
+window's length the window's words are hit. However many blocks there are, documents are read once and never shuffled,
+and a task holds one automaton at a time. The driver sees the files' names only.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.llm.automaton import SuffixAutomaton
-from stratadoc.llm.words import ALNUM_RE, TO_LOWER, ascii_lower
+from stratadoc.llm.words import ALNUM_RE, ALNUM_WORD, TO_LOWER, ascii_lower
+from stratadoc.session import saved
+from stratadoc.sources.corpus import running_sum
 
-#: Words of benchmark text that one broadcast automaton holds at most (a larger single item still gets a block).
+#: Words of benchmark text at which a block is full (its last item may go beyond).
 BLOCK_WORDS = 200_000
 WINDOW = 10
 
@@ -77,42 +83,92 @@ class ItemAutomaton(SuffixAutomaton):
         return [(a, b) for a, b in spans], items
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[str]]]]:
-    """Items in blocks of bounded size. Only a block at a time is on the driver."""
-    block: list[tuple[str, list[str]]] = []
-    held = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), ascii_lower(F.col("text")).alias("text"))
-    for row in rows.filter(F.col("item").isNotNull()).toLocalIterator():
-        words = ALNUM_RE.findall(row["text"] or "")
-        if not words:
-            continue
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row["item"], words))
-        held += len(words)
-    if block:
-        yield block
+def _automaton_of(window: int):
+    """A block's items -> its automaton, as bytes."""
+
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        items = [(item, ALNUM_RE.findall(text)) for item, text in zip(block["item"], block["text"])]
+        return pd.DataFrame({"automaton": [pickle.dumps(ItemAutomaton(sorted(items), window))]})
+
+    return build
+
+
+def item_automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[str]:
+    """Makes the automata of a benchmark's items and has Spark send them to every executor, later ones too; the names of
+    their files. Items with null ids or without words have none; equal rows are one."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), ascii_lower(F.col("text")).alias("text")).distinct()
+    n_words = F.regexp_count("text", F.lit(ALNUM_WORD))
+    placed = running_sum(items.filter(F.col("item").isNotNull() & (n_words > 0)).withColumn("all", F.lit(0)), "all", "item", n_words, "before")
+    blocks = placed.withColumn("block", F.floor(F.col("before") / F.lit(block_words))).groupBy("block")
+    stored = saved(blocks.applyInPandas(_automaton_of(window), "automaton binary"), "item-automata", maxRecordsPerFile=1)
+    files = [r["f"] for r in stored.select(F.input_file_name().alias("f")).distinct().collect()]
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return sorted(f.rsplit("/", 1)[-1] for f in files)
+
+
+#: The automaton that a worker holds, by its file's name: one, so that memory is that of a block.
+_HELD: dict[str, ItemAutomaton] = {}
+
+
+def _automata(names: list[str]) -> Iterator[ItemAutomaton]:
+    """One after the other. A single one is read once for as long as the worker lives."""
+    for name in names:
+        if name not in _HELD:
+            _HELD.clear()
+            _HELD[name] = pickle.loads(pq.read_table(SparkFiles.get(name), columns=["automaton"])["automaton"][0].as_py())
+        yield _HELD[name]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of several automata in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _found(texts: list[str | None], names: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """Number of words, hit spans (in order and apart) and items of each text."""
+    n_words, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for nth, automaton in enumerate(_automata(names)):
+        for i, text in enumerate(texts):
+            words = ALNUM_RE.findall((text or "").translate(TO_LOWER))
+            found, of_items = automaton.hits(words)
+            n_words[i] = len(words)
+            spans[i] = _merged(spans[i] + found) if nth and found else spans[i] or found
+            items[i] |= of_items
+    if not names:
+        n_words = [len(ALNUM_RE.findall((text or "").translate(TO_LOWER))) for text in texts]
+    return list(zip(n_words, spans, items))
 
 
 #: Documents whose results leave a Python worker together.
 LOT = 1024
 
 
-def _streamer(shared):
+def _lots(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller lots; whole where each lot would have to read several automata again."""
+    for batch in batches:
+        step = LOT if len(names) < 2 else max(1, batch.num_rows)
+        yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+
+def _streamer(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
-            n_words, spans, items = [], [], []
-            for text in batch.column("text"):
-                words = ALNUM_RE.findall((text.as_py() or "").translate(TO_LOWER))
-                n_words.append(len(words))
-                found, names = automaton.hits(words)
-                spans.append([{"start": a, "end": b} for a, b in found])
-                items.append(sorted(names))
+        for batch in _lots(batches, names):
+            found = _found(batch.column("text").to_pylist(), names)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names), pa.array(n_words, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))],
+                [
+                    *(batch.column(c) for c in batch.schema.names), pa.array([n for n, _, _ in found], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], span_type),
+                    pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string())),
+                ],
                 [*batch.schema.names, "n_words", "spans", "items"],
             )
 
@@ -120,73 +176,41 @@ def _streamer(shared):
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = (), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (of word positions), items (sorted strings) and the columns in carry for each row of docs.
+    """doc_id, n_words, n_hit, spans (of word positions, in order and apart), items (sorted strings) and the columns in carry
+    for each row of docs.
 
     Null or empty text has no words and no hit; items with null ids or without words have no windows; repeated items
-    count once for each id. Repeated rows of docs give a row each (with several blocks, rows equal in doc_id and text
-    give one result, returned for each). Very long texts are streamed like others. Other columns are not looked at.
+    count once for each id. Repeated rows of docs give a row each. Very long texts are streamed like others. An empty
+    benchmark hits nothing. Other columns are not looked at.
     """
-    spark = docs.sparkSession
     base = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
     given = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in base.columns)
     schema = f"{given}, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    parts = []
-    for block in _blocks(benchmark, block_words) if benchmark is not None else []:
-        parts.append(base.mapInArrow(_streamer(spark.sparkContext.broadcast(ItemAutomaton(block, window))), schema))
-    if not parts:
-        parts.append(base.mapInArrow(_streamer(spark.sparkContext.broadcast(ItemAutomaton([], window))), schema))
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        key = F.xxhash64("text")
-        each = [p.select("doc_id", key.alias("text_key"), "n_words", "spans", "items") for p in parts]
-        # Rows of a document are as many as blocks, whatever the corpus.
-        merged = reduce(DataFrame.unionAll, each).groupBy("doc_id", "text_key").agg(
-            F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        out = base.withColumn("text_key", key).alias("d").join(
-            merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key"))
-        ).select(*(f"d.{c}" for c in base.columns), "m.n_words", "m.spans", "m.items")
-    # Spans in order: each word counts once, also where spans of several blocks overlap.
-    hit = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], a["to"]))).alias("n"),
-            F.greatest(a["to"], s["end"]).alias("to"),
-        ),
-        lambda a: a["n"],
-    )
+    out = base.mapInArrow(_streamer(item_automata(benchmark, window, block_words)), schema)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", *carry, "n_words", hit.alias("n_hit"), "spans", "items")
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the words of the spans (of word positions, in order) and what lies between a span's words."""
+    """text without the words of the spans (of word positions, in order and apart) and what lies between a span's words."""
     bounds = [m.span() for m in ALNUM_RE.finditer(text.translate(TO_LOWER))]
     kept, at = [], 0
     for start, end in spans:
-        a, b = bounds[start][0], bounds[end - 1][1]
-        if a >= at:
-            kept.append(text[at:a])
-        at = max(at, b)
+        kept.append(text[at : bounds[start][0]])
+        at = bounds[end - 1][1]
     return "".join([*kept, text[at:]])
 
 
-def _cutter(shared, max_span: int, max_coverage: float):
+def _cutter(names: list[str], max_span: int, max_coverage: float):
     """Documents -> those not covered beyond max_coverage, without their long spans: all in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
-            texts, kept = [], []
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                words = ALNUM_RE.findall((text or "").translate(TO_LOWER))
-                spans = automaton.hits(words)[0]  # in order, and apart
-                if sum(b - a for a, b in spans) <= len(words) * max_coverage:
+        for batch in _lots(batches, names):
+            given, texts, kept = batch.column("text").to_pylist(), [], []
+            for i, (n_words, spans, _) in enumerate(_found(given, names)):
+                if sum(b - a for a, b in spans) <= n_words * max_coverage:
                     long = [s for s in spans if s[1] - s[0] > max_span]
-                    texts.append(_without(text, long) if long else text)
+                    texts.append(_without(given[i], long) if long else given[i])
                     kept.append(i)
             left = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else left.column(c) for c in left.schema.names], left.schema.names)
@@ -194,34 +218,13 @@ def _cutter(shared, max_span: int, max_coverage: float):
     return run
 
 
-def _cut_found():
-    """The same from spans that are already found, of several automata: they may overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, LOT) for b in batches for i in range(0, b.num_rows, LOT)):
-            spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
-            texts = [_without(t, x) if x else t for t, x in zip(batch.column("text").to_pylist(), spans)]
-            names = [c for c in batch.schema.names if c != "spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-
-    return run
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_span: int = 0, max_coverage: float = 0.8, carry: tuple[str, ...] = (), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text without the spans of more than max_span hit words, and the columns in carry.
 
     Documents covered beyond max_coverage go. See benchmark_hits for nulls, ties and repeats.
     """
-    blocks = _blocks(benchmark, block_words)
-    first, more = next(blocks, []), next(blocks, None)
-    if more is None:
-        rows = docs.select("doc_id", "text", *carry)
-        shared = docs.sparkSession.sparkContext.broadcast(ItemAutomaton(first, window))
-        return rows.mapInArrow(_cutter(shared, max_span, max_coverage), rows.schema)
-    hits = benchmark_hits(docs, benchmark, ("text", *carry), window, block_words)
-    kept = hits.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
-    long_spans = kept.select("doc_id", "text", *carry, F.filter("spans", lambda s: s["end"] - s["start"] > max_span).alias("spans"))
-    return long_spans.mapInArrow(_cut_found(), long_spans.drop("spans").schema)
+    rows = docs.select("doc_id", "text", *carry)
+    return rows.mapInArrow(_cutter(item_automata(benchmark, window, block_words), max_span, max_coverage), rows.schema)
 
 
 def hit_rows(hits: DataFrame) -> DataFrame:
