@@ -141,3 +141,8 @@ def render(text: Column, path: Column, inject: bool = True) -> Column:
     """A block as it is indexed: its headings before it."""
     heading = heading_path(path)
     return F.when(F.lit(inject) & (heading != ""), F.concat(F.lit("[章节] "), heading, F.lit("\n"), text)).otherwise(text)
+
+
+def preview(text: Column, chars: int = 56) -> Column:
+    """The first characters of a text on one line, line ends shown, and an ellipsis; null for null."""
+    return F.concat(F.replace(F.substring(text, 1, chars), F.lit("\n"), F.lit("⏎")), F.lit("…"))

@@ -44,11 +44,11 @@ def _cut(cut: Callable[[str], list[markdown.Piece]]):
     return run
 
 
-#: Chunkers by name: text -> pieces.
+#: Chunkers by name: text -> pieces. In a table one piece without a place doesn't fail the job: its offset is null.
 CHUNKERS: dict[str, Callable[[str], list[markdown.Piece]]] = {
-    "md": markdown.chunk_markdown,
-    "md_plain": lambda text: markdown.chunk_markdown(text, structure=False),
-    "flat": markdown.chunk_flat,
+    "md": lambda text: markdown.chunk_markdown(text, strict=False),
+    "md_plain": lambda text: markdown.chunk_markdown(text, structure=False, strict=False),
+    "flat": lambda text: markdown.chunk_flat(text, strict=False),
 }
 
 

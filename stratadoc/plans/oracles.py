@@ -211,6 +211,23 @@ def _rounded(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+#: The sweep of the fusion, down to by_case.
+SWEPT = """, grid AS (
+  SELECT w_dense, w_bm25, rrf_k FROM (VALUES (CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)), (1, 1), (1, 3), (1, 10), (1, 0)) w(w_dense, w_bm25), (VALUES (CAST(1 AS BIGINT)), (5), (20), (60)) c(rrf_k)
+  WHERE (w_dense > 0 AND w_bm25 > 0) OR rrf_k = 1
+), fused4 AS (
+  SELECT w_dense, w_bm25, rrf_k, query_id AS case_id, i, row_number() OVER (PARTITION BY w_dense, w_bm25, rrf_k, query_id ORDER BY round(sum(w / (rrf_k + rank)), 9) DESC, i) AS rank
+  FROM (SELECT *, CASE WHEN arm = 'dense' THEN w_dense ELSE w_bm25 END AS w FROM arms, grid WHERE rank <= 50) WHERE w > 0 GROUP BY w_dense, w_bm25, rrf_k, query_id, i
+), seen AS (SELECT DISTINCT w_dense, w_bm25, rrf_k, case_id, anchor FROM fused4 JOIN holding USING (i) WHERE rank <= 4),
+by_group AS (
+  SELECT w_dense, w_bm25, rrf_k, case_id, mode, group_no, count(s.anchor) AS n_hit, count(*) AS n_all FROM anchors CROSS JOIN grid LEFT JOIN seen s USING (w_dense, w_bm25, rrf_k, case_id, anchor)
+  GROUP BY w_dense, w_bm25, rrf_k, case_id, mode, group_no
+), by_case AS (
+  SELECT w_dense, w_bm25, rrf_k, case_id, sum(n_hit) AS n_hit, CASE WHEN mode = 'any' THEN bool_or(n_hit = n_all) ELSE bool_and(n_hit = n_all) END AS ok FROM by_group GROUP BY w_dense, w_bm25, rrf_k, case_id, mode
+)
+"""
+
+
 METRICS = ("strict", "strict_norm", "strict_fuzzy", "ident", "gram")
 HEADED = f"'# 文件：' || source || {NL} || {NL} || text"
 
@@ -264,6 +281,7 @@ SELECT query_id, rank, i, round(score, 6) AS score FROM (
   SELECT query_id, i, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i) AS rank
   FROM (SELECT query_id, i, round(sum(1 / CAST(5 + rank AS DOUBLE)), 9) AS score FROM arms WHERE rank <= 20 GROUP BY query_id, i)) WHERE rank <= 4"""),
     "hits_lookup": _with(["lexical_hits"], "SELECT query_id, rank, i, source, sha256(content) AS sha256 FROM lexical_hits"),
+    "hits_preview": _with(["lexical_hits"], f"SELECT query_id, rank, i, CAST(length(content) AS BIGINT) AS chars, replace(substr(content, 1, 56), {NL}, '⏎') || '…' AS preview FROM lexical_hits"),
     "distractors": _with(["lexical_hits"], "SELECT query_id, count(*) FILTER (contains(source, '1')) AS n_distractors, count(*) AS n_hits FROM lexical_hits GROUP BY query_id"),
     "format_context": _with(["contexts"], "SELECT * FROM contexts"),
     "prompt_messages": _with(["contexts"], f"""SELECT query_id, CAST(0 AS BIGINT) AS n, 'system' AS role, sha256('根据资料回答问题，资料里没有的内容请说「资料里没有提到」。' || {NL} || {NL} || '资料：' || {NL} || context) AS sha256 FROM contexts
@@ -279,20 +297,11 @@ UNION ALL SELECT query_id, 1, 'user', sha256(text) FROM contexts JOIN benchmark
 FROM (SELECT a.*, (SELECT count(*) FROM holding h WHERE h.anchor = a.anchor) AS n FROM anchors a)"""),
     "arm_overlap": _with(["hits"], """SELECT query_id, count(*) FILTER (d AND b) AS dense_bm25, count(*) FILTER (d AND h) AS dense_hybrid, count(*) FILTER (b AND h) AS bm25_hybrid FROM (
   SELECT case_id AS query_id, i, bool_or(arm = 'dense') AS d, bool_or(arm = 'bm25') AS b, bool_or(arm = 'hybrid') AS h FROM hits WHERE k = 4 GROUP BY case_id, i) GROUP BY query_id"""),
-    "fuse_sweep": _with(["arms", "anchors", "holding"], """, grid AS (
-  SELECT w_dense, w_bm25, rrf_k FROM (VALUES (CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)), (1, 1), (1, 3), (1, 10), (1, 0)) w(w_dense, w_bm25), (VALUES (CAST(1 AS BIGINT)), (5), (20), (60)) c(rrf_k)
-  WHERE (w_dense > 0 AND w_bm25 > 0) OR rrf_k = 1
-), fused4 AS (
-  SELECT w_dense, w_bm25, rrf_k, query_id AS case_id, i, row_number() OVER (PARTITION BY w_dense, w_bm25, rrf_k, query_id ORDER BY round(sum(w / (rrf_k + rank)), 9) DESC, i) AS rank
-  FROM (SELECT *, CASE WHEN arm = 'dense' THEN w_dense ELSE w_bm25 END AS w FROM arms, grid WHERE rank <= 50) WHERE w > 0 GROUP BY w_dense, w_bm25, rrf_k, query_id, i
-), seen AS (SELECT DISTINCT w_dense, w_bm25, rrf_k, case_id, anchor FROM fused4 JOIN holding USING (i) WHERE rank <= 4),
-by_group AS (
-  SELECT w_dense, w_bm25, rrf_k, case_id, mode, group_no, count(s.anchor) AS n_hit, count(*) AS n_all FROM anchors CROSS JOIN grid LEFT JOIN seen s USING (w_dense, w_bm25, rrf_k, case_id, anchor)
-  GROUP BY w_dense, w_bm25, rrf_k, case_id, mode, group_no
-), by_case AS (
-  SELECT w_dense, w_bm25, rrf_k, case_id, sum(n_hit) AS n_hit, CASE WHEN mode = 'any' THEN bool_or(n_hit = n_all) ELSE bool_and(n_hit = n_all) END AS ok FROM by_group GROUP BY w_dense, w_bm25, rrf_k, case_id, mode
-)
-SELECT w_dense, w_bm25, rrf_k, count(*) FILTER (ok) AS n_ok, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM by_case GROUP BY w_dense, w_bm25, rrf_k"""),
+    "fuse_sweep": _with(["arms", "anchors", "holding"], SWEPT + "SELECT w_dense, w_bm25, rrf_k, count(*) FILTER (ok) AS n_ok, CAST(sum(n_hit) AS BIGINT) AS n_hit FROM by_case GROUP BY w_dense, w_bm25, rrf_k"),
+    "fuse_sweep_by_bank": _with(["arms", "anchors", "holding", "cases"], SWEPT + """, per AS (
+  SELECT w_dense, w_bm25, rrf_k, CASE WHEN grouping(bank) = 1 THEN 'total' ELSE bank END AS bank, count(*) FILTER (ok) AS n_ok, count(*) AS n
+  FROM by_case JOIN cases USING (case_id) GROUP BY GROUPING SETS ((w_dense, w_bm25, rrf_k, bank), (w_dense, w_bm25, rrf_k))
+) SELECT *, max(n_ok) OVER (PARTITION BY bank) - n_ok AS behind FROM per"""),
     "judge_group": _with(["groups"], f"SELECT answer_id, case_id, group_no, {_rounded(*METRICS)} FROM groups"),
     "judge_case": _with(["judged"], f"SELECT answer_id, case_id, {_rounded(*METRICS)} FROM judged"),
     "corpus_ngrams": _with(["corpus_grams"], "SELECT gram FROM corpus_grams"),

@@ -366,6 +366,12 @@ def hits_lookup(spark, d):
     return _lexical_hits(spark, d).select("query_id", "rank", "i", "source", F.sha2("content", 256).alias("sha256"))
 
 
+@query
+def hits_preview(spark, d):
+    """What was found, as a listing shows it: length, and the beginning on one line."""
+    return _lexical_hits(spark, d).select("query_id", "rank", "i", F.length("content").cast("long").alias("chars"), T.preview(F.col("content")).alias("preview"))
+
+
 @query
 def distractors(spark, d):
     """Of each question's blocks, those from sources with a 1 in their name."""
@@ -454,20 +460,36 @@ def case_spans(spark, d):
     return evaluate.case_spans(wanted, evaluate.min_covers(wanted, holding)).select("case_id", "need", _long(F.size("span")).alias("n_span"))
 
 
-@query
-def fuse_sweep(spark, d):
-    """Every weighting and constant of the fusion at one depth; an arm alone is fused once."""
+GRID = ["w_dense", "w_bm25", "rrf_k"]
+
+
+def _swept(spark, d):
+    """For each case and each weighting and constant of the fusion at one depth: ok, n_hit. An arm alone is fused once."""
     found, _, dense, bm25 = rankings(spark, d, SWEEP_DEPTH)
     grid = [(a, b, k) for a, b in WEIGHTS for k in (SWEEP_RRF if a and b else SWEEP_RRF[:1])]
     rows = spark.createDataFrame(grid, "w_dense double, w_bm25 double, rrf_k int")
     both = dense.withColumn("arm", F.lit("dense")).select("query_id", "arm", "rank", "i").unionByName(bm25.withColumn("arm", F.lit("bm25")).select("query_id", "arm", "rank", "i"))
     weight = F.when(F.col("arm") == "dense", F.col("w_dense")).otherwise(F.col("w_bm25"))
-    keep = ["w_dense", "w_bm25", "rrf_k"]
-    scores = both.crossJoin(F.broadcast(rows)).withColumn("w", weight).filter("w > 0").groupBy(*keep, "query_id", "i").agg(F.sum(F.col("w") / (F.col("rrf_k") + F.col("rank"))).alias("score"))
-    hits = retrieve.top(scores, K, [*keep, "query_id"]).withColumnRenamed("query_id", "case_id")
+    scores = both.crossJoin(F.broadcast(rows)).withColumn("w", weight).filter("w > 0").groupBy(*GRID, "query_id", "i").agg(F.sum(F.col("w") / (F.col("rrf_k") + F.col("rank"))).alias("score"))
+    hits = retrieve.top(scores, K, [*GRID, "query_id"]).withColumnRenamed("query_id", "case_id")
     wanted = anchors(spark, d)
     holding = evaluate.containing_blocks(wanted, found)
-    return evaluate.coverage(wanted, hits, holding, keep).groupBy(*keep).agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit")).withColumn("rrf_k", _long("rrf_k"))
+    return evaluate.coverage(wanted, hits, holding, GRID).withColumn("rrf_k", _long("rrf_k"))
+
+
+@query
+def fuse_sweep(spark, d):
+    """Every weighting and constant of the fusion, over all cases."""
+    return _swept(spark, d).groupBy(*GRID).agg(F.count_if("ok").alias("n_ok"), F.sum("n_hit").alias("n_hit"))
+
+
+@query
+def fuse_sweep_by_bank(spark, d):
+    """The sweep for each bank of cases and for all, and how a setting stands to the best one of its bank."""
+    each = _swept(spark, d).join(cases(spark, d).select("case_id", "bank"), "case_id").select(*GRID, "ok", F.explode(F.array("bank", F.lit("total"))).alias("bank"))
+    counts = each.groupBy(*GRID, "bank").agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n"))
+    best = counts.groupBy("bank").agg(F.max("n_ok").alias("most"))
+    return counts.join(F.broadcast(best), "bank").select(*GRID, "bank", "n_ok", "n", (F.col("most") - F.col("n_ok")).alias("behind"))
 
 
 @query

@@ -94,6 +94,21 @@ def load_index(spark: SparkSession, path: str, chunker: str) -> tuple[DataFrame,
     return spark.read.parquet(f"{path}/blocks").filter(F.col("chunker") == chunker), spark.read.parquet(f"{path}/manifest")
 
 
+def describe(stored: DataFrame) -> DataFrame:
+    """line_no, line: what a manifest that save_index wrote says of its index, a line for the settings of each making and one
+    for each source after it. An index without texts says so; a null source is written as "-"."""
+    settings = ["chunker", "chunk_size", "overlap", "created_at"]
+    made = stored.groupBy(*settings).agg(F.sum("block_count").alias("n"), F.sum("chars").alias("chars"), F.count("*").alias("texts"))
+    head = F.format_string("chunker=%s size=%d overlap=%d, %d blocks of %d texts (%d characters), made %s", "chunker", "chunk_size", "overlap", "n", "texts", F.coalesce("chars", F.lit(0)), F.col("created_at").cast("string"))
+    of_source = stored.groupBy(*settings, "source").agg(F.sum("block_count").alias("n"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"))
+    line = F.format_string("  %s: %d characters, %d blocks", F.coalesce("source", F.lit("-")), "chars", "n")
+    lines = made.select("created_at", F.lit(0).alias("part"), F.lit(None).cast("string").alias("source"), head.alias("line"))
+    lines = lines.unionByName(of_source.select("created_at", F.lit(1).alias("part"), "source", line.alias("line")))
+    if lines.isEmpty():
+        return lines.sparkSession.createDataFrame([(0, "no texts: nothing tells what this index was made of")], "line_no long, line string")
+    return ranked(lines, ["created_at", "part", "source"], "line_no").select("line_no", "line")
+
+
 def source_check(blocks: DataFrame, part: str, least: int = 2) -> DataFrame:
     """One row: n_sources of the blocks, n_named with part in their name, and complete: least sources, one of them so named."""
     names = blocks.select("source").distinct()

@@ -378,3 +378,33 @@ def test_index_and_questions_share_their_words(spark, tmp_path):
     plain = rows(retrieve.bm25_topk(index, queries, 9), "i", "rank")
     store_lexical(index, f"file://{tmp_path}/lex")
     assert rows(retrieve.bm25_topk(load_lexical(spark, f"file://{tmp_path}/lex"), queries, 9), "i", "rank") == plain
+
+
+def test_piece_without_a_place_is_an_error_or_has_no_offset():
+    made = lambda: [markdown.Piece(t, {}, t) for t in ("ab", "no such", "cd", "ab")]
+    with pytest.raises(ValueError):
+        markdown.locate("ab cd ab", made())
+    assert [p.offset for p in markdown.locate("ab cd ab", made(), strict=False)] == [0, None, 3, 6]
+
+
+def test_document_with_a_piece_without_a_place_does_not_fail_the_table(spark, monkeypatch):
+    cut = lambda text: markdown.locate(text, [markdown.Piece(t, {}, t) for t in ("ab", "cd")], strict=False)
+    monkeypatch.setitem(chunk.CHUNKERS, "flat", cut)
+    docs = spark.createDataFrame([(1, "a", "ab cd"), (2, "a", "cd"), (3, None, None)], DOCS)
+    assert rows(chunk.pieces(docs, "flat"), "doc_id", "ord", "offset") == [(1, 0, 0), (1, 1, 3), (2, 0, None), (2, 1, 0), (3, 0, None), (3, 1, None)]
+
+
+def test_preview_is_one_line_and_ends_in_an_ellipsis(spark):
+    df = spark.createDataFrame([("a\nb\n",), ("x" * 60,), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.preview(F.col("t"))).collect()] == ["a⏎b⏎…", "x" * 56 + "…", "…", None]
+
+
+def test_index_describes_itself(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "a", "x" * 1001), (1, None, "y"), (2, "b", None), (3, "a", "")], "corpus_ord int, source string, text string")
+    blocks = chunk.fixed_chunks(docs.withColumnRenamed("corpus_ord", "doc_id")).withColumnRenamed("doc_id", "corpus_ord")
+    corpus.save_index(blocks, docs, str(tmp_path), "fixed")
+    stored = corpus.load_index(spark, str(tmp_path), "fixed")[1]
+    lines = [r["line"] for r in corpus.describe(stored).orderBy("line_no").collect()]
+    assert lines[0].startswith("chunker=fixed size=500 overlap=0, 4 blocks of 4 texts (1002 characters), made 2")
+    assert lines[1:] == ["  -: 1 characters, 1 blocks", "  a: 1001 characters, 3 blocks", "  b: 0 characters, 0 blocks"]
+    assert [tuple(r) for r in corpus.describe(stored.limit(0)).collect()] == [(0, "no texts: nothing tells what this index was made of")]
