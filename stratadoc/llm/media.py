@@ -160,15 +160,19 @@ def _headers(root: str):
                     shard, source = name, files.open_input_file(f"{top}/{name}")
                 found.append(read_header(source.read_at(HEADER_BYTES, offset)))
             columns = [pa.array(x, pa.int32()) for x in zip(*found)] or [pa.array([], pa.int32())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), *columns], ["digest", "width", "height", "bit_depth", "colour_type"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in HEADED_NAMES[:4]), *columns], HEADED_NAMES)
 
     return run
 
 
+HEADED_NAMES = ["digest", "shard", "offset", "length", "width", "height", "bit_depth", "colour_type"]
+HEADED_SCHEMA = "digest string, shard string, offset long, length long, width int, height int, bit_depth int, colour_type int"
+
+
 def header_columns(places: DataFrame, root: str) -> DataFrame:
-    """digest, width, height, bit_depth, colour_type of the stored payloads, from range reads of their headers."""
-    dealt = places.select("digest", "shard", "offset").repartition("shard").sortWithinPartitions("shard", "offset")
-    return dealt.mapInArrow(_headers(root), "digest string, width int, height int, bit_depth int, colour_type int")
+    """places with width, height, bit_depth, colour_type of the stored payloads, from range reads of their headers alone."""
+    dealt = places.select(*HEADED_NAMES[:4]).repartition("shard").sortWithinPartitions("shard", "offset")
+    return dealt.mapInArrow(_headers(root), HEADED_SCHEMA)
 
 
 def _spans(shards: list[str], offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:
@@ -194,21 +198,22 @@ def _features(root: str):
                 for i in range(a, b):
                     stored = held[offsets[i] - offsets[a] : offsets[i] - offsets[a] + lengths[i]]
                     payload = decode_png(stored)
-                    found.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(stored).hexdigest(), block_hash(payload), *read_header(source.read_at(HEADER_BYTES, offsets[i]))))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                    found.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(stored).hexdigest(), block_hash(payload)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array(x, t) for x, t in zip(zip(*found), kinds)] or [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in FEATURE_NAMES[:4]), *columns], FEATURE_NAMES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in HEADED_NAMES), *columns], FEATURE_NAMES)
 
     return run
 
 
-FEATURE_NAMES = ["digest", "shard", "offset", "length", "payload_sha256", "tail_crc32", "media_sha256", "feature", "width", "height", "bit_depth", "colour_type"]
-FEATURE_SCHEMA = "digest string, shard string, offset long, length long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string, width int, height int, bit_depth int, colour_type int"
+FEATURE_NAMES = [*HEADED_NAMES, "payload_sha256", "tail_crc32", "media_sha256", "feature"]
+FEATURE_SCHEMA = HEADED_SCHEMA + ", payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
 
 
 def media_features(places: DataFrame, root: str) -> DataFrame:
-    """A row for each stored payload: its place, and what its stored bytes, read back and decoded, give."""
-    return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(_features(root), FEATURE_SCHEMA)
+    """A row for each stored payload: its place, its header columns (see header_columns: no payload is read for them), and
+    then what its stored bytes, read back and decoded, give."""
+    return header_columns(places, root).mapInArrow(_features(root), FEATURE_SCHEMA)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:

@@ -83,6 +83,24 @@ def test_media_equal_texts_have_one_place(docs):
     assert by_payload.filter("n <> 1").count() == 0
 
 
+def test_media_feature_and_stored_form_by_hand(docs, rows, spark, tmp_path):
+    """feature is 64 bits of which part of the payload is lighter than the whole; what is stored is what the digests say."""
+    found = media.media_columns(docs, f"file://{tmp_path}").collect()
+    by_digest = {}
+    for _, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(1, math.ceil(len(raw) / 576)) * 576 - len(raw))
+        n = len(payload) // 64
+        sums = [sum(payload[k * n : (k + 1) * n]) for k in range(64)]
+        by_digest[hashlib.sha256(payload).hexdigest()] = payload, "".join("1" if s * 64 > sum(payload) else "0" for s in sums)
+    assert len(found) == len(rows)
+    for r in found:
+        payload, bits = by_digest[r["payload_sha256"]]
+        assert f"{int(r['feature'], 16):064b}" == bits
+        stored = (tmp_path / r["shard"]).read_bytes()[r["offset"] : r["offset"] + r["media_bytes"]]
+        assert hashlib.sha256(stored).hexdigest() == r["media_sha256"] and media.decode_png(stored) == payload
+
+
 def test_media_shards_are_tar_files(docs, spark, tmp_path):
     import tarfile
 
@@ -484,8 +502,8 @@ def test_expected_counts_of_whole_texts(monkeypatch):
     assert np.allclose(found, np.concatenate((starts, pairs.ravel(), emits.ravel())), rtol=1e-3, atol=1e-3)
 
 
-def test_language_model_score_by_a_plain_forward_pass(docs, rows):
-    """score of every row, from its own classes and word shares, with a model of known states."""
+def test_class_likelihood_by_a_plain_forward_pass():
+    """The recursion over classes, packed and in lots, against one text at a time."""
     r = np.random.default_rng(1)
     model = hmm_lm.Model(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), r.dirichlet(np.ones(20), 3))
 
@@ -505,6 +523,45 @@ def test_language_model_score_by_a_plain_forward_pass(docs, rows):
         assert score == pytest.approx(total + math.log10(alpha.sum()), rel=1e-5)
 
 
+def test_language_model_scores_of_texts_by_hand(docs, rows, monkeypatch):
+    """score of every row from its text: classes, shares of classes and the recursion written out; the model is the one trained."""
+    trained = []
+    fit = hmm_lm.train
+    monkeypatch.setattr(hmm_lm, "train", lambda *a, **k: trained.append(fit(*a, **k)) or trained[0])
+    monkeypatch.setattr(hmm_lm, "OWN_CLASSES", 50)  # so that shared classes carry most words
+    found = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in hmm_lm.language_model_scores(docs).collect()), key=order)
+    (model,) = trained
+    split = lambda t: (t or "").translate(LOWER).encode().split()
+    learned = [split(t) for i, t, *_ in rows if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
+    counts = Counter(w for words in learned for w in words)
+    own = {w: n for n, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:50], 1)}
+    shared = lambda w: zlib.crc32(w[-3:]) % 512
+    in_class = defaultdict(list)
+    for w in counts:
+        if w not in own:
+            in_class[shared(w)].append(w)
+    expected = []
+    for i, t, *_ in rows:
+        codes, total = [], 0.0
+        for w in split(t):
+            if w in own:
+                codes.append(own[w])
+                continue
+            members = in_class[shared(w)]
+            codes.append(51 + shared(w))
+            total += math.log10((counts[w] + 0.5) / (sum(counts[m] for m in members) + 0.5 * (len(members) + 1)))
+        state = model.start
+        for n, code in enumerate([*codes, 0]):
+            state = (state @ model.trans if n else state) * model.emit[:, code]
+            total += math.log10(state.sum())
+            state = state / state.sum()
+        expected.append((i, len(codes) + 1, total))
+    by_hand = sorted(expected, key=order)
+    assert [x[:2] for x in found] == [x[:2] for x in by_hand]
+    for (_, _, a), (_, _, b) in zip(found, by_hand):
+        assert a == pytest.approx(b, rel=1e-4)
+
+
 def test_class_shares_make_a_probability(docs):
     """Over all known words and one unknown word of each class, a class's words have probability one."""
     rows = docs.select("doc_id", F.lit(True).alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
@@ -699,8 +756,18 @@ def test_token_counts_and_cache(docs, rows, spark, tmp_path, name):
 
     path, cache = public_tokenizers.path(name), str(tmp_path / "cache")
     found = result(token_counts.token_counts(docs, path, cache), "doc_id", "n_bytes", "n_tokens", "over_limit")
-    count = token_counts._counter(path)
-    expected = [(i, len((t or "").encode()), count([t or ""])[0]) for i, t, *_ in rows]
+    # The library itself, text by text.
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    else:
+        from sentencepiece import SentencePieceProcessor
+
+        library = SentencePieceProcessor(model_file=path)
+        count = lambda t: len(library.EncodeAsIds(t))
+    expected = [(i, len((t or "").encode()), count(t or "")) for i, t, *_ in rows]
     assert found == sorted(((*x, x[2] > 1024) for x in expected), key=order)
     stored = spark.read.parquet(cache)
     assert stored.count() == stored.select("digest").distinct().count() == len({t or "" for _, t, *_ in rows})
