@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from stratadoc import session
 from stratadoc.llm import alignment, hard_negatives, jaccard_join, signature_tree
 from stratadoc.llm.simhash import shingle_hashes
 from tests.llm.test_operators import order, result
@@ -191,6 +193,34 @@ def test_prefixes_meet():
         assert jaccard_join.prefix_length(size, 85) == size - least + 1
 
 
+@pytest.mark.parametrize("token_bytes", [1, 2])
+def test_jaccard_join_with_tokens_that_shingles_share(spark, token_bytes):
+    """256 tokens for thousands of shingles: more sets meet, the links are the same."""
+    texts = families(random.Random(3), [1, 1, 2, 3, 9, 30])
+    rows = [*enumerate(texts), (900, texts[5]), (901, "one"), (902, "ONE"), (903, None)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), token_bytes=token_bytes)
+    assert result(found, "doc_id", "n_shingles", "component_id") == jaccard_by_hand(rows, 85)
+
+
+def test_tokens_are_packed_in_order():
+    hashes = np.array([0, 1 << 24, (1 << 40) + 5, 1 << 63, (1 << 64) - 1], np.uint64)
+    assert jaccard_join.unpacked(jaccard_join.packed(hashes, 5), 5).tolist() == [h >> 24 for h in hashes.tolist()]
+    assert jaccard_join.unpacked(jaccard_join.packed(hashes, 1), 1).tolist() == [0, 0, 0, 128, 255]
+    assert len(jaccard_join.packed(hashes, 5)) == 25
+
+
+def test_jaccard_join_writes_few_bytes(spark, tmp_path):
+    """The lists of shingles are written once, in five bytes each: 600 texts have about 57,000 in their lists."""
+    r = random.Random(6)
+    rows = [(k, " ".join(f"w{r.random()}" for _ in range(480))) for k in range(600)]
+    before, spark_dir = set(session._SCRATCH.get(spark.sparkContext.applicationId, [])), lambda p: p.removeprefix("file:").replace("//", "/")
+    assert jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).count() == len(rows)
+    made = [Path(spark_dir(p)) for p in session._SCRATCH[spark.sparkContext.applicationId] if p not in before]
+    listed = sum(len(np.unique(h)) for h in (x[x < np.uint64(int(0.2 * 2**64))] for x in (shingle_hashes(t.encode(), 4) for _, t in rows)))
+    written = sum(f.stat().st_size for p in made for f in p.rglob("*.parquet"))
+    assert 50_000 < listed < 65_000 and 5 * listed < written < 9 * listed
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert jaccard_join.jaccard_components(empty.unionByName(empty.sparkSession.createDataFrame([(1, None, None, None, None)], empty.schema))).count() == 1
