@@ -3,7 +3,9 @@
 A segment holds the blocks and postings of the documents that one update brought, each document under a number of its
 own. The table of live documents says which of them count; a document that changed or went is no longer in it, and its
 postings stay behind until segments are merged. Block ids are given on reading, in order of the live documents, so an
-index that was kept up to date equals one that is built anew. Each update is published as a whole (sources.store).
+index that was kept up to date equals one that is built anew. Documents that share an id stand in order of source and text
+(of texts that begin alike, by digest), not of the segments that they came with. Each update is published as a whole
+(sources.store).
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from stratadoc.session import saved
 from stratadoc.sources import store
 from stratadoc.sources.corpus import running_sum
 
-LIVE = "doc_id long, source string, digest string, segment string, row long, n_blocks long"
+LIVE = "doc_id long, source string, digest string, segment string, row long, n_blocks long, head string"
 #: Segments above which an update merges them into one.
 SEGMENTS = 8
 BLOCK = 500
+#: Characters of a text that the live documents hold; an index from before they did has none.
+HEAD = 64
 
 
 def digest_of(docs: DataFrame) -> Column:
@@ -50,7 +54,7 @@ def _write_segment(docs: DataFrame, folder: str) -> DataFrame:
     fixed_chunks(own, BLOCK).select("row", "ord", "text").write.parquet(f"{path}/blocks")
     _write_postings(docs.sparkSession, path)
     n = F.when(F.col("text") == "", 0).otherwise(F.coalesce(F.ceil(F.length("text") / BLOCK), F.lit(0))).cast("long")
-    return own.select("doc_id", "source", "digest", F.lit(name).alias("segment"), "row", n.alias("n_blocks"))
+    return own.select("doc_id", "source", "digest", F.lit(name).alias("segment"), "row", n.alias("n_blocks"), F.substring("text", 1, HEAD).alias("head"))
 
 
 def _write_postings(spark: SparkSession, path: str) -> None:
@@ -135,7 +139,7 @@ def _compacted(spark: SparkSession, folder: str, now: DataFrame) -> DataFrame:
 def load(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex]:
     """blocks (i, doc_id, source, content) and the lexical index of the live documents."""
     now, names = live(spark, folder)
-    based = running_sum(now.withColumn("_all", F.lit(0)).withColumn("_order", F.struct("doc_id", "segment", "row")), "_all", "_order", F.col("n_blocks"), "base")
+    based = running_sum(now.withColumn("_all", F.lit(0)).withColumn("_order", F.struct("doc_id", "source", "head", "digest", "segment", "row")), "_all", "_order", F.col("n_blocks"), "base")
     based = saved(based.select("segment", "row", "doc_id", "source", "base"), "bases")
     own = ["segment", "row"]
     i = (F.col("base") + F.col("ord")).cast("long").alias("i")

@@ -244,6 +244,22 @@ def test_segments_keep_repeated_and_null_ids_apart(spark, tmp_path):
     assert segments.apply_changes(spark, folder, changes) == {"added": 0, "removed": 0}
 
 
+def test_documents_of_one_id_stand_in_order_of_their_texts(spark, tmp_path):
+    """Whatever order and however many updates they came with."""
+    r, alike = random.Random(2), "x" * 80
+    docs = [(k % 2 or None, r.choice("st"), f"{r.random()} of {k}") for k in range(24)] + [(1, "s", alike + c) for c in "ab"] + [(1, "s", None), (1, "s", ""), (1, "s", alike + "a")]
+    r.shuffle(docs)
+    states = []
+    for name, steps in (("one", [docs]), ("two", [docs[:11], docs[::-1]])):
+        for step in steps:
+            segments.update(spark, f"file://{tmp_path}/{name}", spark.createDataFrame(step, DOCS))
+        states.append(index_state(*segments.load(spark, f"file://{tmp_path}/{name}")))
+    assert states[0] == states[1]
+    blocks = segments.load(spark, f"file://{tmp_path}/one")[0].orderBy("i").collect()
+    key = lambda d: (d[0] is not None, d[0] or 0, d[1], d[2][:64])
+    assert [key((b["doc_id"], b["source"], b["content"])) for b in blocks] == sorted(key(d) for d in docs if d[2])
+
+
 def test_grams_cross_from_text_to_text(spark):
     """Short and empty texts carry over, whatever ranges the texts are dealt to."""
     r = random.Random(4)
