@@ -49,7 +49,9 @@ def _long(c: str | Column) -> Column:
 
 
 def _r(c: str | Column, digits: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    """Rounded as SQL has it: what is negative stays so, if it comes to zero as well."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.signum(c) * F.abs(F.round(c, digits))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -303,7 +305,7 @@ def chunk_length_stats(spark, d):
 
 @query
 def l2_normalize(spark, d):
-    return vectors(spark, d).select(F.col("i").alias("vec_id"), F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return vectors(spark, d).select(F.col("i").alias("vec_id"), F.transform("v", lambda x: _r(x)).alias("v"))
 
 
 @query
