@@ -19,9 +19,9 @@ from stratadoc.functions import text as T
 from stratadoc.operators import answers as replies
 from stratadoc.operators import chunk, evaluate, inspect, judge, retrieve, segment, selection
 from stratadoc.operators.grams import near_occurrences
-from stratadoc.operators.index import EPSILON, K1, SPAN_BITS, TABLES, B, LexicalIndex, keyed_weights, lexical_index, load_lexical, store_lexical
+from stratadoc.operators.index import EPSILON, K1, SPAN_BITS, TABLES, B, LexicalIndex, build_lexical, keyed_weights, lexical_index, load_lexical
 from stratadoc.plans import sql
-from stratadoc.session import saved, shared_dir, spread, table
+from stratadoc.session import passing, saved, shared_dir, spread, table
 from stratadoc.sources import corpus as sources
 from stratadoc.sources import store
 
@@ -98,9 +98,9 @@ def index(spark: SparkSession, d: str) -> tuple[DataFrame, LexicalIndex]:
     if version is None:
         version = store.new_version(folder)
         own = documents(spark, d).withColumnRenamed("doc_id", "corpus_ord")
-        found = blocks(spark, d)
-        sources.save_index(found.withColumnRenamed("doc_id", "corpus_ord"), own, version, "fixed")
-        store_lexical(lexical_index(found), version)
+        with passing(spark):
+            sources.save_index(blocks(spark, d).withColumnRenamed("doc_id", "corpus_ord"), own, version, "fixed")
+        build_lexical(sources.load_index(spark, version, "fixed")[0].select("i", "content"), version)
         store.publish(spark, folder, version, settings)
     stored, _ = sources.load_index(spark, version, "fixed")
     return stored.withColumnRenamed("corpus_ord", "doc_id").drop("chunker"), load_lexical(spark, version)

@@ -87,7 +87,9 @@ def save_index(blocks: DataFrame, corpus: DataFrame, path: str, chunker: str, ch
     with the settings they were made by and when."""
     blocks.withColumn("chunker", F.lit(chunker)).write.mode("overwrite").partitionBy("chunker").parquet(f"{path}/blocks")
     made = {"chunker": F.lit(chunker), "chunk_size": F.lit(chunk_size), "overlap": F.lit(overlap), "created_at": F.current_timestamp()}
-    manifest(corpus, blocks).withColumns(made).write.mode("overwrite").parquet(f"{path}/manifest")
+    # Counted from what was written, so that the blocks aren't made again.
+    stored = corpus.sparkSession.read.parquet(f"{path}/blocks").filter(F.col("chunker") == chunker)
+    manifest(corpus, stored).withColumns(made).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def load_index(spark: SparkSession, path: str, chunker: str) -> tuple[DataFrame, DataFrame]:
