@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratadoc.session import saved
+
 #: Where replies carry their token counts; the cache's hits are looked for in both places, the later one first.
 INPUT, OUTPUT = "$.usage_metadata.input_tokens", "$.usage_metadata.output_tokens"
 HITS = ("$.response_metadata.prompt_cache_hit_tokens", "$.usage_metadata.input_token_details.cache_read")
@@ -35,7 +37,7 @@ def remembered(prompts: DataFrame, model: Callable[[list[str]], list[str]], keep
     """keep's columns, digest and answer, as answered() has them, but no prompt is asked twice: replies stay in folder
     under the digest of their prompt, in this run and for later ones. A run that broke off goes on where it ended."""
     spark = prompts.sparkSession
-    rows = prompts.select(*keep, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt")).withColumn("digest", F.sha2("prompt", 256))
+    rows = saved(prompts.select(*keep, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt")).withColumn("digest", F.sha2("prompt", 256)), "prompts")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(folder)
     known = spark.read.schema(CACHE).parquet(folder).select("digest").distinct()
     new = rows.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("prompt").alias("prompt"))

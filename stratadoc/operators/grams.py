@@ -31,7 +31,7 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
     """rows without most of those whose key isn't in wanted, by a broadcast filter of fixed size."""
     h = F.xxhash64(*key)
     word, bit = F.pmod(h, F.lit(FILTER_WORDS)).alias("_word"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int").alias("_bit")
-    held = wanted.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    held = wanted.select(*(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in key)).select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
     return rows.select("*", word, bit).join(F.broadcast(held), "_word").filter("shiftright(_bits, _bit) & 1L = 1L").drop("_word", "_bit", "_bits")
 
 

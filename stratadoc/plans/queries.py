@@ -111,7 +111,9 @@ def rankings(spark: SparkSession, d: str, most: int) -> tuple[DataFrame, Lexical
     found, lexical = index(spark, d)
     asked = questions(spark, d)
     own = asked.join(vectors(spark, d).withColumnsRenamed({"i": "query_id", "v": "qv"}), "query_id").select("query_id", "qv")
-    return found, lexical, retrieve.dense_topk(vectors(spark, d), own, most), retrieve.bm25_topk(lexical, asked, most)
+    # Each is read several times by what compares them.
+    dense = saved(retrieve.dense_topk(vectors(spark, d), own, most), "dense-ranking")
+    return found, lexical, dense, saved(retrieve.bm25_topk(lexical, asked, most), "lexical-ranking")
 
 
 def hits_at(dense: DataFrame, bm25: DataFrame, k: int) -> DataFrame:
@@ -125,7 +127,6 @@ def hits_at(dense: DataFrame, bm25: DataFrame, k: int) -> DataFrame:
 def evaluated(spark: SparkSession, d: str, ks: tuple[int, ...] = (K,)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Results by k, arm and case, with the blocks, the anchors, and which blocks hold them."""
     found, _, dense, bm25 = rankings(spark, d, max(map(retrieve.depth, ks)))
-    dense, bm25 = saved(dense, "dense-ranking"), saved(bm25, "lexical-ranking")
     hits = reduce(DataFrame.unionByName, [hits_at(dense, bm25, k).withColumn("k", F.lit(k).cast("long")) for k in ks])
     wanted = anchors(spark, d)
     holding = evaluate.containing_blocks(wanted, found)
@@ -360,7 +361,8 @@ def hybrid_topk(spark, d):
 
 def _lexical_hits(spark, d):
     found, lexical = index(spark, d)
-    return retrieve.lookup(retrieve.bm25_topk(lexical, questions(spark, d), K).select("query_id", "rank", "i"), found)
+    hits = saved(retrieve.bm25_topk(lexical, questions(spark, d), K).select("query_id", "rank", "i"), "lexical-hits")
+    return saved(retrieve.lookup(hits, found), "hit-blocks")
 
 
 @query
@@ -666,7 +668,7 @@ LONG_BUDGET = 20_000
 def _arm_prompts(spark: SparkSession, d: str) -> DataFrame:
     """query_id, arm, prompt (roles and contents): each question with each arm's material."""
     found, _, dense, bm25 = rankings(spark, d, retrieve.depth(K))
-    hits = retrieve.lookup(hits_at(dense, bm25, K), found.select("i", "content"))
+    hits = retrieve.lookup(saved(hits_at(dense, bm25, K), "hits"), found.select("i", "content"))
     contexts = retrieve.context(hits, ("query_id", "arm"))
     asked = questions(spark, d)
     material = retrieve.within_budget(corpus(spark, d), LONG_BUDGET)  # one row of that size at most
