@@ -22,7 +22,6 @@ class LexicalIndex:
     lengths: DataFrame  # i, dl: blocks without terms included
     idf: DataFrame  # term, df, idf
     stats: DataFrame  # one row: n, avgdl
-    bounds: DataFrame | None = None  # term, span, most, n: the largest saturation of a term in a span of blocks, and in how many it is
     lexicon: DataFrame | None = None  # word, score: the words of Han text, where the blocks have any
 
 
@@ -87,7 +86,7 @@ def keyed_weights(blocks: DataFrame, key: str) -> DataFrame:
 #: Blocks of a span, by their numbers.
 SPAN_BITS = 10
 #: The tables of a stored index.
-TABLES = ("postings", "lengths", "idf", "stats", "bounds", "lexicon")
+TABLES = ("postings", "lengths", "idf", "stats", "lexicon")
 
 
 def saturation() -> Column:
@@ -115,8 +114,6 @@ def _write_rest(index: LexicalIndex, postings: DataFrame, path: str) -> None:
     (index.lexicon if index.lexicon is not None else none).write.mode("overwrite").parquet(f"{path}/lexicon")
     for name in ("lengths", "idf", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    bounds = postings.crossJoin(F.broadcast(postings.sparkSession.read.parquet(f"{path}/stats"))).groupBy("term", "span").agg(F.max(saturation()).alias("most"), F.count("*").alias("n"))
-    bounds.write.mode("overwrite").parquet(f"{path}/bounds")
 
 
 def store_lexical(index: LexicalIndex, path: str) -> None:
