@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratadoc.functions.text import char_ngrams, identifiers, is_refusal, let, norm
+from stratadoc.functions.text import char_ngrams, identifiers, is_refusal, norm
 from stratadoc.operators.grams import near_occurrences
 from stratadoc.session import saved
 from stratadoc.sources.corpus import PART, in_ranges
@@ -15,9 +15,9 @@ METRICS = ("strict", "strict_norm", "strict_fuzzy", "ident", "gram")
 MARGIN, HIGH, LOW = 0.10, 0.5, 0.2
 
 
-def gram_counts(anchor: Column, answer: Column) -> tuple[Column, Column]:
-    grams = char_ngrams(anchor)
-    return let(norm(answer), lambda text: F.size(F.filter(grams, lambda g: F.contains(text, g)))), F.size(grams)
+def gram_counts(grams: Column, text: Column) -> tuple[Column, Column]:
+    """How many of an anchor's grams a normalised answer holds, and how many there are."""
+    return F.size(F.filter(grams, lambda g: F.contains(text, g))), F.size(grams)
 
 
 def judge_groups(answers: DataFrame, anchors: DataFrame, fuzzy: str = "compat") -> DataFrame:
@@ -28,13 +28,13 @@ def judge_groups(answers: DataFrame, anchors: DataFrame, fuzzy: str = "compat")
     """
     # Normalised before the join: once for each answer and each anchor.
     answers = answers.withColumn("na", norm(F.col("answer")))
-    anchors = anchors.withColumn("nn", norm(F.col("anchor"))).withColumn("ids", identifiers(F.col("anchor")))
+    anchors = anchors.withColumn("nn", norm(F.col("anchor"))).withColumn("ids", identifiers(F.col("anchor"))).withColumn("grams", char_ngrams(F.col("anchor")))
     texts, needles = answers.select("case_id", "answer_id", F.col("na").alias("text")), anchors.select("case_id", F.col("nn").alias("needle"))
     near = near_occurrences(needles, texts, "answer_id", ("case_id",), fuzzy)
     near = saved(near.select("case_id", F.col("needle").alias("nn"), "answer_id", F.lit(True).alias("near")), "near-anchors")
     rows = answers.join(anchors, "case_id").join(near, ["case_id", "nn", "answer_id"], "left")
     exact = F.contains("na", "nn")
-    hit, size = gram_counts(F.col("anchor"), F.col("answer"))
+    hit, size = gram_counts(F.col("grams"), F.col("na"))
     rows = rows.select(
         "answer_id", "case_id", "group_no", "mode", F.contains("answer", "anchor").cast("int").alias("st"), exact.cast("int").alias("sn"),
         F.coalesce(F.col("near"), exact).cast("int").alias("sf"), F.size("ids").alias("i_all"),
@@ -97,8 +97,10 @@ def across(cases: DataFrame) -> DataFrame:
 
 def gram_floor(answers: DataFrame, anchors: DataFrame, others: DataFrame) -> DataFrame:
     """answer_id, gram_null: the mean gram share of the other case's groups: what an unrelated answer reaches."""
-    moved = answers.join(others, "case_id").select("answer_id", F.col("other_id").alias("case_id"), "answer")
-    hit, size = gram_counts(F.col("anchor"), F.col("answer"))
+    # Normalised and cut before the join: once for each answer and each anchor.
+    moved = answers.select("case_id", "answer_id", norm(F.col("answer")).alias("na")).join(others, "case_id").select("answer_id", F.col("other_id").alias("case_id"), "na")
+    anchors = anchors.select("case_id", "group_no", char_ngrams(F.col("anchor")).alias("grams"))
+    hit, size = gram_counts(F.col("grams"), F.col("na"))
     rows = moved.join(anchors, "case_id").select("answer_id", "group_no", hit.alias("hit"), size.alias("size"))
     groups = rows.groupBy("answer_id", "group_no").agg(F.when(F.sum("size") > 0, F.sum("hit") / F.sum("size")).otherwise(F.lit(0.0)).alias("gram"))
     return groups.groupBy("answer_id").agg(F.avg("gram").alias("gram_null"))
